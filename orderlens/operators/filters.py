@@ -67,16 +67,26 @@ def filter_domains(lines: DataFrame) -> DataFrame:
     """What the filter widgets offer: (field, value), one row per choice and the
     first and last order date. One pass, combined map-side per value.
     """
-    entries = lines.withColumn("order_date", F.col("order_date").cast("string")).unpivot(
-        [], ["region", "category", "ship_mode", "order_date"], "field", "value")
-    # All dates fall into one group, of which only both ends are offered.
-    choice = F.when(F.col("field") != "order_date", F.col("value"))
-    ends = F.array_distinct(F.array("low", "high"))
+    choices = ["region", "category", "ship_mode"]
+    per_value = (
+        lines.select("order_date", *choices)
+        .unpivot(["order_date"], choices, "field", "value")
+        .groupBy("field", "value")
+        .agg(F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"))
+    )
+    # From here on one row per choice. The dates of one field cover all lines.
+    day = F.lit("order_date").alias("field")
+    entries = F.array(
+        F.struct("field", "value", F.col("value").alias("choice")),
+        *[F.struct(day, F.when(F.col("field") == choices[0], F.col(d).cast("string")).alias("value"),
+                   F.lit(None).cast("string").alias("choice"))
+          for d in ("first_day", "last_day")],
+    )
     return (
-        entries.filter(F.col("value").isNotNull()).distinct()
-        .groupBy("field", choice.alias("choice"))
-        .agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        .select("field", F.explode(ends).alias("value"))
+        per_value.select(F.explode(entries).alias("entry")).select("entry.*")
+        .filter(F.col("value").isNotNull())
+        .groupBy("field", "choice").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        .select("field", F.explode(F.array_distinct(F.array("low", "high"))).alias("value"))
         .orderBy("field", "value")
     )
 

@@ -21,6 +21,8 @@ def build_session(cpus: int | str = "*", memory: str = "8g", app: str = "orderle
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call-site tracking costs several round trips to the JVM per expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

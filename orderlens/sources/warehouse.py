@@ -6,18 +6,21 @@ product. Every frame is built from the columns a question asks for, and a table
 that serves none of them is not joined. That relies on the foreign keys holding,
 which ``quality.constraint_violations`` checks.
 
+Money is computed in whole ten-thousandths and turned into a decimal once, which
+is exact and avoids decimal arithmetic per row. Schemas are declared, so opening a
+table reads no footer.
+
 No join is hinted: Spark broadcasts a side whose size it knows to be below its
 threshold and sort-merges otherwise, with hot keys split by adaptive execution.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from orderlens.functions.measures import count_where, is_loss
+from orderlens.functions.measures import count_where
 from orderlens.operators.filters import NO_FILTERS, Filters, keep
 from orderlens.schema import MONEY, RATE
 
@@ -37,8 +40,37 @@ LINE_COLUMNS = [
     "profit", "is_loss_line",
 ]
 
-# Fixed value: share of the retail price that counts as cost.
-COST_SHARE = Decimal("0.8")
+# Fixed value: percent of the retail price that counts as cost.
+COST_PERCENT = 80
+
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
+def _hundredths(column: str) -> str:
+    """A price or rate with two decimals as a whole number."""
+    return f"floor({column} * 100 + 0.5D)"
+
+
+def _decimal(units: str, kind: DecimalType) -> str:
+    """Whole units back to a decimal; a value too large for the type fails."""
+    unit = f"0.{1:0{kind.scale}d}BD"
+    return f"CAST(CAST({units} AS DECIMAL(14,0)) * {unit} AS {kind.simpleString()})"
+
+
+# What a line sells for, in ten-thousandths.
+SALES_UNITS = f"({_hundredths('l_extendedprice')} * (100 - {_hundredths('l_discount')}))"
 
 MEASURES = ["n_lines", "sum_sales", "sum_profit", "n_loss_lines", "sum_discount"]
 
@@ -49,61 +81,48 @@ class Warehouse:
         self.path = path
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}.parquet")
 
     # -- star tables ---------------------------------------------------------
 
     def items(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
-        discount = F.col("l_discount").cast(RATE)
-        one = F.lit(1).cast("decimal(3,2)")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line_number"),
-            F.col("l_partkey").alias("product_id"),
-            (price * (one - discount)).cast(MONEY).alias("sales"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            discount.alias("discount"),
-            F.col("l_shipdate").cast("date").alias("line_ship_date"),
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_linenumber AS line_number",
+            "l_partkey AS product_id",
+            f"{SALES_UNITS} AS sales_units",
+            f"{_decimal(SALES_UNITS, MONEY)} AS sales",
+            "CAST(l_quantity AS INT) AS quantity",
+            f"{_decimal(_hundredths('l_discount'), RATE)} AS discount",
+            "CAST(l_shipdate AS DATE) AS line_ship_date",
         )
 
     def products(self) -> DataFrame:
-        retail = F.col("p_retailprice").cast("decimal(9,2)")
-        return self.table("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("sub_category"),
-            # Eight digits keep quantity * unit_cost inside a 64-bit decimal.
-            (retail * F.lit(COST_SHARE)).cast("decimal(8,3)").alias("unit_cost"),
+        return self.table("part").selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            "p_type AS category",
+            "p_brand AS sub_category",
+            f"{_hundredths('p_retailprice')} * {COST_PERCENT} AS cost_units",
         )
 
     def customers(self) -> DataFrame:
-        return self.table("customer").select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.col("c_mktsegment").alias("segment"),
-            F.col("c_nationkey").alias("location_id"),
-        )
+        return self.table("customer").selectExpr(
+            "c_custkey AS customer_id", "c_name AS customer_name",
+            "c_mktsegment AS segment", "c_nationkey AS location_id")
 
     def locations(self) -> DataFrame:
-        nation = self.table("nation")
-        region = self.table("region")
-        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-            F.col("n_nationkey").alias("location_id"),
-            F.col("n_name").alias("state"),
-            F.col("r_name").alias("region"),
-        )
+        nation = self.table("nation").selectExpr(
+            "n_nationkey AS location_id", "n_name AS state", "n_regionkey AS region_id")
+        region = self.table("region").selectExpr("r_regionkey AS region_id", "r_name AS region")
+        return nation.join(region, "region_id").select("location_id", "state", "region")
 
     def headers(self, columns: list[str]) -> DataFrame:
         """order_id plus the order-constant ``columns``, except the shipping dates."""
-        frame = self.table("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_orderpriority").alias("ship_mode"),
-            F.col("o_orderstatus").alias("order_status"),
-        )
+        frame = self.table("orders").selectExpr(
+            "o_orderkey AS order_id", "o_custkey AS customer_id",
+            "CAST(o_orderdate AS DATE) AS order_date",
+            "o_orderpriority AS ship_mode", "o_orderstatus AS order_status")
         place = any(c in LOCATION for c in columns)
         if place or any(c in CUSTOMER for c in columns):
             customers = self.customers()
@@ -136,13 +155,10 @@ class Warehouse:
         return frame.select(*wanted)
 
     def _with_products(self, items: DataFrame) -> DataFrame:
-        cost = F.col("unit_cost") * F.col("quantity").cast("decimal(6,0)")
-        profit = (F.col("sales") - cost).cast(MONEY)
-        return (
-            items.join(self.products(), "product_id")
-            .withColumn("profit", profit)
-            .withColumn("is_loss_line", is_loss(F.col("profit")))
-        )
+        joined = items.join(self.products(), "product_id")
+        units = "(sales_units - cost_units * quantity)"
+        return joined.selectExpr(
+            "*", f"{_decimal(units, MONEY)} AS profit", f"coalesce({units} < 0, false) AS is_loss_line")
 
     def _shipping(self) -> DataFrame:
         """Day the last line of each order shipped. Aggregated before it is joined,
