@@ -607,11 +607,18 @@ REFERENCES = {
     "order_items.product_id references products":
         "lines WHERE product_id NOT IN (SELECT p_partkey FROM part)",
 }
+LENGTHS = {
+    "locations": {"state": 100, "region": 50}, "customers": {"customer_name": 150, "segment": 50},
+    "products": {"product_name": 255, "category": 50, "sub_category": 50},
+    "orders": {"ship_mode": 30},
+}
 SQL["constraint_violations"] = text(" UNION ALL ".join(
     [f"SELECT '{t}.{c} not null' AS rule, COUNT(*) - COUNT({c}) AS n_violations FROM {source}"
      for t, (source, columns) in NOT_NULL.items() for c in columns]
     + [f"SELECT '{t}: {name}', COUNT(*) FILTER (WHERE {bad}) FROM {NOT_NULL[t][0]}"
        for t, rules in CHECKS.items() for name, bad in rules.items()]
+    + [f"SELECT '{t}.{c} at most {k} characters', COUNT(*) FILTER (WHERE length({c}) > {k}) "
+       f"FROM {NOT_NULL[t][0]}" for t, limits in LENGTHS.items() for c, k in limits.items()]
     + [f"SELECT '{name}', COUNT(*) - COUNT(DISTINCT {key}) FROM {source}"
        for name, (source, key) in UNIQUE.items()]
     + [f"SELECT '{name}', COUNT(*) FROM {source}" for name, source in REFERENCES.items()]

@@ -18,7 +18,7 @@ from orderlens.operators import (
     calendar, commerce, delivery, filters, findings, kpi, profile, quadrant, quality, rollup,
 )
 from orderlens.operators.dashboard import ORDER_FRAME
-from orderlens.schema import MONEY, NUMERIC, RATE
+from orderlens.schema import MONEY, NUMERIC, RATE, TEXT_LENGTHS
 from orderlens.session import scratch_path, tune
 from orderlens.sources import files, star
 from orderlens.sources.warehouse import LINE_COLUMNS, Warehouse
@@ -269,6 +269,10 @@ def _constraints(w: Warehouse) -> DataFrame:
         },
         checks={"orders": ["delivery_days >= 0", "ship_date >= order_date"],
                 "order_items": ["sales >= 0", "quantity > 0", "discount between 0 and 1"]},
+        lengths={t: {c: TEXT_LENGTHS[c] for c in columns} for t, columns in {
+            "locations": ["state", "region"], "customers": ["customer_name", "segment"],
+            "products": ["product_name", "category", "sub_category"],
+            "orders": ["ship_mode"]}.items()},
         references=[("orders", "customer_id", "customers"), ("order_items", "order_id", "orders"),
                     ("order_items", "product_id", "products")],
     )
@@ -299,7 +303,8 @@ QUERIES |= {
     "order_fd_check": lambda w: quality.order_fd_check(
         w.lines("order_id", "state", "ship_mode", "delivery_days", "line_ship_date"),
         ["state", "ship_mode", "delivery_days", "line_ship_date"]),
-    "dataset_overview": lambda w: quality.dataset_overview(w.lines()),
+    "dataset_overview": lambda w: quality.dataset_overview(
+        w.lines("order_id", "order_date"), len(LINE_COLUMNS)),
     "column_types": lambda w: quality.column_types(w.lines()),
 }
 

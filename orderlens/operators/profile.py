@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.measures import count_where, is_loss, percent
@@ -52,15 +52,21 @@ def value_counts(lines: DataFrame, columns: list[str] | None = None) -> DataFram
 def sample_lines(lines: DataFrame, n: int = 2000, seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement, the same on every run.
 
-    Rows are ordered by a seeded digest of their content. Every task keeps its
-    first ``n``, so no more than ``n`` rows per task travel to the merge.
+    Rows are ordered by a seeded digest of their content and the first ``n`` kept.
+    A first pass counts rows per leading digits of the digest (65,536 counters at
+    most) to find where the sample must end; only rows up to there are sorted, so
+    the final merge does not receive ``n`` rows from every task.
     """
     text = [F.col(c).cast("string") for c in lines.columns]
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *text))
-    return (
-        lines.withColumn("digest", digest).orderBy("digest", *lines.columns).limit(n)
-        .drop("digest")
-    )
+    keyed = lines.withColumn("digest", F.md5(F.concat_ws("|", F.lit(str(seed)), *text)))
+    lead = F.substring("digest", 1, 4)
+    counts = keyed.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).filter(
+        F.col("before") < n)
+    end = one_row(needed.agg(F.max("lead").alias("lead")))
+    return keyed.filter(lead <= end["lead"]).orderBy("digest", *lines.columns).limit(n).drop(
+        "digest")
 
 
 def correlation_matrix(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ wrong is counted and flagged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,12 @@ def null_profile(frame: DataFrame) -> DataFrame:
     return _per_column(frame, _nulls, "n_null")
 
 
-def dataset_overview(lines: DataFrame) -> DataFrame:
+def dataset_overview(lines: DataFrame, n_columns: int | None = None) -> DataFrame:
+    """Size and date range. ``n_columns`` is the width of the whole table where
+    ``lines`` holds only the columns read here."""
     return lines.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.lit(len(lines.columns)).alias("n_columns"),
+        F.lit(n_columns or len(lines.columns)).alias("n_columns"),
         F.count_distinct("order_id").alias("n_orders"),
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
@@ -253,31 +257,43 @@ def quarantine_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, list[str]],
                           not_null: dict[str, list[str]], checks: dict[str, list[str]],
+                          lengths: dict[str, dict[str, int]],
                           references: list[tuple[str, str, str]]) -> DataFrame:
     """Violations per rule: (rule, n_violations).
 
-    NOT NULL and CHECK rules share one pass per table. A key is broken by every
-    row beyond the first; a reference by every row whose value has no parent.
+    A key is broken by every row beyond the first, a reference by every row whose
+    value has no parent. All rules of one table but its references share a pass:
+    flags are summed per key, which the uniqueness check groups by anyway.
     """
-    rules = line_rules()
     parts = []
-    for table, columns in not_null.items():
-        flags = {f"{table}.{c} not null": F.col(c).isNull() for c in columns}
-        flags |= {f"{table}: {name}": _broken(rules[name]) for name in checks.get(table, [])}
-        frame = tables[table].select(*[f.alias(name) for name, f in flags.items()])
-        parts.append(_per_column(
-            frame, lambda c: F.coalesce(count_where(c), F.lit(0)), "n_violations"))
     for table, key in keys.items():
-        label = F.lit(f"{table} unique ({', '.join(key)})").alias("column_name")
-        parts.append(duplicate_keys(tables[table], *key).select(
-            label, F.col("n_repeats").cast("bigint").alias("n_violations")))
+        parts.append(_table_violations(
+            tables[table], table, key, not_null.get(table, []), checks.get(table, []),
+            lengths.get(table, {})))
     for child, column, parent in references:
-        label = F.lit(f"{child}.{column} references {parent}").alias("column_name")
         orphans = tables[child].select(column).filter(F.col(column).isNotNull()).join(
             tables[parent].select(column), column, "left_anti")
         parts.append(orphans.agg(F.count(F.lit(1)).alias("n_violations")).select(
-            label, "n_violations"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.withColumnRenamed("column_name", "rule").orderBy("rule")
+            F.lit(f"{child}.{column} references {parent}").alias("rule"), "n_violations"))
+    return reduce(DataFrame.unionByName, parts).orderBy("rule")
+
+
+def _table_violations(frame: DataFrame, table: str, key: list[str], not_null: list[str],
+                      checks: list[str], lengths: dict[str, int]) -> DataFrame:
+    rules = line_rules()
+    flags = {f"{table}.{c} not null": F.col(c).isNull() for c in not_null}
+    flags |= {f"{table}: {name}": _broken(rules[name]) for name in checks}
+    flags |= {f"{table}.{c} at most {n} characters": _broken(F.length(c) <= n)
+              for c, n in lengths.items()}
+    per_key = frame.groupBy(*key).agg(
+        (F.count(F.lit(1)) - 1).alias("repeats"),
+        *[count_where(flag).alias(f"f{i}") for i, flag in enumerate(flags.values())])
+    sums = [F.sum("repeats").alias("repeats")]
+    sums += [F.sum(f"f{i}").alias(f"f{i}") for i in range(len(flags))]
+    labels = {f"{table} unique ({', '.join(key)})": "repeats"}
+    labels |= {name: f"f{i}" for i, name in enumerate(flags)}
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("rule"),
+                 F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("n_violations"))
+        for name, c in labels.items()])
+    return per_key.agg(*sums).select(F.explode(cells).alias("cell")).select("cell.*")

@@ -79,3 +79,21 @@ STAR_TABLES = {
     "order_items": ["row_id", "order_id", "product_id", "sales", "quantity",
                     "discount", "profit"],
 }
+STAR_KEYS = {
+    "locations": ["location_id"], "customers": ["customer_id"], "products": ["product_id"],
+    "orders": ["order_id"], "order_items": ["row_id"],
+}
+# Longest text a column may hold.
+TEXT_LENGTHS = {
+    "city": 100, "state": 100, "region": 50, "country": 100, "postal_code": 20,
+    "customer_id": 20, "customer_name": 150, "segment": 50,
+    "product_id": 30, "product_name": 255, "category": 50, "sub_category": 50,
+    "order_id": 20, "ship_mode": 30,
+}
+
+
+def star_schema(table: str) -> T.StructType:
+    """Declared types of a star table; only the postal code may be missing."""
+    types = {f.name: f.dataType for f in CLEAN_SCHEMA} | {"location_id": T.LongType()}
+    return T.StructType([
+        T.StructField(c, types[c], c == "postal_code") for c in STAR_TABLES[table]])

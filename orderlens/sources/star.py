@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.measures import is_loss
+from orderlens.schema import STAR_KEYS, STAR_TABLES, star_schema
 
 # The natural key of a place; the postal code may be missing.
 PLACE = ["city", "state", "postal_code"]
@@ -110,8 +111,7 @@ def write_star(star: dict[str, DataFrame], folder: str) -> None:
 
 
 def scan_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    names = ("locations", "customers", "products", "orders", "order_items")
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in STAR_TABLES}
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
@@ -129,6 +129,20 @@ def append_new_rows(incoming: DataFrame, path: str, key: list[str],
     new_rows(incoming, existing, key, tie).write.mode("append").parquet(path)
 
 
+def create_star(spark: SparkSession, folder: str) -> None:
+    """Empty tables of the declared types, replacing what was stored."""
+    write_star({t: spark.createDataFrame([], star_schema(t)) for t in STAR_TABLES}, folder)
+
+
+def load_star(star: dict[str, DataFrame], folder: str,
+              keys: dict[str, list[str]] = STAR_KEYS) -> None:
+    """Append what is new to stored tables, parents before the tables that refer to
+    them. Loading the same lines again changes nothing.
+    """
+    for name in STAR_TABLES:
+        append_new_rows(star[name], f"{folder}/{name}", keys[name])
+
+
 def load_audit(star: dict[str, DataFrame]) -> DataFrame:
     counts = [
         frame.agg(F.count(F.lit(1)).alias("n_rows")).select(
