@@ -126,8 +126,8 @@ SELECT COUNT(DISTINCT order_id) AS total_orders, COUNT(*) AS total_order_lines,
 FROM lines""", ORDERS)
 SQL["headline_metrics"] = text(f"""
 SELECT COUNT(DISTINCT order_id) AS total_orders, {money('sales')} AS total_revenue,
-       {ratio('SUM(sales)', 'COUNT(DISTINCT order_id)')} AS average_order_value,
-       (SELECT {pct('SUM(CASE WHEN p < 0 THEN 1 ELSE 0 END)', 'COUNT(*)')}
+       COALESCE({ratio('SUM(sales)', 'COUNT(DISTINCT order_id)')}, 0) AS average_order_value,
+       (SELECT COALESCE({pct('SUM(CASE WHEN p < 0 THEN 1 ELSE 0 END)', 'COUNT(*)')}, 0)
         FROM (SELECT SUM(profit) AS p FROM chosen GROUP BY order_id)) AS loss_making_order_rate,
        ROUND(AVG(delivery_days), 2) AS average_delivery_days
 FROM chosen""", SELECTION)
@@ -364,7 +364,7 @@ UNION ALL SELECT 'order_date', CAST(MAX(order_date) AS VARCHAR) FROM lines""")
 
 def histogram(column: str) -> str:
     return text(f"""
-SELECT bin, ROUND(lo + (bin - 1) * width, 4) AS bin_start, ROUND(lo + bin * width, 4) AS bin_end,
+SELECT bin, ROUND(lo + (bin - 1) * width, 6) AS bin_start, ROUND(lo + bin * width, 6) AS bin_end,
        COUNT(*) AS n, ROUND(LOG10(COUNT(*)), 6) AS log10_n
 FROM (SELECT CAST(LEAST(FLOOR((CAST({column} AS DOUBLE) - lo) / width), 59) + 1 AS BIGINT) AS bin,
              lo, width

@@ -108,8 +108,8 @@ def _finding(frame: DataFrame, number: int, subject: Column, finding: Column, ev
         F.lit(cause).alias("cause"),
         action.alias("action"),
         F.lit(kpi).alias("kpi"),
-        F.col(value).cast("double").alias("value"),
-        (F.col(baseline) if baseline else empty).cast("double").alias("baseline"),
+        F.round(value, 6).cast("double").alias("value"),
+        (F.round(baseline, 6) if baseline else empty).cast("double").alias("baseline"),
         (F.col(n) if n else empty).cast("bigint").alias("n"),
     )
 

@@ -25,7 +25,7 @@ def histogram(lines: DataFrame, column: str, bins: int = 60) -> DataFrame:
         values.withColumn("limits", limits)
         .groupBy(number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("limits", limits)
-        .select("bin", F.round(start, 4).alias("bin_start"), F.round(end, 4).alias("bin_end"),
+        .select("bin", F.round(start, 6).alias("bin_start"), F.round(end, 6).alias("bin_end"),
                 "n", F.round(F.log10("n"), 6).alias("log10_n"))
         .orderBy("bin")
     )
