@@ -93,6 +93,7 @@ class Warehouse:
             f"{SALES_UNITS} AS sales_units",
             f"{_decimal(SALES_UNITS, MONEY)} AS sales",
             "CAST(l_quantity AS INT) AS quantity",
+            f"{_hundredths('l_discount')} AS discount_units",
             f"{_decimal(_hundredths('l_discount'), RATE)} AS discount",
             "CAST(l_shipdate AS DATE) AS line_ship_date",
         )
@@ -158,7 +159,8 @@ class Warehouse:
         joined = items.join(self.products(), "product_id")
         units = "(sales_units - cost_units * quantity)"
         return joined.selectExpr(
-            "*", f"{_decimal(units, MONEY)} AS profit", f"coalesce({units} < 0, false) AS is_loss_line")
+            "*", f"{units} AS profit_units", f"{_decimal(units, MONEY)} AS profit",
+            f"coalesce({units} < 0, false) AS is_loss_line")
 
     def _shipping(self) -> DataFrame:
         """Day the last line of each order shipped. Aggregated before it is joined,
@@ -210,23 +212,45 @@ def _shipping_columns() -> dict[str, Column]:
 
 def _order_totals(items: DataFrame, measures: list[str], ships: bool,
                   kept: Column | None) -> DataFrame:
-    def measured(value: Column) -> Column:
-        return value if kept is None else F.when(kept, value)
+    """Lines summed per order; ``kept`` leaves the measures of other lines out.
 
+    Money is added as whole units and fractions, each in 64 bits, and put together
+    per order: exact like a decimal sum, at the cost of an integer one. The whole
+    part overflows, and then fails, only beyond 9e18.
+    """
+    def total(expression: str) -> Column:
+        value = F.expr(expression)
+        return F.sum(value if kept is None else F.when(kept, value))
+
+    count = F.count(F.lit(1)) if kept is None else F.count(F.when(kept, 1))
     loss = F.col("is_loss_line") if kept is None else F.col("is_loss_line") & kept
     build = {
-        "n_lines": F.count(measured(F.lit(1))),
-        "sum_sales": F.sum(measured(F.col("sales"))),
-        "sum_profit": F.sum(measured(F.col("profit"))),
-        "n_loss_lines": count_where(loss),
-        "sum_discount": F.sum(measured(F.col("discount"))),
+        "n_lines": {"n_lines": count},
+        "sum_sales": {"sales_whole": total("sales_units div 10000"),
+                      "sales_rest": total("sales_units % 10000")},
+        "sum_profit": {"profit_whole": total("profit_units div 10000"),
+                       "profit_rest": total("profit_units % 10000")},
+        "n_loss_lines": {"n_loss_lines": count_where(loss)},
+        "sum_discount": {"discount_units": total("discount_units")},
+    }
+    finish = {
+        "sum_sales": _money("sales_whole", "sales_rest"),
+        "sum_profit": _money("profit_whole", "profit_rest"),
+        "sum_discount": "CAST(CAST(discount_units AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(20,2))",
     }
-    aggregates = [build[m].alias(m) for m in measures]
+    wanted = list(measures)
+    if "n_lines" not in wanted and (kept is not None or not (wanted or ships)):
+        wanted.append("n_lines")
+    aggregates = {name: column for m in wanted for name, column in build[m].items()}
     if ships:
-        aggregates.append(F.max("line_ship_date").alias("ship_date"))
-    if kept is not None and "n_lines" not in measures:
-        aggregates.append(build["n_lines"].alias("n_lines"))
-    if not aggregates:
-        aggregates.append(F.count(F.lit(1)).alias("n_lines"))
-    totals = items.groupBy("order_id").agg(*aggregates)
-    return totals if kept is None else totals.filter(F.col("n_lines") > 0)
+        aggregates["ship_date"] = F.max("line_ship_date")
+    totals = items.groupBy("order_id").agg(*[c.alias(name) for name, c in aggregates.items()])
+    if kept is not None:
+        totals = totals.filter(F.col("n_lines") > 0)
+    dates = ["ship_date"] if ships else []
+    return totals.selectExpr("order_id", *dates, *[f"{finish.get(m, m)} AS {m}" for m in wanted])
+
+
+def _money(whole: str, rest: str) -> str:
+    return (f"CAST(CAST({whole} AS DECIMAL(20,0)) + CAST({rest} AS DECIMAL(18,0)) * 0.0001BD "
+            "AS DECIMAL(24,4))")
