@@ -72,6 +72,11 @@ def _by_product(w: Warehouse) -> DataFrame:
     return w.lines("order_id", "category", "sub_category", "sales", "profit")
 
 
+def _by_part(key: str) -> Query:
+    return lambda w: rollup.revenue_by_order_attribute(
+        w.orders("sum_sales", "sum_profit", by=(key,)), key)
+
+
 def _by_order(key: str) -> Query:
     return lambda w: rollup.revenue_by_order_attribute(
         w.orders(key, "sum_sales", "sum_profit"), key)
@@ -84,8 +89,8 @@ QUERIES |= {
         w.orders("segment", "region", "sum_sales")),
     "revenue_by_category_margin": lambda w: commerce.revenue_by_category(w.lines(
         "category", "sub_category", "sales", "profit", "discount")),
-    "revenue_by_category": lambda w: rollup.revenue_by(_by_product(w), "category"),
-    "revenue_by_sub_category": lambda w: rollup.revenue_by(_by_product(w), "sub_category"),
+    "revenue_by_category": _by_part("category"),
+    "revenue_by_sub_category": _by_part("sub_category"),
     "revenue_by_segment": _by_order("segment"),
     "revenue_by_region": _by_order("region"),
     "revenue_by_state": _by_order("state"),
@@ -123,8 +128,8 @@ def _location_orders(w: Warehouse) -> DataFrame:
 
 
 def _segments(w: Warehouse, **options) -> DataFrame:
-    lines = w.lines("order_id", "state", "sub_category", "profit")
-    return quadrant.bottleneck_segments(lines, **options)
+    parts = w.orders("state", "n_lines", "n_loss_lines", "sum_profit", by=("sub_category",))
+    return quadrant.bottleneck_segments(parts, **options)
 
 
 def _plain_segments(w: Warehouse, **options) -> DataFrame:

@@ -24,7 +24,8 @@ def dashboard(warehouse: Warehouse, filters: Filters = NO_FILTERS,
     dated = warehouse.orders("order_date", "sum_sales", filters=filters)
     by_product = warehouse.lines(
         "order_id", "category", "sub_category", "sales", "profit", filters=filters)
-    segments = warehouse.lines("order_id", "state", "sub_category", "profit", filters=filters)
+    segments = warehouse.orders("state", "n_lines", "n_loss_lines", "sum_profit",
+                                by=("sub_category",), filters=filters)
     return {
         "overview.headline": kpi.headline_metrics(orders),
         "overview.trend": calendar.monthly_trend(dated),

@@ -109,15 +109,16 @@ def rank_states(cells: DataFrame) -> DataFrame:
     )
 
 
-def bottleneck_segments(lines: DataFrame, min_orders: int = 5,
+def bottleneck_segments(parts: DataFrame, min_orders: int = 5,
                         priority_first: bool = True) -> DataFrame:
     """State x sub-category segments by quadrant, at line grain because an order
-    can span sub-categories. Thin segments go before the thresholds are taken.
+    can span sub-categories. Takes order parts by state and sub-category. Thin
+    segments go before the thresholds are taken.
     """
-    stats = lines.groupBy("state", "sub_category").agg(
-        F.count_distinct("order_id").alias("order_volume"),
-        percent(count_where(is_loss(F.col("profit"))), F.count(F.lit(1))).alias("line_loss_rate_pct"),
-        money_sum("profit").alias("total_profit"),
+    stats = parts.groupBy("state", "sub_category").agg(
+        F.count(F.lit(1)).alias("order_volume"),
+        percent(F.sum("n_loss_lines"), F.sum("n_lines")).alias("line_loss_rate_pct"),
+        money_sum("sum_profit").alias("total_profit"),
     ).filter(F.col("order_volume") >= min_orders)
     ranked = classify(stats, "order_volume", "line_loss_rate_pct").select(
         "state", "sub_category", "order_volume", "line_loss_rate_pct", "total_profit",

@@ -9,21 +9,34 @@ from orderlens.functions.measures import count_where, is_loss, money_sum, percen
 from orderlens.schema import ORDER_ATTRIBUTES
 
 
+def _sums(lines: DataFrame) -> list[Column]:
+    """Line count and the sums of the measures that are present."""
+    build = {
+        "sales": [F.sum("sales").alias("sum_sales")],
+        "profit": [F.sum("profit").alias("sum_profit"),
+                   count_where(is_loss(F.col("profit"))).alias("n_loss_lines")],
+        "discount": [F.sum("discount").alias("sum_discount")],
+    }
+    sums = [F.count(F.lit(1)).alias("n_lines")]
+    for measure, columns in build.items():
+        sums += columns if measure in lines.columns else []
+    return sums
+
+
 def order_rollup(lines: DataFrame) -> DataFrame:
     """One row per order: its attributes, line count and summed measures.
 
-    Needs order_id, sales, profit and discount; groups by the order attributes
-    that are present. Apply filters before, since a category filter removes
-    lines inside an order.
+    Groups by the order attributes that are present. Apply filters before, since a
+    category filter removes lines inside an order.
     """
     keys = ["order_id"] + [c for c in ORDER_ATTRIBUTES if c in lines.columns]
-    return lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum("sales").alias("sum_sales"),
-        F.sum("profit").alias("sum_profit"),
-        count_where(is_loss(F.col("profit"))).alias("n_loss_lines"),
-        F.sum("discount").alias("sum_discount"),
-    )
+    return lines.groupBy(*keys).agg(*_sums(lines))
+
+
+def order_parts(lines: DataFrame, *keys: str) -> DataFrame:
+    """One row per order and ``keys``, such as the sub-categories an order spans.
+    Counting its rows per key counts distinct orders."""
+    return lines.groupBy("order_id", *keys).agg(*_sums(lines))
 
 
 def _revenue(frame: DataFrame, keys: tuple[str, ...], orders: Column,
@@ -45,8 +58,8 @@ def revenue_by(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def revenue_by_order_attribute(orders: DataFrame, *keys: str) -> DataFrame:
-    """The same for attributes constant per order, where counting rows of the
-    order frame replaces the distinct count."""
+    """The same from the order frame, for attributes constant per order, or from
+    order parts: counting rows replaces the distinct count."""
     return _revenue(orders, keys, F.count(F.lit(1)), "sum_sales", "sum_profit")
 
 

@@ -170,11 +170,15 @@ class Warehouse:
 
     # -- order grain ---------------------------------------------------------
 
-    def orders(self, *columns: str, filters: Filters = NO_FILTERS) -> DataFrame:
+    def orders(self, *columns: str, by: tuple[str, ...] = (),
+               filters: Filters = NO_FILTERS) -> DataFrame:
         """One row per order that has lines, with exactly ``columns``.
 
-        Same result as ``rollup.order_rollup(self.lines(...))``, but lines are
-        summed per order before any order attribute is joined: headers meet one
+        ``by`` splits orders into parts by product attributes, which become columns
+        too: one row per order and, say, sub-category.
+
+        Same result as ``rollup.order_rollup(self.lines(...))`` or, with ``by``,
+        ``rollup.order_parts``, but lines are summed per order before any order attribute is joined: headers meet one
         row per order instead of one per line, and a hot order has already been
         folded by the map-side combine.
         """
@@ -182,9 +186,11 @@ class Warehouse:
         measures = [c for c in wanted if c in MEASURES]
         header = [c for c in wanted if c in HEADER + CUSTOMER + LOCATION]
         ships = any(c in SHIPPING for c in wanted)
+        if ships and by:
+            raise ValueError("the shipping dates belong to the order, not to its parts")
 
         items = self.items()
-        if filters.categories or any(m in ("sum_profit", "n_loss_lines") for m in measures):
+        if by or filters.categories or any(m in ("sum_profit", "n_loss_lines") for m in measures):
             items = self._with_products(items)
         kept = None
         if filters.categories:
@@ -194,7 +200,7 @@ class Warehouse:
                 kept = F.col("category").isin(*filters.categories)
             else:
                 items = keep(items, filters.line_conditions())
-        totals = _order_totals(items, measures, ships, kept)
+        totals = _order_totals(items, by, measures, ships, kept)
 
         extra = filters.order_columns() + (["order_date"] if ships else [])
         needed = list(dict.fromkeys(header + extra))
@@ -203,16 +209,16 @@ class Warehouse:
             totals = totals.join(headers, "order_id")
         if ships:
             totals = totals.withColumns(_shipping_columns())
-        return totals.select(*wanted)
+        return totals.select(*wanted, *by)
 
 
 def _shipping_columns() -> dict[str, Column]:
     return {"delivery_days": F.date_diff("ship_date", "order_date")}
 
 
-def _order_totals(items: DataFrame, measures: list[str], ships: bool,
+def _order_totals(items: DataFrame, by: tuple[str, ...], measures: list[str], ships: bool,
                   kept: Column | None) -> DataFrame:
-    """Lines summed per order; ``kept`` leaves the measures of other lines out.
+    """Lines summed per order and ``by``; ``kept`` leaves the measures of other lines out.
 
     Money is added as whole units and fractions, each in 64 bits, and put together
     per order: exact like a decimal sum, at the cost of an integer one. The whole
@@ -244,11 +250,11 @@ def _order_totals(items: DataFrame, measures: list[str], ships: bool,
     aggregates = {name: column for m in wanted for name, column in build[m].items()}
     if ships:
         aggregates["ship_date"] = F.max("line_ship_date")
-    totals = items.groupBy("order_id").agg(*[c.alias(name) for name, c in aggregates.items()])
+    totals = items.groupBy("order_id", *by).agg(*[c.alias(name) for name, c in aggregates.items()])
     if kept is not None:
         totals = totals.filter(F.col("n_lines") > 0)
     dates = ["ship_date"] if ships else []
-    return totals.selectExpr("order_id", *dates, *[f"{finish.get(m, m)} AS {m}" for m in wanted])
+    return totals.selectExpr("order_id", *by, *dates, *[f"{finish.get(m, m)} AS {m}" for m in wanted])
 
 
 def _money(whole: str, rest: str) -> str:

@@ -137,9 +137,13 @@ def segment(state, sub, n, loss=0):
              "profit": "-1" if i < loss else "1"} for i in range(n)]
 
 
+def parts(frame):
+    return rollup.order_parts(frame, "state", "sub_category")
+
+
 def test_thin_segments_leave_before_the_thresholds(lines):
     frame = lines(*segment("x", "a", 4, 4), *segment("x", "b", 5, 1), *segment("y", "a", 6, 3))
-    rows = quadrant.bottleneck_segments(frame).collect()
+    rows = quadrant.bottleneck_segments(parts(frame)).collect()
     assert [(r.state, r.sub_category) for r in rows] == [("y", "a"), ("x", "b")]
     # Mean of 20 and 50 percent: the thin segment's 100 percent is gone.
     assert float(rows[0].overall_avg_line_loss_rate) == 35
@@ -149,7 +153,7 @@ def test_thin_segments_leave_before_the_thresholds(lines):
 
 def test_low_priority_does_not_pass_for_priority(lines):
     frame = lines(*segment("x", "a", 6, 0), *segment("y", "a", 5, 5))
-    rows = quadrant.bottleneck_segments(frame)
+    rows = quadrant.bottleneck_segments(parts(frame))
     assert {r.quadrant for r in rows.collect()} == {quadrant.BENCHMARK, quadrant.INVESTIGATE}
     assert quadrant.priority_segments(rows).count() == 0
 
@@ -183,6 +187,13 @@ def test_line_and_order_rollups_agree(lines):
             == rollup.revenue_by_order_attribute(order_frame(frame), "state").collect())
 
 
+def test_parts_count_an_order_once_per_key(lines):
+    frame = lines({}, {}, {"sub_category": "b", "profit": "-1"}, {"order_id": "o2"})
+    assert (rollup.revenue_by(frame, "sub_category").collect()
+            == rollup.revenue_by_order_attribute(
+                rollup.order_parts(frame, "sub_category"), "sub_category").collect())
+
+
 def test_weekdays_start_on_sunday(lines):
     frame = lines({"order_id": "a", "order_date": date(2024, 1, 6)},
                   {"order_id": "b", "order_date": date(2024, 1, 7)})

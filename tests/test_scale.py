@@ -170,6 +170,22 @@ def test_order_frame_equals_the_rollup_of_the_lines(spark, filters):
     assert few.count() == by_line.count()
 
 
+@pytest.mark.parametrize("filters", [NO_FILTERS, Filters(categories=("SMALL",), regions=("ASIA",))])
+def test_order_parts_equal_the_parts_of_the_lines(spark, filters):
+    w = Warehouse(spark, SF_DIR)
+    columns = ["order_id", "state", "sub_category", "n_lines", "sum_sales", "sum_profit",
+               "n_loss_lines", "sum_discount"]
+    by_order = w.orders(*[c for c in columns if c != "sub_category"], by=("sub_category",),
+                        filters=filters)
+    by_line = rollup.order_parts(
+        w.lines("order_id", "state", "sub_category", "sales", "profit", "discount",
+                filters=filters), "state", "sub_category")
+    assert sorted(map(tuple, by_order.select(*columns).collect())) == sorted(
+        map(tuple, by_line.select(*columns).collect()))
+    with pytest.raises(ValueError):
+        w.orders("ship_date", by=("category",))
+
+
 def test_shuffle_partitions_only_grow(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
