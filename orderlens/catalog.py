@@ -100,7 +100,8 @@ QUERIES |= {
     "top_products": lambda w: commerce.top_products(
         w.lines("product_name", "sales", "quantity", "profit")),
     "revenue_share": lambda w: commerce.revenue_share(_by_product(w)),
-    "worst_margin_subcategory": lambda w: commerce.worst_margin_subcategory(_by_product(w)),
+    "worst_margin_subcategory": lambda w: commerce.worst_margin_subcategory(
+        _by_part("sub_category")(w)),
 }
 
 # -- discounts ------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from orderlens.functions.measures import (
     count_where, discount_band, is_loss, money_sum, or_zero, percent, ratio,
 )
-from orderlens.operators.rollup import revenue_by
 from orderlens.plans.reuse import compute_once, one_row
 
 # Upper edges of the discount bands and the deep-discount limit.
@@ -140,6 +139,6 @@ def with_rest(stats: DataFrame) -> DataFrame:
     )
 
 
-def worst_margin_subcategory(lines: DataFrame) -> DataFrame:
-    return revenue_by(lines, "sub_category").orderBy(
-        F.asc_nulls_last("profit_margin_pct"), "sub_category").limit(1)
+def worst_margin_subcategory(revenue: DataFrame) -> DataFrame:
+    """The weakest row of a revenue rollup by sub-category."""
+    return revenue.orderBy(F.asc_nulls_last("profit_margin_pct"), "sub_category").limit(1)

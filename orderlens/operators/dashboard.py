@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 
 from orderlens.operators import calendar, commerce, delivery, findings, kpi, quadrant, rollup
@@ -12,37 +14,67 @@ ORDER_FRAME = ("state", "region", "ship_mode", "delivery_days", "n_lines", "sum_
                "sum_profit", "sum_discount")
 
 
-def dashboard(warehouse: Warehouse, filters: Filters = NO_FILTERS,
-              limit: str = commerce.DEEP_DISCOUNT, min_orders: int = 5) -> dict[str, DataFrame]:
-    """Page item -> frame. State, delivery and finding frames share the order cube
-    and the sub-category totals; the others read only the columns they show.
+class Dashboard:
+    """Each page returns its frames by name.
+
+    State, delivery and finding frames share the order cube and the sub-category
+    totals, which are computed when the first page asks for them; the other frames
+    read only the columns they show, when they are shown.
     """
-    orders = warehouse.orders(*ORDER_FRAME, filters=filters)
-    found = findings.gather(
-        orders, warehouse.lines("sub_category", "sales", "profit", "discount", filters=filters),
-        limit)
-    dated = warehouse.orders("order_date", "sum_sales", filters=filters)
-    by_product = warehouse.lines(
-        "order_id", "category", "sub_category", "sales", "profit", filters=filters)
-    segments = warehouse.orders("state", "n_lines", "n_loss_lines", "sum_profit",
-                                by=("sub_category",), filters=filters)
-    return {
-        "overview.headline": kpi.headline_metrics(orders),
-        "overview.trend": calendar.monthly_trend(dated),
-        "overview.top_states": quadrant.top_states(found.states),
-        "overview.category_revenue": rollup.revenue_by(by_product, "category"),
-        "overview.insights": findings.insights(found),
-        "operations.states": found.states,
-        "operations.states_by_loss_rate": quadrant.states_by_loss_rate(found.states),
-        "operations.seasonality": calendar.month_seasonality(dated),
-        "operations.delivery": delivery.delivery_benchmark(found.cube),
-        "operations.priority_segments": quadrant.priority_segments(
-            quadrant.bottleneck_segments(segments, min_orders, priority_first=False)),
-        "product.category_share": commerce.revenue_share(by_product),
-        "product.margins": rollup.revenue_by(by_product, "sub_category"),
-        "product.top_products": commerce.top_products(
-            warehouse.lines("product_name", "sales", "quantity", "profit", filters=filters)),
-        "product.category_trend": calendar.category_month_trend(
-            warehouse.lines("order_date", "category", "sales", filters=filters)),
-        "findings": findings.findings(found),
-    }
+
+    def __init__(self, warehouse: Warehouse, filters: Filters = NO_FILTERS,
+                 limit: str = commerce.DEEP_DISCOUNT, min_orders: int = 5):
+        self.warehouse = warehouse
+        self.filters = filters
+        self.limit = limit
+        self.min_orders = min_orders
+
+    def _lines(self, *columns: str) -> DataFrame:
+        return self.warehouse.lines(*columns, filters=self.filters)
+
+    def _orders(self, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+        return self.warehouse.orders(*columns, by=by, filters=self.filters)
+
+    def _revenue_by(self, key: str) -> DataFrame:
+        return rollup.revenue_by_order_attribute(
+            self._orders("sum_sales", "sum_profit", by=(key,)), key)
+
+    @cached_property
+    def found(self) -> findings.Evidence:
+        return findings.gather(
+            self._orders(*ORDER_FRAME),
+            self._lines("sub_category", "sales", "profit", "discount"), self.limit)
+
+    def overview(self) -> dict[str, DataFrame]:
+        return {
+            "headline": kpi.headline_metrics(self._orders(*ORDER_FRAME)),
+            "trend": calendar.monthly_trend(self._orders("order_date", "sum_sales")),
+            "top_states": quadrant.top_states(self.found.states),
+            "category_revenue": self._revenue_by("category"),
+            "insights": findings.insights(self.found),
+        }
+
+    def operations(self) -> dict[str, DataFrame]:
+        parts = self._orders(
+            "state", "n_lines", "n_loss_lines", "sum_profit", by=("sub_category",))
+        segments = quadrant.bottleneck_segments(parts, self.min_orders, priority_first=False)
+        return {
+            "states": self.found.states,
+            "states_by_loss_rate": quadrant.states_by_loss_rate(self.found.states),
+            "seasonality": calendar.month_seasonality(self._orders("order_date")),
+            "delivery": delivery.delivery_benchmark(self.found.cube),
+            "priority_segments": quadrant.priority_segments(segments),
+        }
+
+    def product(self) -> dict[str, DataFrame]:
+        return {
+            "category_share": commerce.revenue_share(self._lines("category", "sales")),
+            "margins": self._revenue_by("sub_category"),
+            "top_products": commerce.top_products(
+                self._lines("product_name", "sales", "quantity", "profit")),
+            "category_trend": calendar.category_month_trend(
+                self._lines("order_date", "category", "sales")),
+        }
+
+    def business_insights(self) -> dict[str, DataFrame]:
+        return {"findings": findings.findings(self.found)}

@@ -123,9 +123,16 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
 
 
 def append_new_rows(incoming: DataFrame, path: str, key: list[str],
-                    tie: str | None = None) -> None:
-    """Append the new rows to a stored table. Running it again adds nothing."""
-    existing = incoming.sparkSession.read.parquet(path)
+                    tie: str | None = None, small_batch: bool = False) -> None:
+    """Append the new rows to a stored table. Running it again adds nothing.
+
+    A batch that is small beside the table should say so: the stored keys are then
+    first narrowed to those of the batch, a semi join that sends the batch's keys to
+    the table where its size allows, instead of shuffling every stored key.
+    """
+    existing = incoming.sparkSession.read.parquet(path).select(*key)
+    if small_batch:
+        existing = existing.join(incoming.select(*key), key, "left_semi")
     new_rows(incoming, existing, key, tie).write.mode("append").parquet(path)
 
 

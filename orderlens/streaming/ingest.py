@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from orderlens.operators.quality import clean
+from orderlens.plans.reuse import shared
 from orderlens.schema import CLEAN_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
 from orderlens.sources.star import append_new_rows
 
@@ -35,7 +36,9 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> Str
     spark.createDataFrame([], CLEAN_SCHEMA).write.mode("ignore").parquet(table)
 
     def load(batch: DataFrame, _: int) -> None:
-        append_new_rows(clean(batch).select(*columns), table, ["row_id"])
+        # The batch is read for its keys and for its rows.
+        with shared(clean(batch).select(*columns)) as rows:
+            append_new_rows(rows, table, ["row_id"], small_batch=True)
 
     return (
         read_raw_stream(spark, folder).writeStream.foreachBatch(load)

@@ -1,11 +1,12 @@
 """Findings, insights, dashboard frames and profiles."""
 
 from datetime import date
+from decimal import Decimal
 
 import pytest
 
 from orderlens.operators import findings, kpi, profile, rollup
-from orderlens.operators.dashboard import dashboard
+from orderlens.operators.dashboard import Dashboard
 from orderlens.operators.filters import Filters
 from orderlens.sources.warehouse import Warehouse
 
@@ -52,21 +53,23 @@ def test_no_rows_no_findings(lines):
 def test_dashboard_frames_agree_with_each_other(spark):
     w = Warehouse(spark, SF_DIR)
     chosen = Filters(regions=("ASIA", "EUROPE"), start=date(1996, 1, 1))
-    pages = dashboard(w, chosen, limit="0.08", min_orders=1)
-    head = pages["overview.headline"].collect()[0]
+    board = Dashboard(w, chosen, limit="0.08", min_orders=1)
+    overview, operations, product = board.overview(), board.operations(), board.product()
+    head = overview["headline"].collect()[0]
     total = head.total_orders
     assert total == w.lines("order_id", filters=chosen).distinct().count() > 0
     # Keys that are constant per order split the orders.
-    for page in ("overview.trend", "operations.states", "operations.seasonality",
-                 "operations.delivery"):
-        assert sum(r.total_orders for r in pages[page].collect()) == total, page
-    revenue = sum(r.total_revenue for r in pages["overview.category_revenue"].collect())
+    for frame in (overview["trend"], operations["states"], operations["seasonality"],
+                  operations["delivery"]):
+        assert sum(r.total_orders for r in frame.collect()) == total
+    revenue = sum(r.total_revenue for r in overview["category_revenue"].collect())
     assert abs(revenue - head.total_revenue) < 1
-    assert pages["product.top_products"].count() == 10
-    assert abs(sum(r.revenue_share for r in pages["product.category_share"].collect()) - 1) < 1e-4
-    assert pages["findings"].count() >= 3 and pages["overview.insights"].count() >= 4
-    assert all(frame.columns for frame in pages.values())
-    assert pages["operations.priority_segments"].count() <= 15
+    assert product["top_products"].count() == 10
+    assert abs(sum(r.revenue_share for r in product["category_share"].collect()) - 1) < Decimal("1e-4")
+    assert product["margins"].count() == 25 and product["category_trend"].count() > 6
+    assert overview["insights"].count() >= 4 and overview["top_states"].count() == 10
+    assert board.business_insights()["findings"].count() >= 3
+    assert operations["priority_segments"].count() <= 15
 
 
 def test_filtered_summary_equals_summary_of_filtered_lines(spark, one):
