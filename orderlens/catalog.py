@@ -19,7 +19,7 @@ from orderlens.operators import (
 )
 from orderlens.operators.dashboard import ORDER_FRAME
 from orderlens.schema import MONEY, NUMERIC, RATE, TEXT_LENGTHS
-from orderlens.session import scratch_path, tune
+from orderlens.session import scratch_path, size_shuffle, stored_bytes, tune
 from orderlens.sources import files, star
 from orderlens.sources.warehouse import LINE_COLUMNS, Warehouse
 
@@ -35,14 +35,25 @@ SELECTION = filters.Filters(
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
+SIZED: set[tuple[str, str]] = set()
 
 
 def bind(build: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
-        return present(build(Warehouse(tune(spark), path)))
+        warehouse = Warehouse(tune(spark), path)
+        size_for(warehouse)
+        return present(build(warehouse))
     return run
 
 
+def size_for(warehouse: Warehouse) -> None:
+    """Shuffle partitions to suit the fact table, looked up once per session and folder."""
+    known = (warehouse.spark.sparkContext.applicationId, warehouse.path)
+    if known not in SIZED:
+        size_shuffle(warehouse.spark, stored_bytes(warehouse.table("lineitem")))
+        SIZED.add(known)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(build) for name, build in QUERIES.items()}
 

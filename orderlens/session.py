@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # More reducers than this costs more in shuffle block bookkeeping than it saves.
 MAX_SHUFFLE_PARTITIONS = 20_000
@@ -54,6 +54,11 @@ def size_shuffle(spark: SparkSession, input_bytes: int) -> int:
     return current
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a stored table as the optimizer sees it, from its file listing."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
     Only a local session without that setting gets a temporary folder of its own.

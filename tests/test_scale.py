@@ -9,7 +9,7 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from oracle.compare import compare, connect
-from orderlens import session
+from orderlens import catalog, session
 from orderlens.operators import commerce, findings, quadrant, rollup
 from orderlens.operators.filters import NO_FILTERS, Filters
 from orderlens.plans import reuse
@@ -196,6 +196,20 @@ def test_shuffle_partitions_only_grow(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_partitions_follow_the_fact_table(spark, monkeypatch):
+    w = Warehouse(spark, SF_DIR)
+    size = session.stored_bytes(w.table("lineitem"))
+    assert 100_000 < size < 1_000_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(catalog, "SIZED", set())
+    monkeypatch.setattr(session, "SHUFFLE_TARGET_BYTES", 10_000)
+    try:
+        catalog.size_for(w)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == -(-size // 10_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_scratch_tables_live_in_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_folder(spark) == folder
