@@ -7,7 +7,8 @@ import pyarrow.parquet as pq
 import numpy as np
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from oracle.sql import SQL
+from orderlens.catalog import all_queries as queries
 from oracle.compare import compare, connect
 from orderlens import catalog, session
 from orderlens.operators import commerce, findings, quadrant, rollup
@@ -83,7 +84,7 @@ def sort_merge(spark):
 @pytest.mark.parametrize("name", sorted(set(queries()) - WRITES_FILES))
 def test_hot_keys_give_the_same_results(sort_merge, skewed, name):
     frame = queries()[name](sort_merge, skewed)
-    assert compare(frame, connect(skewed), oracle_sql()[name]) == []
+    assert compare(frame, connect(skewed), SQL[name]) == []
 
 
 @pytest.mark.parametrize("columns", [("profit",), ("order_date", "sales"), ("delivery_days", "profit")])
