@@ -6,25 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import languages, licenses, mixing, packing
+from orderlens.llm import languages, licenses, mixing, packing, quality, simhash
 from orderlens.llm.common import table
 
 #: Rows that go to a Python worker at once; a row may be a very long text.
 ARROW_ROWS = "1000"
 
 
-def bound(name: str, build: Callable[[DataFrame], DataFrame]):
+def bound(build: Callable[..., DataFrame], *names: str):
+    """A query that hands the named tables to an operator."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        return build(table(spark, sf_dir, name))
+        return build(*[table(spark, sf_dir, name) for name in names])
     return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": bound("documents", packing.pack),
-    "op7_mixing": bound("documents", mixing.mix_table),
-    "op9_licenses": bound("documents", licenses.scan_licenses),
-    "op10_languages": bound("documents", languages.language_table),
+    "op1_packing": bound(packing.pack, "documents"),
+    "op5_simhash": bound(simhash.near_duplicates, "documents"),
+    "op7_mixing": bound(mixing.mix_table, "documents"),
+    "op8_quality": bound(quality.quality_table, "documents", "labels"),
+    "op9_licenses": bound(licenses.scan_licenses, "documents"),
+    "op10_languages": bound(languages.language_table, "documents"),
 }
 
 SQL = {"op7_mixing": mixing.SQL}
