@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import languages, licenses, mixing, packing, quality, simhash, topk
+from orderlens.llm import hmm, languages, licenses, mixing, packing, quality, simhash, topk
 from orderlens.llm.common import table
 
 #: Rows that go to a Python worker at once; a row may be a very long text.
@@ -23,6 +23,7 @@ def bound(build: Callable[..., DataFrame], *names: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": bound(packing.pack, "documents"),
+    "op2_hmm": bound(hmm.score_table, "documents"),
     "op3_topk": bound(topk.search_table, "embeddings"),
     "op5_simhash": bound(simhash.near_duplicates, "documents"),
     "op7_mixing": bound(mixing.mix_table, "documents"),
