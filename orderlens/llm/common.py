@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words end at these characters: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,12 +85,14 @@ def numbered(frame: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
             .withColumn(name, F.col(name) - 1 + F.col("before__")).drop(part, "before__"))
 
 
-def per_batch(work: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], rows: int = 512):
-    """For mapInArrow: calls ``work`` on pieces of at most ``rows`` rows."""
+def in_arrow(frame: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str,
+             rows: int = 512) -> DataFrame:
+    """mapInArrow with a function from a piece of at most ``rows`` rows to named columns."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
-                out = work(batch.slice(start, rows))
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
-    return run
+                yield pa.RecordBatch.from_pydict(work(batch.slice(start, rows)), kinds)
+
+    return frame.mapInArrow(run, schema)

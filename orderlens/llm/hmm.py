@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import per_batch, remainder, stored, whole_texts
+from orderlens.llm.common import in_arrow, remainder, stored, whole_texts
 
 #: Word lookup travels to the tasks for this many of the commonest words.
 HEAD = 1 << 18
@@ -307,9 +307,9 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
 
     def classify(batch):
         return {"word": batch.column(0), "c": batch.column(1),
-                "class": pa.array([shared.value.class_of(w) for w in batch.column(0).to_pylist()], pa.int32())}
+                "class": [shared.value.class_of(w) for w in batch.column(0).to_pylist()]}
 
-    by_class = (counts.mapInArrow(per_batch(classify, 4096), "word binary, c long, class int")
+    by_class = (in_arrow(counts, classify, "word binary, c long, class int", 4096)
                 .groupBy("class").agg(F.sum("c").alias("s"), F.count("*").alias("n")).collect())
     tokens_in, words_in = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
@@ -341,15 +341,12 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
             out["classes"].append(line.tobytes())
             out["rare"].append(list(rare))
             out["times"].append(list(rare.values()))
-        return {"doc_id": batch.column(0), "held_out": batch.column(2), **{
-            k: pa.array(v, pa.list_(pa.binary()) if k == "rare" else None if k != "times"
-                        else pa.list_(pa.int32())) for k, v in out.items()}}
+        return {"doc_id": batch.column(0), "held_out": batch.column(2), **out}
 
     lines = stored(
-        docs.select("doc_id", "text", "held_out").mapInArrow(
-            per_batch(read, 256),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, "
-            "class_logs double, classes binary, rare array<binary>, times array<int>")
+        in_arrow(docs.select("doc_id", "text", "held_out"), read,
+                 "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, "
+                 "class_logs double, classes binary, rare array<binary>, times array<int>", 256)
         .withColumn("row", F.monotonically_increasing_id()), "lines")
     model = baum_welch(lines.where("NOT held_out"), tokens_in, states, rounds)
 

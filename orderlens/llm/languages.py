@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import per_batch, remainder
+from orderlens.llm.common import in_arrow, remainder
 
 #: N-grams are counted in this many hashed cells: the model's size is this times the languages.
 CELLS = 1 << 16
@@ -69,7 +69,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 "n": np.concatenate(found["n"])}
 
     used = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    rows = (used.mapInArrow(per_batch(count, 4096), "lang string, cell long, n long")
+    rows = (in_arrow(used, count, "lang string, cell long, n long", 4096)
             .groupBy("lang", "cell").agg(F.sum("n").alias("n"))).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((len(langs), CELLS))
@@ -153,9 +153,9 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                           for t, ok in zip(theta, known)],
         }
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        per_batch(predict, 256),
-        "doc_id long, held_out boolean, lang_pred string, score double, languages string")
+    return in_arrow(
+        docs.select("doc_id", "held_out", "text"), predict,
+        "doc_id long, held_out boolean, lang_pred string, score double, languages string", 256)
 
 
 def language_table(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import per_batch, whole_texts
+from orderlens.llm.common import in_arrow, whole_texts
 
 # Phrases whose places are counted, with their labels.
 PHRASES = {
@@ -103,7 +103,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple
             seen.update(vocabulary.intersection(words_of(text)))
         return {"word": list(seen), "n": list(seen.values())}
 
-    counted = (docs.select("text").mapInArrow(per_batch(count, 4096), "word binary, n long")
+    counted = (in_arrow(docs.select("text"), count, "word binary, n long", 4096)
                .groupBy("word").agg(F.sum("n").alias("n")).collect())
     found = {bytes(r["word"]): r["n"] for r in counted}
     return found.pop(b"", 0), found
@@ -200,4 +200,4 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, rare: in
             out["score"].append(1.0 if base else float(max((s for *_, s in found), default=0.0)))
         return out
 
-    return texts.mapInArrow(per_batch(scan), SCHEMA)
+    return in_arrow(texts, scan, SCHEMA)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import per_batch, stored, whole_texts
+from orderlens.llm.common import in_arrow, stored, whole_texts
 from orderlens.llm.graph import components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         return {"doc_id": batch.column(0), "fp": [fingerprint(t, size) for t in texts]}
 
-    return whole_texts(docs).mapInArrow(per_batch(work), "doc_id long, fp long")
+    return in_arrow(whole_texts(docs), work, "doc_id long, fp long")
 
 
 def ball_masks(radius: int) -> list[tuple[int, np.ndarray]]:
@@ -142,7 +142,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         a, b = pairs_meeting(keys, fps, radius)
         return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    met = (distinct.select("fp").mapInArrow(per_batch(emit), "key long, fp long")
+    met = (in_arrow(distinct.select("fp"), emit, "key long, fp long")
            .repartition("key").sortWithinPartitions("key")
            .mapInArrow(meet, "a long, b long"))
     return met.distinct()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import per_batch, stored
+from orderlens.llm.common import in_arrow, stored
 
 SCALE = 64.0
 LISTS = 2
@@ -45,10 +45,10 @@ def quantised(rows: DataFrame) -> DataFrame:
                 whole = np.trim_zeros(np.floor(scaled).clip(-2.0 ** 62, 2.0 ** 62), "b")
                 ids.append(vec_id)
                 packed.append(whole.astype("<i8").tobytes())
-        return {"vec_id": pa.array(ids, pa.int64()), "v": pa.array(packed, pa.binary())}
+        return {"vec_id": ids, "v": packed}
 
-    return rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(
-        per_batch(work), "vec_id long, v binary")
+    return in_arrow(rows.select(F.col("vec_id").cast("long"), "embedding"), work,
+                    "vec_id long, v binary")
 
 
 def stack(packed: pd.Series) -> np.ndarray:
@@ -141,12 +141,12 @@ def resolved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
             n = min(len(x), len(y))
             scores.append(int(x[:n] @ y[:n]))
-        return {"qid": batch.column("qid"), "cid": batch.column("cid"), "score": pa.array(scores, pa.int64())}
+        return {"qid": batch.column("qid"), "cid": batch.column("cid"), "score": scores}
 
     vectors = classes.select("cid", "v")
     asked = classes.select(F.col("cid").alias("qid"), F.col("v").alias("qv"))
-    return (pairs.select("qid", "cid").join(vectors, "cid").join(asked, "qid")
-            .mapInArrow(per_batch(work), "qid long, cid long, score long"))
+    return in_arrow(pairs.select("qid", "cid").join(vectors, "cid").join(asked, "qid"), work,
+                    "qid long, cid long, score long")
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
