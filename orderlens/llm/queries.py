@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import hmm, languages, licenses, mixing, packing, quality, repeats, simhash, topk
+from orderlens.llm import hmm, languages, licenses, mixing, packing, quality, repeats, simhash, spotsigs, topk
 from orderlens.llm.common import table
 
 #: Rows that go to a Python worker at once; a row may be a very long text.
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": bound(topk.search_table, "embeddings"),
     "op4_repeats": bound(repeats.repeats_table, "documents"),
     "op5_simhash": bound(simhash.near_duplicates, "documents"),
+    "op6_spotsigs": bound(spotsigs.edits_table, "documents"),
     "op7_mixing": bound(mixing.mix_table, "documents"),
     "op8_quality": bound(quality.quality_table, "documents", "labels"),
     "op9_licenses": bound(licenses.scan_licenses, "documents"),
