@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import hmm, languages, licenses, mixing, packing, quality, repeats, simhash, spotsigs, topk
-from orderlens.llm.common import table
-
-#: Rows that go to a Python worker at once; a row may be a very long text.
-ARROW_ROWS = "1000"
+from orderlens.llm import (
+    hmm, languages, licenses, mixing, packing, quality, repeats, simhash, spotsigs, topk,
+)
+from orderlens.llm.common import small_batches, table
 
 
 def bound(build: Callable[..., DataFrame], *names: str):
     """A query that hands the named tables to an operator."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        small_batches(spark)
         return build(*[table(spark, sf_dir, name) for name in names])
     return run
 

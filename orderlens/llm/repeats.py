@@ -322,7 +322,6 @@ def compared(first_places: DataFrame) -> DataFrame:
         # A key's only segment can repeat nothing but itself, and only if it is marked so.
         rest = sorted((place, part) for (key, part), place in firsts.held.items()
                       if not alone[key] or recurs(part, width))
-        size, group = 0, []
         if rest:
             for (did, h, start), again in zip([p for p, _ in rest], repeated_windows([p for _, p in rest])):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
@@ -356,9 +355,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for span in sorted((s["start"], s["stop"]) for s in spans or ()):
+    for span in sorted((s["start"], s["stop"]) for s in (() if spans is None else spans)):
         if out and span[0] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], span[1]))
         else:
