@@ -211,10 +211,10 @@ def search_table(rows: DataFrame) -> DataFrame:
 
 SQL = """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score

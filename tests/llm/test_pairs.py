@@ -1,0 +1,190 @@
+"""SimHash, repeats and top-k beside brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orderlens.llm import graph, repeats, simhash, topk
+from tests.llm.conftest import prose
+
+
+def plain_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    parts = [" ".join(words[k:k + 3]) for k in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", ["", " \n", "One", "one TWO", "a b c", "x y z ÄB c d", prose(1, 300)])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) % (1 << 64) == plain_fingerprint(text)
+
+
+def reachable(prints, ids, radius=3):
+    roots = list(range(len(ids)))
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                roots[max(a, b)] = min(a, b)
+    return {ids[i]: min(ids[j] for j in range(len(ids)) if find(j) == find(i)) for i in range(len(ids))}
+
+
+def test_components_match_brute_force(documents):
+    rng = random.Random(5)
+    rows, k = [], 0
+    for base in range(12):
+        words = prose(base, 150).split()
+        for _ in range(rng.randint(1, 8)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((k, " ".join(copy)))
+            k += 1
+    rows += [(k, ""), (k + 1, None), (k + 2, "a")]
+    expected = reachable([plain_fingerprint(t) for _, t in rows], [i for i, _ in rows])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows)).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_no_link_is_lost(spark, radius):
+    rng = random.Random(radius)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for _ in range(150):
+        x = base
+        for b in rng.sample(range(64), rng.randint(0, 6)):
+            x ^= 1 << b
+        prints.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(frame, radius).collect()}
+    expected = {frozenset((x, y)) for x in prints for y in prints
+                if x != y and (x ^ y).bit_count() <= radius}
+    assert got == expected
+
+
+def test_crowded_variant_keeps_its_links():
+    rng = np.random.default_rng(0)
+    fps = np.unique(rng.integers(0, 1 << 14, 3000).astype(np.uint64))
+    a, b = simhash.pairs_meeting(np.zeros(len(fps), np.int64), fps, 3)
+    assert (np.bitwise_count(a ^ b) <= 3).all() and len(a) == len(fps) - 1
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1001 + k) for k in range(300)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len({got[k] for k in range(301)}) == 1
+    assert len({got[1000 + k] for k in range(301)}) == 1 and got[0] != got[1000]
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- repeats ----------------------------------------------------------------------------
+
+
+def plain_repeats(rows):
+    """rows in order: bytes covered by a 100-byte string that starts earlier."""
+    seen, out = set(), {}
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for k in range(len(data) - 99):
+            if data[k:k + 100] in seen:
+                gone[k:k + 100] = [True] * 100
+            seen.add(data[k:k + 100])
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = sum(g and not p for g, p in zip(gone, [False] + gone))
+        out[doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeated_rows():
+    passage, line = prose(77, 60), prose(78, 25)
+    rows = [(k, prose(k, 80)) for k in range(6)]
+    rows += [(10, prose(1, 80)), (11, prose(2, 40) + passage + prose(30, 40)), (12, passage),
+             (13, (line + "\n") * 6), (14, "ab" * 400), (15, "a" * 500), (16, prose(3, 80)[30:] + "ab" * 90),
+             (17, None), (18, ""), (19, "a" * 99), (20, "a" * 100), (21, passage[:100]), (22, passage[:99]),
+             (23, "ö" * 120), (24, prose(5, 80)[:-3] + "xyz" + prose(5, 80)), (25, "x" + "ö" * 70)]
+    return rows
+
+
+def test_repeats_match_brute_force(documents):
+    rows = repeated_rows()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in repeats.repeats_table(documents(rows)).collect()}
+    assert got == plain_repeats(rows)
+
+
+def test_repeats_in_small_transforms(documents, monkeypatch):
+    monkeypatch.setattr(repeats, "TRANSFORM", 1)
+    monkeypatch.setattr(repeats, "HELD", 3)
+    monkeypatch.setattr(repeats, "HASHED", 50)
+    test_repeats_match_brute_force(documents)
+
+
+@given(st.lists(st.binary(min_size=100, max_size=160).map(
+    lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6, unique=True))
+@settings(max_examples=60, deadline=None)
+def test_transform_finds_repeated_windows(parts):
+    seen = set()
+    for part, again in zip(parts, repeats.repeated_windows(parts)):
+        for k, found in enumerate(again):
+            assert found == (part[k:k + 100] in seen)
+            seen.add(part[k:k + 100])
+
+
+def test_cut_texts_stay_whole_characters(documents):
+    rows = [(1, "x" * 30 + "ö" * 120 + "y"), (2, "z" * 31 + "ö" * 120 + "w")]
+    got = {r.doc_id: r for r in repeats.without_repeats(documents(rows)).collect()}
+    assert got[1].text[:30] == "x" * 30 and got[2].text.startswith("z" * 31) and got[2].text.endswith("w")
+    assert got[2].n_chars == len(got[2].text) < 60
+
+
+# -- top-k ------------------------------------------------------------------------------
+
+
+def plain_top(vectors, k=20):
+    ids = np.array([i for i, _ in vectors])
+    v = np.floor(64 * np.array([x for _, x in vectors], dtype=np.float32).astype(np.float64)).astype(int)
+    out = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        s, other = v @ v[i], ids != ids[i]
+        order = np.lexsort((ids[other], -s[other]))[:k]
+        out[int(ids[i])] = list(zip(ids[other][order].tolist(), s[other][order].tolist()))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "ties", "hot", "few"])
+def test_top_k_matches_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS_IN_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    n = 12 if kind == "few" else 400
+    values = rng.integers(-1, 2, (n, 6)).astype(float) if kind == "ties" else rng.normal(size=(n, 6))
+    if kind == "hot":
+        values[::3] = values[0]
+    vectors = [(int(i), row.tolist()) for i, row in zip(rng.permutation(n), values)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(topk.search_table(frame).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == plain_top(vectors)
+
+
+def test_products_are_exact_for_large_values():
+    q, v = np.array([[1 << 40, -3]]), np.array([[1 << 20, 1 << 30]])
+    assert topk.products(q, v).tolist() == [[(1 << 60) - 3 * (1 << 30)]]
