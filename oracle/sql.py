@@ -7,31 +7,31 @@ decimals until they are shown; ratios are taken in double precision.
 from __future__ import annotations
 
 LINES = """
-item AS (
+priced AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS product_id,
          CAST(l_quantity AS INTEGER) AS quantity,
          CAST(l_discount AS DECIMAL(4,2)) AS discount,
          CAST(CAST(l_extendedprice AS DECIMAL(12,2))
               * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(14,4)) AS sales,
+         CAST(CAST(0.8 AS DECIMAL(2,1)) * CAST(p_retailprice AS DECIMAL(9,2))
+              * CAST(l_quantity AS INTEGER) AS DECIMAL(14,4)) AS cost,
          CAST(l_shipdate AS DATE) AS line_ship_date,
-         CAST(MAX(l_shipdate) OVER (PARTITION BY l_orderkey) AS DATE) AS ship_date
-  FROM lineitem),
-priced AS (
-  SELECT i.*, p_name AS product_name, p_type AS category, p_brand AS sub_category,
-         CAST(sales - CAST(0.8 AS DECIMAL(2,1)) * CAST(p_retailprice AS DECIMAL(9,2)) * quantity
-              AS DECIMAL(14,4)) AS profit
-  FROM item i JOIN part ON p_partkey = product_id),
-lines AS (
-  SELECT p.*, profit < 0 AS is_loss_line, CAST(o_orderdate AS DATE) AS order_date,
-         date_diff('day', CAST(o_orderdate AS DATE), ship_date) AS delivery_days,
-         o_orderpriority AS ship_mode, o_orderstatus AS order_status,
-         c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment,
-         n_name AS state, r_name AS region
-  FROM priced p
+         p_name AS product_name, p_type AS category, p_brand AS sub_category
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+placed AS (
+  SELECT priced.*, CAST(sales - cost AS DECIMAL(14,4)) AS profit,
+         CAST(o_orderdate AS DATE) AS order_date, o_orderpriority AS ship_mode,
+         o_orderstatus AS order_status, c_custkey AS customer_id, c_name AS customer_name,
+         c_mktsegment AS segment, n_name AS state, r_name AS region,
+         MAX(line_ship_date) OVER (PARTITION BY order_id) AS ship_date
+  FROM priced
   JOIN orders ON o_orderkey = order_id
   JOIN customer ON c_custkey = o_custkey
   JOIN nation ON n_nationkey = c_nationkey
-  JOIN region ON r_regionkey = n_regionkey)"""
+  JOIN region ON r_regionkey = n_regionkey),
+lines AS (
+  SELECT *, profit < 0 AS is_loss_line, date_diff('day', order_date, ship_date) AS delivery_days
+  FROM placed)"""
 
 ORDERS = """
 per_order AS (
@@ -161,15 +161,19 @@ FROM {source} GROUP BY {key}"""
 for key in ("category", "sub_category", "segment", "region", "state", "ship_mode"):
     SQL[f"revenue_by_{key}"] = text(revenue_by(key))
 
+# A rank is one more than the number of better rows; a missing figure is worse than any.
 RANKED = f"""
-stats AS (
+taxonomy AS (
   SELECT sub_category, category, {money('sales')} AS total_revenue, {money('profit')} AS total_profit,
          {pct('SUM(profit)', 'SUM(sales)')} AS margin_pct
-  FROM lines GROUP BY sub_category, category),
+  FROM lines GROUP BY ALL),
 ranked AS (
-  SELECT *, RANK() OVER (ORDER BY total_revenue DESC NULLS LAST) AS revenue_rank,
-         RANK() OVER (ORDER BY margin_pct ASC NULLS LAST) AS margin_rank_worst_first
-  FROM stats)"""
+  SELECT t.*,
+         1 + (SELECT COUNT(*) FROM taxonomy o WHERE o.total_revenue > t.total_revenue
+              OR (t.total_revenue IS NULL AND o.total_revenue IS NOT NULL)) AS revenue_rank,
+         1 + (SELECT COUNT(*) FROM taxonomy o WHERE o.margin_pct < t.margin_pct
+              OR (t.margin_pct IS NULL AND o.margin_pct IS NOT NULL)) AS margin_rank_worst_first
+  FROM taxonomy t)"""
 SQL["category_performance"] = text("SELECT * FROM ranked", RANKED)
 SQL["rank_divergence"] = text("""
 SELECT * FROM ranked WHERE revenue_rank <= 40 AND margin_rank_worst_first <= 40""", RANKED)
@@ -223,53 +227,57 @@ FROM (SELECT DISTINCT state FROM lines) s, lines l GROUP BY s.state""")
 # -- quadrants ----------------------------------------------------------------------------
 
 
-def location_stats(days: str, rate: str) -> str:
+def by_state(rate: str, weight: str) -> str:
+    """States with the thresholds beside them: the middle volume and the mean rate of all."""
     return f"""
-stats AS (
-  SELECT state, region, COUNT(*) AS total_orders, {money('order_sales')} AS total_revenue,
-         {pct(ORDER_LOSS, 'COUNT(*)')} AS {rate}, {days} AS avg_delivery_days
-  FROM per_order GROUP BY state, region),
-overall AS (
-  SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY total_orders) AS median_volume,
-         AVG({rate}) AS mean_rate FROM stats)"""
+by_state AS (
+  SELECT *, MEDIAN(total_orders) OVER () AS median_volume, AVG({rate}) OVER () AS mean_rate
+  FROM (SELECT state, region, COUNT(*) AS total_orders, {money('order_sales')} AS total_revenue,
+               {pct(ORDER_LOSS, 'COUNT(*)')} AS {rate},
+               {ratio(f'SUM({weight} * delivery_days)', f'SUM({weight})')} AS avg_delivery_days
+        FROM per_order GROUP BY ALL))"""
 
 
-BY_ORDER = location_stats("ROUND(AVG(delivery_days), 2)", "order_loss_rate_pct")
-BY_LINE = location_stats(ratio("SUM(n_lines * delivery_days)", "SUM(n_lines)"), "loss_rate_pct")
+BY_ORDER = by_state("order_loss_rate_pct", "1")
+BY_LINE = by_state("loss_rate_pct", "n_lines")
+STATE_COLUMNS = "state, region, total_orders, total_revenue, {rate}, avg_delivery_days"
 SQL["location_performance"] = text(f"""
-SELECT stats.*, {QUADRANT.format(v='total_orders', r='order_loss_rate_pct')} AS performance_segment
-FROM stats CROSS JOIN overall""", ORDERS, BY_ORDER)
-SQL["location_performance_lines"] = text(f"""
-SELECT stats.*, {QUADRANT.format(v='total_orders', r='loss_rate_pct')} AS quadrant,
-       median_volume AS median_orders, ROUND(mean_rate, 6) AS avg_loss_rate
-FROM stats CROSS JOIN overall""", ORDERS, BY_LINE)
-
+SELECT {STATE_COLUMNS.format(rate='order_loss_rate_pct')},
+       {QUADRANT.format(v='total_orders', r='order_loss_rate_pct')} AS performance_segment
+FROM by_state""", ORDERS, BY_ORDER)
 STATES = f"""
 states AS (
-  SELECT stats.*, {QUADRANT.format(v='total_orders', r='loss_rate_pct')} AS quadrant
-  FROM stats CROSS JOIN overall)"""
-SQL["top_states"] = text("""
-SELECT * FROM states ORDER BY total_orders DESC, state, region LIMIT 10""", ORDERS, BY_LINE, STATES)
-SQL["states_by_loss_rate"] = text("SELECT * FROM states", ORDERS, BY_LINE, STATES)
-SQL["priority_states"] = text("""
-SELECT * FROM states WHERE quadrant = 'High Volume / Poor Performance - PRIORITY'""",
-                              ORDERS, BY_LINE, STATES)
+  SELECT {STATE_COLUMNS.format(rate='loss_rate_pct')},
+         {QUADRANT.format(v='total_orders', r='loss_rate_pct')} AS quadrant,
+         median_volume AS median_orders, mean_rate AS avg_loss_rate
+  FROM by_state)"""
+PLAIN_STATES = "SELECT * EXCLUDE (median_orders, avg_loss_rate) FROM states"
+SQL["location_performance_lines"] = text(
+    "SELECT * REPLACE (ROUND(avg_loss_rate, 6) AS avg_loss_rate) FROM states", ORDERS, BY_LINE, STATES)
+SQL["top_states"] = text(
+    PLAIN_STATES + " ORDER BY total_orders DESC, state, region LIMIT 10", ORDERS, BY_LINE, STATES)
+SQL["states_by_loss_rate"] = text(PLAIN_STATES, ORDERS, BY_LINE, STATES)
+SQL["priority_states"] = text(
+    PLAIN_STATES + " WHERE quadrant = 'High Volume / Poor Performance - PRIORITY'",
+    ORDERS, BY_LINE, STATES)
 
 
 def segments(min_orders: int) -> str:
     return f"""
-segment_stats AS (
-  SELECT state, sub_category, COUNT(DISTINCT order_id) AS order_volume,
-         {pct(LOSS, 'COUNT(*)')} AS line_loss_rate_pct, {money('profit')} AS total_profit
-  FROM lines GROUP BY state, sub_category HAVING COUNT(DISTINCT order_id) >= {min_orders}),
-overall AS (
-  SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY order_volume) AS median_volume,
-         AVG(line_loss_rate_pct) AS mean_rate FROM segment_stats),
+segment_rows AS (
+  SELECT state, sub_category, order_id, COUNT(*) AS k, {n(LOSS)} AS k_loss, SUM(profit) AS profit
+  FROM lines GROUP BY ALL),
+thick AS (
+  SELECT state, sub_category, COUNT(*) AS order_volume,
+         {pct('SUM(k_loss)', 'SUM(k)')} AS line_loss_rate_pct, {money('profit')} AS total_profit
+  FROM segment_rows GROUP BY state, sub_category HAVING COUNT(*) >= {min_orders}),
 classified AS (
-  SELECT s.*, {QUADRANT.format(v='order_volume', r='line_loss_rate_pct')} AS quadrant,
+  SELECT * EXCLUDE (median_volume, mean_rate),
+         {QUADRANT.format(v='order_volume', r='line_loss_rate_pct')} AS quadrant,
          ROUND(median_volume, 1) AS overall_median_volume,
          ROUND(mean_rate, 2) AS overall_avg_line_loss_rate
-  FROM segment_stats s CROSS JOIN overall)"""
+  FROM (SELECT *, MEDIAN(order_volume) OVER () AS median_volume,
+               AVG(line_loss_rate_pct) OVER () AS mean_rate FROM thick))"""
 
 
 SEGMENT = "state, sub_category, order_volume, line_loss_rate_pct, total_profit, quadrant"
@@ -283,12 +291,22 @@ ORDER BY order_volume DESC, state, sub_category LIMIT 15""", segments(5))
 
 
 def benchmark(source: str) -> str:
+    """75th percentile per ship mode, read off the running counts of its delivery days: the
+    value at place 0.75 * (n - 1), between two neighbours in proportion.
+    """
     return f"""
-bench AS (
-  SELECT ship_mode, PERCENTILE_CONT(0.75) WITHIN GROUP (ORDER BY delivery_days) AS p75
-  FROM {source} GROUP BY ship_mode),
-delivered AS (SELECT o.ship_mode, o.delivery_days, b.p75 FROM per_order o JOIN bench b
-              ON o.ship_mode = b.ship_mode)"""
+day_counts AS (
+  SELECT ship_mode, delivery_days AS d, COUNT(*) AS k FROM {source}
+  WHERE delivery_days IS NOT NULL GROUP BY ALL),
+day_places AS (
+  SELECT *, SUM(k) OVER (PARTITION BY ship_mode ORDER BY d) AS upto,
+         0.75::DOUBLE * (SUM(k) OVER (PARTITION BY ship_mode) - 1) AS place FROM day_counts),
+p75s AS (
+  SELECT ship_mode, MIN(d) FILTER (WHERE upto > floor(place))
+           + (place - floor(place)) * (MIN(d) FILTER (WHERE upto > ceil(place))
+                                       - MIN(d) FILTER (WHERE upto > floor(place))) AS p75
+  FROM day_places GROUP BY ship_mode, place),
+delivered AS (SELECT ship_mode, delivery_days, p75 FROM per_order LEFT JOIN p75s USING (ship_mode))"""
 
 
 OVER = "SUM(CASE WHEN delivery_days > p75 THEN 1 ELSE 0 END)"
@@ -404,11 +422,11 @@ FROM lines ORDER BY order_id, line_number, product_id, quantity, lines.sales LIM
 
 PRIORITY = """
 top_state AS (
-  SELECT s.*, median_volume, mean_rate,
+  SELECT s.*, avg_loss_rate AS mean_rate,
          (SELECT CAST(SUM(discount) AS DOUBLE) / COUNT(*) FROM lines l WHERE l.state = s.state) AS d_in,
          (SELECT CAST(SUM(discount) AS DOUBLE) / COUNT(*) FROM lines l WHERE l.state <> s.state) AS d_out
   FROM (SELECT * FROM states WHERE quadrant = 'High Volume / Poor Performance - PRIORITY'
-        ORDER BY total_orders DESC, state, region LIMIT 1) s CROSS JOIN overall)"""
+        ORDER BY total_orders DESC, state, region LIMIT 1) s)"""
 WORST = "worst AS (" + revenue_by("sub_category") + \
     " ORDER BY profit_margin_pct ASC NULLS LAST, sub_category LIMIT 1)"
 DEEP = f"""
@@ -573,39 +591,68 @@ HEADERS = """
 headers AS (
   SELECT DISTINCT order_id, customer_id, state, region, order_date, ship_date, ship_mode,
          delivery_days FROM lines)"""
+# The stored tables before any of them is joined to another but for what it looks up.
+BASE = """
+shipped AS (SELECT l_orderkey, CAST(MAX(l_shipdate) AS DATE) AS ship_date FROM lineitem GROUP BY ALL),
+stored_places AS (
+  SELECT n_nationkey AS location_id, n_regionkey AS region_id, n_name AS state, r_name AS region
+  FROM nation LEFT JOIN region ON r_regionkey = n_regionkey),
+stored_orders AS (
+  SELECT o_orderkey AS order_id, o_custkey AS customer_id, c_nationkey AS location_id,
+         CAST(o_orderdate AS DATE) AS order_date, ship_date, o_orderpriority AS ship_mode,
+         date_diff('day', CAST(o_orderdate AS DATE), ship_date) AS delivery_days
+  FROM orders JOIN shipped ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
+stored_items AS (
+  SELECT l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS product_id,
+         CAST(l_extendedprice AS DOUBLE) * (1 - l_discount) AS sales,
+         CAST(l_quantity AS INTEGER) AS quantity, l_discount AS discount, l_quantity, l_extendedprice
+  FROM lineitem)"""
 NOT_NULL = {
-    "locations": ("(SELECT n_name AS state, r_name AS region FROM nation "
-                  "JOIN region ON r_regionkey = n_regionkey)", ("state", "region")),
+    "locations": ("stored_places", ("state", "region")),
     "customers": ("(SELECT c_custkey AS customer_id, c_name AS customer_name, "
                   "c_mktsegment AS segment FROM customer)",
                   ("customer_id", "customer_name", "segment")),
     "products": ("(SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category, "
-                 "p_brand AS sub_category FROM part)",
+                 "p_brand AS sub_category, p_retailprice FROM part)",
                  ("product_id", "product_name", "category", "sub_category")),
-    "orders": ("headers", ("order_id", "customer_id", "order_date", "ship_date", "ship_mode",
-                           "delivery_days")),
-    "order_items": ("lines", ("order_id", "product_id", "sales", "quantity", "discount", "profit")),
+    "orders": ("stored_orders", ("order_id", "customer_id", "order_date", "ship_date", "ship_mode",
+                                 "delivery_days")),
+    "order_items": ("stored_items", ("order_id", "product_id", "sales", "quantity", "discount")),
 }
 CHECKS = {
     "orders": {"delivery_days >= 0": "delivery_days < 0",
                "ship_date >= order_date": "ship_date < order_date"},
     "order_items": {"sales >= 0": "sales < 0", "quantity > 0": "quantity <= 0",
-                    "discount between 0 and 1": "discount < 0 OR discount > 1"},
+                    "discount between 0 and 1": "discount < 0 OR discount > 1",
+                    "whole quantity": "l_quantity <> round(l_quantity)",
+                    "amounts in hundredths": "abs(l_extendedprice * 100 - round(l_extendedprice * 100)) > 1e-6 "
+                                             "OR abs(discount * 100 - round(discount * 100)) > 1e-6"},
+    "products": {"price in hundredths": "abs(p_retailprice * 100 - round(p_retailprice * 100)) > 1e-6"},
 }
 UNIQUE = {
     "locations unique (location_id)": ("nation", "n_nationkey"),
     "customers unique (customer_id)": ("customer", "c_custkey"),
     "products unique (product_id)": ("part", "p_partkey"),
-    "orders unique (order_id)": ("headers", "order_id"),
-    "order_items unique (order_id, line_number)": ("lines", "(order_id, line_number)"),
+    "orders unique (order_id)": ("stored_orders", "order_id"),
+    "order_items unique (order_id, line_number)": ("stored_items", "(order_id, line_number)"),
 }
+def orphans(child: str, key: str, parent: str, parent_key: str) -> str:
+    return (f"{child} WHERE {key} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} WHERE {parent_key} = {key})")
+
+
 REFERENCES = {
+    "locations.region_id references regions": orphans("nation", "n_regionkey", "region", "r_regionkey"),
+    "customers.location_id references locations":
+        orphans("customer", "c_nationkey", "nation", "n_nationkey"),
     "orders.customer_id references customers":
-        "headers WHERE customer_id NOT IN (SELECT c_custkey FROM customer)",
+        orphans("stored_orders", "customer_id", "customer", "c_custkey"),
+    "orders.location_id references locations":
+        orphans("stored_orders", "location_id", "nation", "n_nationkey"),
     "order_items.order_id references orders":
-        "lines WHERE order_id NOT IN (SELECT order_id FROM headers)",
+        orphans("lineitem", "l_orderkey", "orders", "o_orderkey"),
     "order_items.product_id references products":
-        "lines WHERE product_id NOT IN (SELECT p_partkey FROM part)",
+        orphans("lineitem", "l_partkey", "part", "p_partkey"),
 }
 LENGTHS = {
     "locations": {"state": 100, "region": 50}, "customers": {"customer_name": 150, "segment": 50},
@@ -622,7 +669,7 @@ SQL["constraint_violations"] = text(" UNION ALL ".join(
     + [f"SELECT '{name}', COUNT(*) - COUNT(DISTINCT {key}) FROM {source}"
        for name, (source, key) in UNIQUE.items()]
     + [f"SELECT '{name}', COUNT(*) FROM {source}" for name, source in REFERENCES.items()]
-), HEADERS)
+), BASE)
 SQL["quarantine_lines"] = text("""
 SELECT * FROM (
   SELECT order_id, CAST(line_number AS BIGINT) AS line_number, order_date, ship_date, delivery_days,

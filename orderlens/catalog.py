@@ -260,20 +260,27 @@ def _clean_lines(w: Warehouse) -> DataFrame:
     return quality.clean(raw_lines(w))
 
 
-def _star(w: Warehouse) -> dict[str, DataFrame]:
-    """The star over the base tables, ids of the places as stored there."""
+def _base_star(w: Warehouse) -> dict[str, DataFrame]:
+    """The stored tables, looking nothing up that could hide a row without a parent."""
+    nation = w.table("nation").selectExpr(
+        "n_nationkey AS location_id", "n_name AS state", "n_regionkey AS region_id")
+    items = w.table("lineitem")
+    shipped = items.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.max("l_shipdate").cast("date").alias("ship_date"))
+    headers = w.base_headers().join(shipped, "order_id").join(
+        w.customers().select("customer_id", "location_id"), "customer_id", "left")
     return {
-        "locations": w.locations(),
-        "customers": w.customers().drop("location_id"),
-        "products": w.products().drop("cost_units"),
-        "orders": w.orders("order_id", *star.HEADER_COLUMNS),
-        "order_items": w.lines(*ITEM_KEY, "product_id", "sales", "quantity", "discount", "profit"),
+        "locations": nation.join(w.regions(), "region_id", "left"),
+        "customers": w.customers(),
+        "products": w.products(),
+        "orders": quality.derive_delivery_days(headers),
+        "order_items": w.items().drop("line_ship_date"),
     }
 
 
 def _constraints(w: Warehouse) -> DataFrame:
     return quality.constraint_violations(
-        _star(w),
+        _base_star(w),
         keys={"locations": ["location_id"], "customers": ["customer_id"],
               "products": ["product_id"], "orders": ["order_id"], "order_items": ITEM_KEY},
         not_null={
@@ -282,16 +289,21 @@ def _constraints(w: Warehouse) -> DataFrame:
             "products": ["product_id", "product_name", "category", "sub_category"],
             "orders": ["order_id", "customer_id", "order_date", "ship_date", "ship_mode",
                        "delivery_days"],
-            "order_items": ["order_id", "product_id", "sales", "quantity", "discount", "profit"],
+            "order_items": ["order_id", "product_id", "sales", "quantity", "discount"],
         },
         checks={"orders": ["delivery_days >= 0", "ship_date >= order_date"],
-                "order_items": ["sales >= 0", "quantity > 0", "discount between 0 and 1"]},
+                "products": ["price in hundredths"],
+                "order_items": ["sales >= 0", "quantity > 0", "discount between 0 and 1",
+                                "whole quantity", "amounts in hundredths"]},
         lengths={t: {c: TEXT_LENGTHS[c] for c in columns} for t, columns in {
             "locations": ["state", "region"], "customers": ["customer_name", "segment"],
             "products": ["product_name", "category", "sub_category"],
             "orders": ["ship_mode"]}.items()},
-        references=[("orders", "customer_id", "customers"), ("order_items", "order_id", "orders"),
-                    ("order_items", "product_id", "products")],
+        references=[("locations", "region_id", "regions"), ("customers", "location_id", "locations"),
+                    ("orders", "customer_id", "customers"), ("orders", "location_id", "locations"),
+                    ("order_items", "order_id", "orders"), ("order_items", "product_id", "products")],
+        # Every stored order is a parent, also one that has no lines.
+        parents={"regions": w.regions(), "orders": w.base_headers()},
     )
 
 

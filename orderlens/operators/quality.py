@@ -241,6 +241,18 @@ def line_rules() -> dict[str, Column]:
     }
 
 
+def stored_rules() -> dict[str, Column]:
+    """What the exact arithmetic takes for granted of the stored prices and quantities."""
+    def hundredths(column: str) -> Column:
+        return F.abs(F.col(column) * 100 - F.round(F.col(column) * 100)) <= 1e-6
+
+    return line_rules() | {
+        "whole quantity": F.col("stored_quantity") == F.round("stored_quantity"),
+        "amounts in hundredths": hundredths("stored_price") & hundredths("stored_discount"),
+        "price in hundredths": hundredths("retail_price"),
+    }
+
+
 def _broken(rule: Column) -> Column:
     """A CHECK is broken only when it is false; NULL passes."""
     return F.coalesce(~rule, F.lit(False))
@@ -258,29 +270,34 @@ def quarantine_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, list[str]],
                           not_null: dict[str, list[str]], checks: dict[str, list[str]],
                           lengths: dict[str, dict[str, int]],
-                          references: list[tuple[str, str, str]]) -> DataFrame:
+                          references: list[tuple[str, str, str]],
+                          parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """Violations per rule: (rule, n_violations).
 
     A key is broken by every row beyond the first, a reference by every row whose
-    value has no parent. All rules of one table but its references share a pass:
-    flags are summed per key, which the uniqueness check groups by anyway.
+    value has no parent; ``parents`` holds what a reference points to where that is
+    not one of the tables. All rules of one table but its references share a pass:
+    flags are summed per key, which the uniqueness check groups by anyway. For a
+    reference the rows are counted per value first, so a hot value meets the parents once.
     """
+    parents = tables | (parents or {})
     parts = []
     for table, key in keys.items():
         parts.append(_table_violations(
             tables[table], table, key, not_null.get(table, []), checks.get(table, []),
             lengths.get(table, {})))
     for child, column, parent in references:
-        orphans = tables[child].select(column).filter(F.col(column).isNotNull()).join(
-            tables[parent].select(column), column, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("n_violations")).select(
+        per_value = tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(
+            F.count(F.lit(1)).alias("k"))
+        orphans = per_value.join(parents[parent].select(column), column, "left_anti")
+        parts.append(orphans.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_violations")).select(
             F.lit(f"{child}.{column} references {parent}").alias("rule"), "n_violations"))
     return reduce(DataFrame.unionByName, parts).orderBy("rule")
 
 
 def _table_violations(frame: DataFrame, table: str, key: list[str], not_null: list[str],
                       checks: list[str], lengths: dict[str, int]) -> DataFrame:
-    rules = line_rules()
+    rules = stored_rules()
     flags = {f"{table}.{c} not null": F.col(c).isNull() for c in not_null}
     flags |= {f"{table}: {name}": _broken(rules[name]) for name in checks}
     flags |= {f"{table}.{c} at most {n} characters": _broken(F.length(c) <= n)

@@ -2,9 +2,12 @@
 
 The tables are read as a star: ``lineitem`` holds the items, ``orders`` the
 headers, ``customer``/``nation``/``region`` the buyer and place, ``part`` the
-product. Every frame is built from the columns a question asks for, and a table
-that serves none of them is not joined. That relies on the foreign keys holding,
-which ``quality.constraint_violations`` checks.
+product. Every frame is built from the columns a question asks for.
+
+All questions share one population: the lines whose product, order, customer, nation
+and region exist. A table that serves columns is joined; one that only decides the
+population is asked for its keys, as a semi join. ``quality.constraint_violations``
+counts what falls outside.
 
 Money is computed in whole ten-thousandths and turned into a decimal once, which
 is exact and avoids decimal arithmetic per row. Schemas are declared, so opening a
@@ -96,6 +99,8 @@ class Warehouse:
             f"{_hundredths('l_discount')} AS discount_units",
             f"{_decimal(_hundredths('l_discount'), RATE)} AS discount",
             "CAST(l_shipdate AS DATE) AS line_ship_date",
+            "l_extendedprice AS stored_price", "l_discount AS stored_discount",
+            "l_quantity AS stored_quantity",
         )
 
     def products(self) -> DataFrame:
@@ -105,6 +110,7 @@ class Warehouse:
             "p_type AS category",
             "p_brand AS sub_category",
             f"{_hundredths('p_retailprice')} * {COST_PERCENT} AS cost_units",
+            "p_retailprice AS retail_price",
         )
 
     def customers(self) -> DataFrame:
@@ -115,21 +121,33 @@ class Warehouse:
     def locations(self) -> DataFrame:
         nation = self.table("nation").selectExpr(
             "n_nationkey AS location_id", "n_name AS state", "n_regionkey AS region_id")
-        region = self.table("region").selectExpr("r_regionkey AS region_id", "r_name AS region")
-        return nation.join(region, "region_id").select("location_id", "state", "region")
+        return nation.join(self.regions(), "region_id").select("location_id", "state", "region")
 
-    def headers(self, columns: list[str]) -> DataFrame:
-        """order_id plus the order-constant ``columns``, except the shipping dates."""
-        frame = self.table("orders").selectExpr(
+    def regions(self) -> DataFrame:
+        return self.table("region").selectExpr("r_regionkey AS region_id", "r_name AS region")
+
+    def base_headers(self) -> DataFrame:
+        """The order headers as stored, whether or not their customer exists."""
+        return self.table("orders").selectExpr(
             "o_orderkey AS order_id", "o_custkey AS customer_id",
             "CAST(o_orderdate AS DATE) AS order_date",
             "o_orderpriority AS ship_mode", "o_orderstatus AS order_status")
+
+    def headers(self, columns: list[str]) -> DataFrame:
+        """order_id plus the order-constant ``columns``, except the shipping dates, of the
+        orders whose customer has a known place.
+        """
         place = any(c in LOCATION for c in columns)
+        places = self.locations()
+        if place:
+            customers = self.customers().join(places, "location_id")
+        else:
+            customers = self.customers().join(places.select("location_id"), "location_id", "left_semi")
         if place or any(c in CUSTOMER for c in columns):
-            customers = self.customers()
-            if place:
-                customers = customers.join(self.locations(), "location_id")
-            frame = frame.join(customers, "customer_id")
+            frame = self.base_headers().join(customers, "customer_id")
+        else:
+            frame = self.base_headers().join(
+                customers.select("customer_id"), "customer_id", "left_semi")
         return frame.select("order_id", *[c for c in columns if c != "order_id"])
 
     # -- line grain ----------------------------------------------------------
@@ -140,34 +158,32 @@ class Warehouse:
         line_cond = filters.line_conditions()
         needed = list(dict.fromkeys(
             wanted + (filters.line_columns() if line_cond else [])))
-        frame = self.items()
-        if any(c in PRODUCT + COST for c in needed):
-            frame = self._with_products(frame)
-        frame = keep(frame, line_cond)
+        items = self.known_items(any(c in PRODUCT + COST for c in needed))
+        frame = keep(items, line_cond)
         header = [c for c in needed if c in HEADER + CUSTOMER + LOCATION]
         ships = any(c in SHIPPING for c in needed)
-        if header or ships or filters.order_columns():
-            extra = filters.order_columns() + (["order_date"] if ships else [])
-            orders = self.headers(list(dict.fromkeys(header + extra)))
-            orders = keep(orders, filters.order_conditions())
-            if ships:
-                orders = orders.join(self._shipping(), "order_id").withColumns(_shipping_columns())
-            frame = frame.join(orders, "order_id")
+        extra = filters.order_columns() + (["order_date"] if ships else [])
+        columns_needed = list(dict.fromkeys(header + extra))
+        orders = keep(self.headers(columns_needed), filters.order_conditions())
+        if ships:
+            shipped = self.known_items(False)
+            if filters.order_columns():
+                shipped = shipped.join(orders.select("order_id"), "order_id", "left_semi")
+            orders = orders.join(_shipping(shipped), "order_id").withColumns(_shipping_columns())
+        frame = frame.join(orders, "order_id", "inner" if columns_needed else "left_semi")
         return frame.select(*wanted)
 
-    def _with_products(self, items: DataFrame) -> DataFrame:
-        joined = items.join(self.products(), "product_id")
+    def known_items(self, with_products: bool) -> DataFrame:
+        """Items of existing products, joined to them or only checked against them."""
+        if not with_products:
+            known = self.table("part").selectExpr("p_partkey AS product_id")
+            return self.items().join(known, "product_id", "left_semi")
+        joined = self.items().join(self.products(), "product_id")
         units = "(sales_units - cost_units * quantity)"
         return joined.selectExpr(
             "*", f"{units} AS profit_units", f"{_decimal(units, MONEY)} AS profit",
             f"coalesce({units} < 0, false) AS is_loss_line")
 
-    def _shipping(self) -> DataFrame:
-        """Day the last line of each order shipped. Aggregated before it is joined,
-        so that an order with very many lines never has to fit one task's window.
-        """
-        return self.items().groupBy("order_id").agg(F.max("line_ship_date").alias("ship_date"))
-
     # -- order grain ---------------------------------------------------------
 
     def orders(self, *columns: str, by: tuple[str, ...] = (),
@@ -189,9 +205,13 @@ class Warehouse:
         if ships and by:
             raise ValueError("the shipping dates belong to the order, not to its parts")
 
-        items = self.items()
-        if by or filters.categories or any(m in ("sum_profit", "n_loss_lines") for m in measures):
-            items = self._with_products(items)
+        items = self.known_items(bool(by or filters.categories) or any(
+            m in ("sum_profit", "n_loss_lines") for m in measures))
+        extra = filters.order_columns() + (["order_date"] if ships else [])
+        needed = list(dict.fromkeys(header + extra))
+        headers = keep(self.headers(needed), filters.order_conditions())
+        if filters.order_columns():
+            items = items.join(headers.select("order_id"), "order_id", "left_semi")
         kept = None
         if filters.categories:
             if ships:
@@ -201,17 +221,19 @@ class Warehouse:
             else:
                 items = keep(items, filters.line_conditions())
         totals = _order_totals(items, by, measures, ships, kept)
-
-        extra = filters.order_columns() + (["order_date"] if ships else [])
-        needed = list(dict.fromkeys(header + extra))
-        if needed:
-            headers = keep(self.headers(needed), filters.order_conditions())
-            totals = totals.join(headers, "order_id")
+        totals = totals.join(headers, "order_id", "inner" if needed else "left_semi")
         if ships:
             totals = totals.withColumns(_shipping_columns())
         return totals.select(*wanted, *by)
 
 
+def _shipping(items: DataFrame) -> DataFrame:
+    """Day the last line of each order shipped. Aggregated before it is joined,
+    so that an order with very many lines never has to fit one task's window.
+    """
+    return items.groupBy("order_id").agg(F.max("line_ship_date").alias("ship_date"))
+
+
 def _shipping_columns() -> dict[str, Column]:
     return {"delivery_days": F.date_diff("ship_date", "order_date")}
 
