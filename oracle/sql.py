@@ -411,9 +411,8 @@ LIMIT 2000""")
 NUMERIC = ("sales", "quantity", "discount", "profit", "delivery_days")
 SQL["correlation_matrix"] = text(" UNION ALL ".join(
     f"SELECT '{a}' AS column_x, '{b}' AS column_y, "
-    + ("CAST(1 AS DOUBLE)" if a == b else
-       f"ROUND(CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)")
-    + " AS correlation" + (" FROM lines" if a != b else "")
+    f"ROUND(COVAR_POP(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / NULLIF("
+    f"STDDEV_POP(CAST({a} AS DOUBLE)) * STDDEV_POP(CAST({b} AS DOUBLE)), 0), 6) AS correlation FROM lines"
     for a in NUMERIC for b in NUMERIC))
 SQL["head_lines"] = text("""
 SELECT order_id, CAST(line_number AS BIGINT) AS line_number, product_id,
@@ -450,11 +449,10 @@ def say_whole(x: str) -> str:
     return f"format('{{:,}}', CAST(ROUND({x}, 0) AS BIGINT))"
 
 
-def finding(number: int, source: str, subject: str, found: str, evidence: str, cause: str,
-            action: str, kpi: str, value: str, baseline: str, k: str) -> str:
+def finding(number: int, source: str, subject: str, evidence: str, value: str, baseline: str,
+            k: str) -> str:
     return f"""
-SELECT CAST({number} AS BIGINT) AS finding_no, {subject} AS subject, {found} AS finding,
-       {evidence} AS evidence, '{cause}' AS cause, {action} AS action, '{kpi}' AS kpi,
+SELECT CAST({number} AS BIGINT) AS finding_no, {subject} AS subject, {evidence} AS evidence,
        CAST({value} AS DOUBLE) AS value, CAST({baseline} AS DOUBLE) AS baseline,
        CAST({k} AS BIGINT) AS n
 FROM {source}"""
@@ -463,56 +461,40 @@ FROM {source}"""
 REPORT = (ORDERS, BY_LINE, STATES, PRIORITY, "\n" + WORST, DEEP, benchmark("per_order"), "\n" + MODES)
 SQL["findings"] = text(" UNION ALL ".join((
     finding(1, "top_state", "state",
-            "state || ' has many orders and an above-average share that loses money.'",
-            f"{say_whole('total_orders')} || ' orders, ' || {say_pct('loss_rate_pct')} || "
-            f"' of them at a loss; states average ' || {say_pct('mean_rate')} || "
-            f"'. Mean discount ' || {say_pct('ROUND(d_in, 4) * 100')} || ' against ' || "
-            f"{say_pct('ROUND(d_out, 4) * 100')} || ' elsewhere.'",
-            "Hypothesis: discounting practice rather than the place itself.",
-            "'Compare the discounts given in ' || state || ' with those of low-loss states.'",
-            "Loss-making order rate and mean discount by state",
+            f"'loss-making orders ' || {say_pct('loss_rate_pct')} || ' of ' || {say_whole('total_orders')} "
+            f"|| ' (mean of states ' || {say_pct('mean_rate')} || '); mean discount ' || "
+            f"{say_pct('ROUND(d_in, 4) * 100')} || ' (other states ' || "
+            f"{say_pct('ROUND(d_out, 4) * 100')} || ')'",
             "loss_rate_pct", "ROUND(mean_rate, 6)", "total_orders"),
     finding(2, "worst", "sub_category",
-            "sub_category || ' earns the weakest margin of all sub-categories.'",
-            f"'Margin ' || {say_pct('profit_margin_pct')} || ' on revenue of ' || "
-            f"{say_whole('total_revenue')} || '.'",
-            "Hypothesis: heavier discounts here than elsewhere.",
-            "'Review list prices and discount approvals for ' || sub_category || '.'",
-            "Profit margin by sub-category", "profit_margin_pct", "NULL", "NULL"),
+            f"'margin ' || {say_pct('profit_margin_pct')} || ' on revenue ' || "
+            f"{say_whole('total_revenue')} || ', lowest of the sub-categories'",
+            "profit_margin_pct", "NULL", "NULL"),
     finding(3, "deep WHERE k > 0", "part",
-            "'Lines discounted by more than 8% often lose money.'",
-            f"{say_whole('k')} || ' such lines, ' || {say_pct('loss_rate')} || ' at a loss against ' || "
-            f"{say_pct('baseline')} || ' of all lines; ' || part || ' alone holds ' || "
-            f"{say_pct('share')} || '.'",
-            "Fact: an association in the data. What causes it is not established.",
-            "'Require approval of deep discounts, starting with ' || part || '.'",
-            "Loss-making line rate by discount band", "loss_rate", "baseline", "k"),
+            f"'lines over 8% discount: ' || {say_whole('k')} || ', loss-making ' || {say_pct('loss_rate')} "
+            f"|| ' (all lines ' || {say_pct('baseline')} || '); largest share ' || {say_pct('share')}",
+            "loss_rate", "baseline", "k"),
     finding(4, "(SELECT * FROM modes ORDER BY pct_over_benchmark DESC, ship_mode LIMIT 1)",
             "ship_mode",
-            "ship_mode || ' orders exceed their own delivery benchmark most often.'",
-            f"{say_pct('pct_over_benchmark')} || ' of ' || {say_whole('total_orders')} || "
-            "' orders took longer than the mode''s 75th percentile of ' || "
-            "CAST(CAST(ROUND(benchmark_days, 0) AS BIGINT) AS VARCHAR) || ' days.'",
-            "Hypothesis: uneven fulfilment; the data names no carrier.",
-            "'Audit fulfilment of ' || ship_mode || ' orders.'",
-            "Share of orders over the benchmark of their ship mode",
+            "'orders over the 75th percentile of ' || CAST(CAST(ROUND(benchmark_days, 0) AS BIGINT) AS VARCHAR) "
+            f"|| ' days: ' || {say_pct('pct_over_benchmark')} || ' of ' || {say_whole('total_orders')}",
             "pct_over_benchmark", "benchmark_days", "total_orders"),
 )), *REPORT)
 SQL["insights"] = text(" UNION ALL ".join((
     f"""SELECT CAST(1 AS BIGINT) AS insight_no,
-        state || ': ' || {say_whole('total_orders')} || ' orders, ' || {say_pct('loss_rate_pct')} ||
-        ' of them at a loss (states average ' || {say_pct('mean_rate')} || '), mean discount ' ||
-        {say_pct('ROUND(d_in, 4) * 100')} || '.' AS insight FROM top_state""",
-    f"""SELECT 2, sub_category || ': lowest margin at ' || {say_pct('profit_margin_pct')} ||
-        ' on revenue of ' || {say_whole('total_revenue')} || '.' FROM worst""",
-    f"""SELECT 3, 'Lines discounted over 8%: ' || {say_pct('loss_rate')} || ' lose money (n=' ||
-        {say_whole('k')} || ').' FROM deep WHERE k > 0""",
-    f"""SELECT 4, ship_mode || ': slowest at ' ||
+        state || ': loss-making orders ' || {say_pct('loss_rate_pct')} || ' of ' ||
+        {say_whole('total_orders')} || ' (mean of states ' || {say_pct('mean_rate')} ||
+        '), mean discount ' || {say_pct('ROUND(d_in, 4) * 100')} AS insight FROM top_state""",
+    f"""SELECT 2, sub_category || ': margin ' || {say_pct('profit_margin_pct')} || ' on revenue ' ||
+        {say_whole('total_revenue')} FROM worst""",
+    f"""SELECT 3, 'Over 8% discount: loss-making ' || {say_pct('loss_rate')} || ' of ' ||
+        {say_whole('k')} || ' lines' FROM deep WHERE k > 0""",
+    f"""SELECT 4, ship_mode || ': mean delivery ' ||
         CAST(CAST(ROUND(avg_delivery_days, 1) AS DECIMAL(20,1)) AS VARCHAR) ||
-        ' days on average, ' || {say_pct('pct_over_benchmark')} || ' of orders over its benchmark.'
+        ' days, over its benchmark ' || {say_pct('pct_over_benchmark')} || ' of orders'
         FROM (SELECT * FROM modes ORDER BY avg_delivery_days DESC, ship_mode LIMIT 1)""",
-    f"""SELECT 5, 'Overall margin ' || {say_pct('m')} || ' on ' || {say_whole('k')} ||
-        ' orders and revenue of ' || {say_whole('r')} || '.'
+    f"""SELECT 5, 'All: margin ' || {say_pct('m')} || ', orders ' || {say_whole('k')} ||
+        ', revenue ' || {say_whole('r')}
         FROM (SELECT {pct('SUM(profit)', 'SUM(sales)')} AS m, COUNT(DISTINCT order_id) AS k,
                      ROUND(SUM(sales), 2) AS r FROM lines) WHERE k > 0""",
 )), *REPORT)

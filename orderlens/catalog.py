@@ -19,7 +19,7 @@ from orderlens.operators import (
 )
 from orderlens.operators.dashboard import ORDER_FRAME
 from orderlens.schema import MONEY, NUMERIC, RATE, TEXT_LENGTHS
-from orderlens.session import scratch_path, size_shuffle, stored_bytes, tune
+from orderlens.session import scratch_path, tune
 from orderlens.sources import files, star
 from orderlens.sources.warehouse import LINE_COLUMNS, Warehouse
 
@@ -35,25 +35,15 @@ SELECTION = filters.Filters(
 
 Query = Callable[[Warehouse], DataFrame]
 QUERIES: dict[str, Query] = {}
-SIZED: set[tuple[str, str]] = set()
 
 
 def bind(build: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
         warehouse = Warehouse(tune(spark), path)
-        size_for(warehouse)
         return present(build(warehouse))
     return run
 
 
-def size_for(warehouse: Warehouse) -> None:
-    """Shuffle partitions to suit the fact table, looked up once per session and folder."""
-    known = (warehouse.spark.sparkContext.applicationId, warehouse.path)
-    if known not in SIZED:
-        size_shuffle(warehouse.spark, stored_bytes(warehouse.table("lineitem")))
-        SIZED.add(known)
-
-
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(build) for name, build in QUERIES.items()}
 
@@ -115,13 +105,20 @@ QUERIES |= {
         _by_part("sub_category")(w)),
 }
 
+
+
+def _by_discount(w: Warehouse, *keys: str) -> DataFrame:
+    """Orders in parts of one discount each."""
+    return w.orders(*keys, "n_lines", "n_loss_lines", "sum_profit", by=("discount",))
+
+
 # -- discounts ------------------------------------------------------------------------
 
 QUERIES |= {
     "loss_by_discount_band": lambda w: commerce.loss_by_discount_band(
-        w.lines("segment", "discount", "profit"), "segment", edges=BANDS),
+        _by_discount(w, "segment"), "segment", edges=BANDS),
     "loss_by_discount_band_total": lambda w: commerce.loss_by_discount_band(
-        w.lines("discount", "profit"), edges=BANDS),
+        _by_discount(w), edges=BANDS),
     "deep_discount_loss": lambda w: commerce.deep_discount_loss(
         w.lines("discount", "profit"), DEEP),
     "deep_discount_concentration": lambda w: commerce.deep_discount_concentration(
@@ -187,8 +184,8 @@ QUERIES |= {
     "demand_by_weekday": lambda w: calendar.demand_by_weekday(w.orders("order_date", "sum_sales")),
     "monthly_trend": lambda w: calendar.monthly_trend(w.orders("order_date", "sum_sales")),
     "month_seasonality": lambda w: calendar.month_seasonality(w.orders("order_date")),
-    "category_month_trend": lambda w: calendar.category_month_trend(
-        w.lines("order_date", "category", "sales")),
+    "category_month_trend": lambda w: calendar.category_month_trend(w.orders(
+        "order_date", "sum_sales", by=("category",)).withColumnRenamed("sum_sales", "sales")),
     "peak_months": lambda w: calendar.peak_months(w.orders("order_date", "sum_sales")),
 }
 
@@ -203,14 +200,15 @@ def _evidence(w: Warehouse) -> findings.Evidence:
 QUERIES |= {
     "filter_lines": lambda w: w.lines(*LINE_COLUMNS, filters=SELECTION),
     "filter_domains": lambda w: filters.filter_domains(
-        w.lines("region", "category", "ship_mode", "order_date")),
+        w.orders("region", "ship_mode", "order_date", by=("category",))),
     "findings": lambda w: findings.findings(_evidence(w)),
     "insights": lambda w: findings.insights(_evidence(w)),
     "histogram_sales": lambda w: profile.histogram(w.lines("sales"), "sales"),
     "histogram_profit": lambda w: profile.histogram(w.lines("profit"), "profit"),
     "loss_line_share": lambda w: profile.loss_line_share(w.lines("profit")),
     "value_counts": lambda w: profile.value_counts(
-        w.lines("region", "category", "sub_category", "ship_mode", "segment")),
+        w.orders("region", "ship_mode", "segment", "n_lines", by=("category", "sub_category")),
+        weight="n_lines"),
     "sample_lines": lambda w: profile.sample_lines(w.lines(
         *ITEM_KEY, "product_id", "quantity", "discount", "sales", "category", "profit")),
     "correlation_matrix": lambda w: profile.correlation_matrix(w.lines(*NUMERIC)),
@@ -315,7 +313,7 @@ QUERIES |= {
         quality.normalize_columns(raw_lines(w)), "order_date", "ship_date").select(
             *ITEM_KEY, "order_date", "ship_date"),
     "quality_flag": lambda w: quality.quality_flag_counts(quality.quality_flag(
-        w.lines("order_date", "ship_date"))),
+        w.orders("order_date", "ship_date", "n_lines")), weight="n_lines"),
     "derive_delivery_days": lambda w: quality.derive_delivery_days(
         w.lines(*ITEM_KEY, "order_date", "ship_date")),
     "range_checks": lambda w: quality.range_checks(w.lines("quantity", "sales", "discount")),

@@ -49,12 +49,22 @@ def discount_band(discount: Column, edges: tuple[str, ...]) -> Column:
     ``edges`` are decimal texts, so that 0.2 is compared as exactly 0.2.
     """
     label = F.when(discount == 0, F.lit("0% (no discount)"))
-    low = 0
+    low = Decimal(0)
     for edge in edges:
-        high = int(Decimal(edge) * 100)
-        label = label.when(discount <= F.lit(Decimal(edge)), F.lit(f"{low + 1}-{high}%"))
+        high = Decimal(edge) * 100
+        label = label.when(discount <= F.lit(Decimal(edge)), F.lit(f"{_above(low)}-{plain(high)}%"))
         low = high
-    return label.otherwise(F.lit(f"{low + 1}%+"))
+    return label.otherwise(F.lit(f"{_above(low)}%+"))
+
+
+def plain(number: Decimal) -> str:
+    """A number without trailing zeros: 40, 12.5."""
+    return f"{number.normalize():f}"
+
+
+def _above(percent: Decimal) -> str:
+    """Where the band above a whole percentage starts; above another one it starts at once."""
+    return plain(percent + 1) if percent == percent.to_integral_value() else f">{plain(percent)}"
 
 
 def present(frame: DataFrame) -> DataFrame:

@@ -26,16 +26,18 @@ def revenue_by_category(lines: DataFrame) -> DataFrame:
     ).orderBy(F.desc_nulls_last("total_revenue"), "category", "sub_category")
 
 
-def loss_by_discount_band(lines: DataFrame, *keys: str,
+def loss_by_discount_band(parts: DataFrame, *keys: str,
                           edges: tuple[str, ...] = BAND_EDGES) -> DataFrame:
-    """Loss-making lines by discount band, within ``keys`` such as segment."""
-    loss = count_where(is_loss(F.col("profit")))
+    """Loss-making lines by discount band, within ``keys`` such as segment, from lines
+    already summed per order and discount (n_lines, n_loss_lines, sum_profit).
+    """
+    loss, rows = F.sum("n_loss_lines"), F.sum("n_lines")
     band = discount_band(F.col("discount"), edges)
-    return lines.withColumn("discount_band", band).groupBy(*keys, "discount_band").agg(
-        F.count(F.lit(1)).alias("total_line_items"),
+    return parts.withColumn("discount_band", band).groupBy(*keys, "discount_band").agg(
+        rows.alias("total_line_items"),
         loss.alias("loss_making_lines"),
-        percent(loss, F.count(F.lit(1))).alias("loss_making_line_rate_pct"),
-        money_sum("profit").alias("net_profit"),
+        percent(loss, rows).alias("loss_making_line_rate_pct"),
+        money_sum("sum_profit").alias("net_profit"),
     ).orderBy(F.desc("loss_making_line_rate_pct"), *keys, "discount_band")
 
 

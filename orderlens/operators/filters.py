@@ -65,14 +65,15 @@ def filter_lines(lines: DataFrame, filters: Filters) -> DataFrame:
 
 def filter_domains(lines: DataFrame) -> DataFrame:
     """What the filter widgets offer: (field, value), one row per choice and the
-    first and last order date. One pass, combined map-side per value.
+    first and last order date. One pass; only combinations of choices are spread over fields.
     """
     choices = ["region", "category", "ship_mode"]
     per_value = (
-        lines.select("order_date", *choices)
-        .unpivot(["order_date"], choices, "field", "value")
-        .groupBy("field", "value")
+        lines.groupBy(*choices)
         .agg(F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"))
+        .unpivot(["first_day", "last_day"], choices, "field", "value")
+        .groupBy("field", "value")
+        .agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
     )
     # From here on one row per choice. The dates of one field cover all lines.
     day = F.lit("order_date").alias("field")

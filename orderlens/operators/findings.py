@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.measures import count_where, is_loss, or_zero, percent
+from orderlens.functions.measures import count_where, is_loss, or_zero, percent, plain
 from orderlens.operators.commerce import DEEP_DISCOUNT, with_rest
 from orderlens.operators.delivery import slowest_ship_mode, worst_benchmark_mode
 from orderlens.operators.quadrant import order_cube, priority_states, rank_states
@@ -96,18 +96,13 @@ def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _finding(frame: DataFrame, number: int, subject: Column, finding: Column, evidence: Column,
-             cause: str, action: Column, kpi: str, value: str, baseline: str | None,
-             n: str | None) -> DataFrame:
+def _finding(frame: DataFrame, number: int, subject: Column, evidence: Column, value: str,
+             baseline: str | None, n: str | None) -> DataFrame:
     empty = F.lit(None)
     return frame.select(
         F.lit(number).alias("finding_no"),
         subject.alias("subject"),
-        finding.alias("finding"),
         evidence.alias("evidence"),
-        F.lit(cause).alias("cause"),
-        action.alias("action"),
-        F.lit(kpi).alias("kpi"),
         F.round(value, 6).cast("double").alias("value"),
         (F.round(baseline, 6) if baseline else empty).cast("double").alias("baseline"),
         (F.col(n) if n else empty).cast("bigint").alias("n"),
@@ -115,49 +110,35 @@ def _finding(frame: DataFrame, number: int, subject: Column, finding: Column, ev
 
 
 def findings(found: Evidence) -> DataFrame:
-    """Up to four findings: subject, evidence, possible cause, action and KPI."""
-    deep_pct = f"{int(Decimal(found.limit) * 100)}%"
+    """Up to four findings: what they are about, the figures, and the value beside its baseline.
+    They state numbers only; causes and actions are for the reader.
+    """
+    limit = f"{plain(Decimal(found.limit) * 100)}%"
     state, part, mode = F.col("state"), F.col("sub_category"), F.col("ship_mode")
-    discounts = _say(_pct(F.col("avg_discount") * 100), " against ",
-                     _pct(F.col("other_states_avg_discount") * 100))
     rows = [
         _finding(
             _top_priority(found), 1, state,
-            _say(state, " has many orders and an above-average share that loses money."),
-            _say(_whole("total_orders"), " orders, ", _pct("loss_rate_pct"),
-                 " of them at a loss; states average ", _pct("avg_loss_rate"),
-                 ". Mean discount ", discounts, " elsewhere."),
-            "Hypothesis: discounting practice rather than the place itself.",
-            _say("Compare the discounts given in ", state, " with those of low-loss states."),
-            "Loss-making order rate and mean discount by state",
+            _say("loss-making orders ", _pct("loss_rate_pct"), " of ", _whole("total_orders"),
+                 " (mean of states ", _pct("avg_loss_rate"), "); mean discount ",
+                 _pct(F.col("avg_discount") * 100), " (other states ",
+                 _pct(F.col("other_states_avg_discount") * 100), ")"),
             "loss_rate_pct", "avg_loss_rate", "total_orders"),
         _finding(
             _worst_margin(found), 2, part,
-            _say(part, " earns the weakest margin of all sub-categories."),
-            _say("Margin ", _pct("profit_margin_pct"), " on revenue of ",
-                 _whole("total_revenue"), "."),
-            "Hypothesis: heavier discounts here than elsewhere.",
-            _say("Review list prices and discount approvals for ", part, "."),
-            "Profit margin by sub-category",
+            _say("margin ", _pct("profit_margin_pct"), " on revenue ", _whole("total_revenue"),
+                 ", lowest of the sub-categories"),
             "profit_margin_pct", None, None),
         _finding(
             _deep_discount(found), 3, part,
-            _say(f"Lines discounted by more than {deep_pct} often lose money."),
-            _say(_whole("n"), " such lines, ", _pct("loss_rate"), " at a loss against ",
-                 _pct("baseline"), " of all lines; ", part, " alone holds ", _pct("share"), "."),
-            "Fact: an association in the data. What causes it is not established.",
-            _say("Require approval of deep discounts, starting with ", part, "."),
-            "Loss-making line rate by discount band",
+            _say(f"lines over {limit} discount: ", _whole("n"), ", loss-making ",
+                 _pct("loss_rate"), " (all lines ", _pct("baseline"), "); largest share ",
+                 _pct("share")),
             "loss_rate", "baseline", "n"),
         _finding(
             worst_benchmark_mode(found.cube), 4, mode,
-            _say(mode, " orders exceed their own delivery benchmark most often."),
-            _say(_pct("pct_over_benchmark"), " of ", _whole("total_orders"),
-                 " orders took longer than the mode's 75th percentile of ",
-                 F.round("benchmark_days", 0).cast("bigint").cast("string"), " days."),
-            "Hypothesis: uneven fulfilment; the data names no carrier.",
-            _say("Audit fulfilment of ", mode, " orders."),
-            "Share of orders over the benchmark of their ship mode",
+            _say("orders over the 75th percentile of ",
+                 F.round("benchmark_days", 0).cast("bigint").cast("string"), " days: ",
+                 _pct("pct_over_benchmark"), " of ", _whole("total_orders")),
             "pct_over_benchmark", "benchmark_days", "total_orders"),
     ]
     return reduce(DataFrame.unionByName, rows).orderBy("finding_no")
@@ -165,28 +146,27 @@ def findings(found: Evidence) -> DataFrame:
 
 def insights(found: Evidence) -> DataFrame:
     """Up to five headline sentences for the overview page."""
-    deep_pct = f"{int(Decimal(found.limit) * 100)}%"
+    limit = f"{plain(Decimal(found.limit) * 100)}%"
 
     def line(frame: DataFrame, number: int, text: Column) -> DataFrame:
         return frame.select(F.lit(number).alias("insight_no"), text.alias("insight"))
 
     rows = [
         line(_top_priority(found), 1, _say(
-            F.col("state"), ": ", _whole("total_orders"), " orders, ", _pct("loss_rate_pct"),
-            " of them at a loss (states average ", _pct("avg_loss_rate"), "), mean discount ",
-            _pct(F.col("avg_discount") * 100), ".")),
+            F.col("state"), ": loss-making orders ", _pct("loss_rate_pct"), " of ",
+            _whole("total_orders"), " (mean of states ", _pct("avg_loss_rate"),
+            "), mean discount ", _pct(F.col("avg_discount") * 100))),
         line(_worst_margin(found), 2, _say(
-            F.col("sub_category"), ": lowest margin at ", _pct("profit_margin_pct"),
-            " on revenue of ", _whole("total_revenue"), ".")),
+            F.col("sub_category"), ": margin ", _pct("profit_margin_pct"), " on revenue ",
+            _whole("total_revenue"))),
         line(_deep_discount(found), 3, _say(
-            f"Lines discounted over {deep_pct}: ", _pct("loss_rate"), " lose money (n=",
-            _whole("n"), ").")),
+            f"Over {limit} discount: loss-making ", _pct("loss_rate"), " of ", _whole("n"), " lines")),
         line(slowest_ship_mode(found.cube), 4, _say(
-            F.col("ship_mode"), ": slowest at ",
+            F.col("ship_mode"), ": mean delivery ",
             F.round("avg_delivery_days", 1).cast("decimal(20,1)").cast("string"),
-            " days on average, ", _pct("pct_over_benchmark"), " of orders over its benchmark.")),
+            " days, over its benchmark ", _pct("pct_over_benchmark"), " of orders")),
         line(_overall(found), 5, _say(
-            "Overall margin ", _pct("margin"), " on ", _whole("total_orders"),
-            " orders and revenue of ", _whole("revenue"), ".")),
+            "All: margin ", _pct("margin"), ", orders ", _whole("total_orders"), ", revenue ",
+            _whole("revenue"))),
     ]
     return reduce(DataFrame.unionByName, rows).orderBy("insight_no")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.measures import count_where, is_loss, percent
@@ -38,13 +38,19 @@ def loss_line_share(lines: DataFrame) -> DataFrame:
         percent(loss, F.count(F.lit(1))).alias("pct_of_lines"))
 
 
-def value_counts(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows per value of several columns: one scan, combined map-side per value."""
+def value_counts(lines: DataFrame, columns: list[str] | None = None,
+                 weight: str | None = None) -> DataFrame:
+    """Rows per value of several columns. Rows are counted per combination first, so the
+    spreading over columns sees one row per combination. ``weight`` holds how many lines a
+    row stands for.
+    """
     columns = columns or CATEGORICAL
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
     return (
-        lines.select(*columns).unpivot([], columns, "column_name", "value")
+        lines.groupBy(*columns).agg(rows.alias("n"))
+        .unpivot(["n"], columns, "column_name", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column_name", "value").agg(F.sum("n").alias("n"))
         .orderBy("column_name", F.desc("n"), "value")
     )
 
@@ -52,32 +58,60 @@ def value_counts(lines: DataFrame, columns: list[str] | None = None) -> DataFram
 def sample_lines(lines: DataFrame, n: int = 2000, seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement, the same on every run.
 
-    Rows are ordered by a seeded digest of their content and the first ``n`` kept.
-    A first pass counts rows per leading digits of the digest (65,536 counters at
-    most) to find where the sample must end; only rows up to there are sorted, so
-    the final merge does not receive ``n`` rows from every task.
+    Rows are ordered by a seeded digest of their content and the first ``n`` kept. Where the
+    sample ends is found in two steps: rows are counted per group of four leading digits,
+    then, inside the group that the sample ends in, per group of eight. Equal rows share a
+    digest and are folded to one with a count. So the final sort gets ``n`` rows and those of
+    one group in four billion, whatever the number of copies.
     """
-    text = [F.col(c).cast("string") for c in lines.columns]
+    columns = lines.columns
+    text = [F.col(c).cast("string") for c in columns]
     keyed = lines.withColumn("digest", F.md5(F.concat_ws("|", F.lit(str(seed)), *text)))
-    lead = F.substring("digest", 1, 4)
-    counts = keyed.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("k"))
+    end = _sample_end(keyed.select("digest"), 8, n)
+    folded = (keyed.filter(F.substring("digest", 1, 8) <= end["lead"])
+              .groupBy("digest", *columns).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("copies")))
+    return (folded.orderBy("digest", *columns).limit(n)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .orderBy("digest", *columns).limit(n).select(*columns))
+
+
+def _sample_end(digests: DataFrame, digits: int, n: int) -> Column:
+    """(lead, before): the group of leading digits in which the n-th smallest digest lies, and
+    the rows before it. The groups counted are those inside the end of the coarser grouping,
+    65,536 at most.
+    """
+    before = F.lit(0)
+    if digits > 4:
+        coarse = _sample_end(digests, digits - 4, n)
+        digests = digests.filter(F.substring("digest", 1, digits - 4) == coarse["lead"])
+        before = coarse["before"]
+    counts = digests.groupBy(F.substring("digest", 1, digits).alias("lead")).agg(
+        F.count(F.lit(1)).alias("k"))
     earlier = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
-    needed = counts.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).filter(
-        F.col("before") < n)
-    end = one_row(needed.agg(F.max("lead").alias("lead")))
-    return keyed.filter(lead <= end["lead"]).orderBy("digest", *lines.columns).limit(n).drop(
-        "digest")
+    reached = counts.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0)) + before)
+    last = F.max(F.struct("lead", "before")).alias("end")
+    return one_row(reached.filter(F.col("before") < n).agg(last))["end"]
 
 
 def correlation_matrix(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson coefficients in long form, all pairs from one aggregate."""
+    """Pearson coefficients in long form, all pairs from one aggregate; NULL, also on the
+    diagonal, where a column is constant or fewer than two rows hold both values.
+    """
     columns = columns or NUMERIC
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations_with_replacement(columns, 2))
     values = lines.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wide = values.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [(a, b, F.col(f"`{a}|{b}`")) for a, b in pairs]
-    cells += [(b, a, value) for a, b, value in cells]
-    cells += [(c, c, F.lit(1.0)) for c in columns]
+
+    def both(a: str, b: str, value: Column) -> Column:
+        return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), value)
+
+    wide = values.agg(*[
+        F.struct(F.covar_pop(a, b).alias("xy"),
+                 F.stddev_pop(both(a, b, F.col(a))).alias("x"),
+                 F.stddev_pop(both(a, b, F.col(b))).alias("y")).alias(f"{a}|{b}")
+        for a, b in pairs])
+    cells = [(a, b, F.try_divide(F.col(f"`{a}|{b}`.xy"), F.col(f"`{a}|{b}`.x") * F.col(f"`{a}|{b}`.y")))
+             for a, b in pairs]
+    cells += [(b, a, value) for a, b, value in cells if a != b]
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
                  F.round(value, 6).alias("correlation"))

@@ -135,9 +135,10 @@ def quality_flag(frame: DataFrame) -> DataFrame:
         "data_quality_flag", F.when(early, FLAG_SHIP_BEFORE_ORDER).otherwise(FLAG_OK))
 
 
-def quality_flag_counts(frame: DataFrame) -> DataFrame:
+def quality_flag_counts(frame: DataFrame, weight: str | None = None) -> DataFrame:
+    """Lines per flag; ``weight`` holds how many lines a row stands for."""
     return frame.groupBy("data_quality_flag").agg(
-        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "data_quality_flag")
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")).orderBy(F.desc("n"), "data_quality_flag")
 
 
 def derive_loss_flag(frame: DataFrame) -> DataFrame:

@@ -5,12 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-# More reducers than this costs more in shuffle block bookkeeping than it saves.
-MAX_SHUFFLE_PARTITIONS = 20_000
-SHUFFLE_TARGET_BYTES = 256 * 1024 * 1024
-
+from pyspark.sql import SparkSession
 
 def build_session(cpus: int | str = "*", memory: str = "8g", app: str = "orderlens",
                   **conf: str) -> SparkSession:
@@ -28,53 +23,45 @@ def build_session(cpus: int | str = "*", memory: str = "8g", app: str = "orderle
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"{app}-"))
     return tune(spark)
 
 
-def tune(spark: SparkSession) -> SparkSession:
+def tune(spark: SparkSession, initial_partitions: int | None = None) -> SparkSession:
     """Runtime settings: adaptive plans, and hot join keys split even where the
     split costs one more shuffle (an order or product may hold a third of all lines).
+
+    ``initial_partitions`` is for the owner of the session: how many partitions a shuffle
+    starts from before adaptive execution merges small ones, about the bytes a shuffle moves
+    over 256 MB. No query changes it, and nothing clamps it.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    if initial_partitions is not None:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                       str(initial_partitions))
     return spark
 
 
-def size_shuffle(spark: SparkSession, input_bytes: int) -> int:
-    """Raise the shuffle partition count so that one partition of ``input_bytes``
-    stays near the target size. Never lowers what the session already has;
-    adaptive execution merges partitions that turn out small.
-    """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-input_bytes // SHUFFLE_TARGET_BYTES), MAX_SHUFFLE_PARTITIONS)
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-        return wanted
-    return current
-
-
-def stored_bytes(table: DataFrame) -> int:
-    """Size of a stored table as the optimizer sees it, from its file listing."""
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
-    Only a local session without that setting gets a temporary folder of its own.
+    """The folder all executors can reach, as set through the context or as
+    ``spark.checkpoint.dir`` of the session. There is no default.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="orderlens-")
-        spark.sparkContext.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for a table written by this run."""
-    return f"{shared_folder(spark)}/orderlens/{name}-{os.urandom(6).hex()}"
+    """A new path below the shared folder for a table written by this run; what is written
+    there goes when the session ends.
+    """
+    path = f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -75,14 +75,21 @@ def test_unknown_profit_is_no_loss(lines, one):
 
 def test_band_edges_belong_to_the_lower_band(lines, one):
     frame = lines(*[{"discount": d} for d in ("0", "0.01", "0.2", "0.21", "0.4", "0.41")])
+    parts = rollup.order_parts(frame, "segment", "discount")
     bands = {r.discount_band: r.total_line_items
-             for r in commerce.loss_by_discount_band(frame).collect()}
+             for r in commerce.loss_by_discount_band(parts).collect()}
     assert bands == {"0% (no discount)": 1, "1-20%": 2, "21-40%": 2, "41%+": 1}
     assert one(commerce.deep_discount_loss(frame))["n_lines"] == 1
-    by_segment = commerce.loss_by_discount_band(frame, "segment").collect()
+    by_segment = commerce.loss_by_discount_band(parts, "segment").collect()
     assert sum(r.total_line_items for r in by_segment) == 6
 
 
+def test_band_labels_show_their_edges(lines):
+    parts = rollup.order_parts(lines(*[{"discount": d} for d in ("0.05", "0.12", "0.13", "0.3")]), "discount")
+    bands = {r.discount_band for r in commerce.loss_by_discount_band(parts, edges=("0.125", "0.2")).collect()}
+    assert bands == {"1-12.5%", ">12.5-20%", "21%+"}
+
+
 def test_deep_discount_without_such_lines(lines, one):
     row = one(commerce.deep_discount_loss(lines({"profit": "-1"})))
     assert (row["n_lines"], row["loss_line_rate"], row["baseline_loss_line_rate"]) == (0, 0, 100)

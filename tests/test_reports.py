@@ -29,10 +29,10 @@ def test_findings_follow_the_data(lines):
         {"order_id": "late", "state": "y", "sub_category": "fine", "delivery_days": 99})
     rows = findings.findings(found).collect()
     assert [(r.finding_no, r.subject) for r in rows] == [(1, "x"), (2, "bad"), (3, "bad"), (4, "slow")]
-    assert rows[0].evidence == ("5 orders, 100.0% of them at a loss; states average 50.0%. "
-                                "Mean discount 50.0% against 0.0% elsewhere.")
-    assert rows[2].evidence == ("5 such lines, 100.0% at a loss against 62.5% of all lines; "
-                                "bad alone holds 100.0%.")
+    assert rows[0].evidence == ("loss-making orders 100.0% of 5 (mean of states 50.0%); "
+                                "mean discount 50.0% (other states 0.0%)")
+    assert rows[2].evidence == ("lines over 40% discount: 5, loss-making 100.0% (all lines 62.5%); "
+                                "largest share 100.0%")
     assert rows[3].value == 12.5 and rows[3].baseline == 3
     assert findings.insights(found).count() == 5
 
@@ -124,3 +124,12 @@ def test_correlations_are_symmetric(lines):
              for r in profile.correlation_matrix(frame).collect()}
     assert len(cells) == 25 and cells["sales", "quantity"] == -1 and cells["profit", "profit"] == 1
     assert all(cells[a, b] == cells[b, a] for a, b in cells)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 5])
+def test_correlation_with_constant_columns(lines, rows):
+    frame = lines(*[{"sales": str(i), "quantity": 3, "profit": str(-i)} for i in range(max(rows, 1))])
+    cells = {(r.column_x, r.column_y): r.correlation
+             for r in profile.correlation_matrix(frame.limit(rows)).collect()}
+    assert len(cells) == 25 and cells["quantity", "quantity"] is None and cells["sales", "quantity"] is None
+    assert cells["sales", "profit"] == (-1 if rows > 1 else None)

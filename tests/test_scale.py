@@ -10,8 +10,8 @@ import pytest
 from oracle.sql import SQL
 from orderlens.catalog import all_queries as queries
 from oracle.compare import compare, connect
-from orderlens import catalog, session
-from orderlens.operators import commerce, findings, quadrant, rollup
+from orderlens import session
+from orderlens.operators import commerce, findings, profile, quadrant, rollup
 from orderlens.operators.filters import NO_FILTERS, Filters
 from orderlens.plans import reuse
 from orderlens.sources.warehouse import Warehouse
@@ -120,17 +120,20 @@ def test_no_cross_join_and_no_python_in_any_plan(sort_merge, monkeypatch, name):
 
 @pytest.mark.parametrize("name, scans", [
     ("kpi_summary", 1), ("location_performance", 1), ("bottleneck_segments", 1),
-    ("delivery_performance", 1), ("discount_vs_rest", 1), ("revenue_share", 1), ("findings", 2)])
+    ("delivery_performance", 1), ("discount_vs_rest", 1), ("revenue_share", 1), ("findings", 2),
+    ("loss_by_discount_band", 1), ("category_month_trend", 1), ("value_counts", 1),
+    ("filter_domains", 1), ("quality_flag", 1)])
 def test_facts_are_read_once_per_grain(spark, monkeypatch, name, scans):
     assert len(re.findall(r"FileScan parquet \[l_", plans(spark, monkeypatch, name))) == scans
 
 
 def test_scans_read_only_the_columns_asked_for(spark):
     plan = queries()["total_revenue"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == [
-        "l_extendedprice:double,l_discount:double"]
-    plan = queries()["delivery_benchmark"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "o_custkey" not in plan and "part.parquet" not in plan
+    assert sorted(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == [
+        "c_custkey:bigint,c_nationkey:int",
+        "l_orderkey:bigint,l_partkey:bigint,l_extendedprice:double,l_discount:double",
+        "n_nationkey:int,n_regionkey:int", "o_orderkey:bigint,o_custkey:bigint",
+        "p_partkey:bigint", "r_regionkey:int"]
 
 
 def test_filters_reach_the_scans(spark):
@@ -187,37 +190,40 @@ def test_order_parts_equal_the_parts_of_the_lines(spark, filters):
         w.orders("ship_date", by=("category",))
 
 
-def test_shuffle_partitions_only_grow(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+def test_no_query_sets_shuffle_partitions(spark):
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = [spark.conf.get(k, None) for k in settings]
+    for name in ("kpi_summary", "constraint_violations"):
+        queries()[name](spark, SF_DIR)
+    assert [spark.conf.get(k, None) for k in settings] == before
     try:
-        assert session.size_shuffle(spark, 1) == int(before)
-        assert session.size_shuffle(spark, 100 * session.SHUFFLE_TARGET_BYTES) == 100
-        assert session.size_shuffle(spark, 10**14) == session.MAX_SHUFFLE_PARTITIONS
+        session.tune(spark, initial_partitions=390_000)
+        assert spark.conf.get(settings[1]) == "390000"
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(settings[1])
 
 
-def test_partitions_follow_the_fact_table(spark, monkeypatch):
-    w = Warehouse(spark, SF_DIR)
-    size = session.stored_bytes(w.table("lineitem"))
-    assert 100_000 < size < 1_000_000
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    monkeypatch.setattr(catalog, "SIZED", set())
-    monkeypatch.setattr(session, "SHUFFLE_TARGET_BYTES", 10_000)
-    try:
-        catalog.size_for(w)
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == -(-size // 10_000)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+def test_sampler_sorts_no_more_than_it_keeps(spark):
+    """One row holds a third of all, and everything shares one leading group of digits."""
+    frame = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS x")
+    sample = profile.sample_lines(frame, 50)
+    assert sample.count() == 50
+    assert profile.sample_lines(frame, 40_000).count() == 30_000
+    hot = profile.sample_lines(spark.range(9000).selectExpr("0 AS x"), 50)
+    assert hot.count() == 50
+    plan = sample._jdf.queryExecution().executedPlan()
+    sample.collect()
+    rows = [int(m) for m in re.findall(r"rows output: ([0-9]+)", plan.toString())]
+    assert all(m <= 30_000 for m in rows)
 
 
 def test_scratch_tables_live_in_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert session.shared_folder(spark) == folder
-    assert session.scratch_path(spark, "x").startswith(folder + "/")
+    assert session.shared_folder(spark).startswith(("file:" + folder, folder))
+    assert session.scratch_path(spark, "x").startswith(session.shared_folder(spark) + "/")
     frame = reuse.compute_once(spark.range(5).groupBy().count())
     assert frame.collect()[0][0] == 5
-    assert spark.sparkContext.getCheckpointDir().startswith(("file:" + folder, folder))
 
 
 def test_shared_frames_are_released(spark):
