@@ -18,6 +18,7 @@ from orderlens.operators import (
     calendar, commerce, delivery, filters, findings, kpi, profile, quadrant, quality, rollup,
 )
 from orderlens.operators.dashboard import ORDER_FRAME
+from orderlens.plans.reuse import release
 from orderlens.schema import MONEY, NUMERIC, RATE, TEXT_LENGTHS
 from orderlens.session import scratch_path, tune
 from orderlens.sources import files, star
@@ -39,6 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 def bind(build: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
+        # What earlier questions kept is not needed by this one.
+        release()
         warehouse = Warehouse(tune(spark), path)
         return present(build(warehouse))
     return run

@@ -2,7 +2,7 @@
 
 Catalyst prunes columns per branch, so two branches over one aggregate get two
 different exchanges and the fact table is read twice. Frames that feed both a
-result and its own benchmark are therefore written out once.
+result and its own benchmark are therefore kept as they are first computed.
 """
 
 from __future__ import annotations
@@ -14,19 +14,27 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.session import shared_folder
+
+
+#: Frames kept by compute_once since the last release.
+KEPT: list[DataFrame] = []
 
 
 def compute_once(small: DataFrame) -> DataFrame:
-    """Materialise an aggregated frame in the shared checkpoint folder.
+    """Mark an aggregated frame to be kept when an action first computes it.
 
-    The job over the fact table runs here, once. Later uses read one row per
-    group back and survive the loss of any executor without a second pass.
+    Nothing runs here. Later uses read one row per group from the executors, and parts
+    lost with an executor are computed again from the tables. ``release`` drops what is kept.
     """
-    spark = small.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return small.checkpoint(eager=True)
+    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
+    KEPT.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop all frames kept so far; a plan that still uses one computes it again."""
+    while KEPT:
+        KEPT.pop().unpersist()
 
 
 def one_row(frame: DataFrame) -> Column:

@@ -96,19 +96,32 @@ def test_hot_keys_are_split(sort_merge, skewed, columns):
 
 
 def plans(spark, monkeypatch, name):
-    """Physical plans of a query, those of frames it computes on the way included."""
+    """Physical plans of a query, each frame that it computes once shown once."""
     found = []
 
     def record(frame):
-        found.append(frame)
+        found.append(own_plan(frame))  # as it is before it is kept
         return reuse.compute_once(frame)
 
     for module in (commerce, findings, quadrant):
         monkeypatch.setattr(module, "compute_once", record)
-    found.append(queries()[name](spark, SF_DIR))
-    # An executed plan also prints the plan it started from; that part is left out.
-    return "\n".join(f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
-                     for f in found)
+    found.append(own_plan(queries()[name](spark, SF_DIR)))
+    return "\n".join(found)
+
+
+def own_plan(frame):
+    """The frame's plan without the plans of kept frames it reads, and without the plan that
+    an executed one started from.
+    """
+    text = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    kept, inside = [], None
+    for line in text.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line else None
+        kept.append(line)
+    return "\n".join(kept)
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - WRITES_FILES))
@@ -127,6 +140,14 @@ def test_facts_are_read_once_per_grain(spark, monkeypatch, name, scans):
     assert len(re.findall(r"FileScan parquet \[l_", plans(spark, monkeypatch, name))) == scans
 
 
+@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES_FILES))
+def test_building_a_query_runs_no_job(spark, name):
+    spark.sparkContext.setJobGroup("building", name)
+    queries()[name](spark, SF_DIR)
+    spark.sparkContext.setJobGroup("other", "")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
 def test_scans_read_only_the_columns_asked_for(spark):
     plan = queries()["total_revenue"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert sorted(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == [
@@ -222,8 +243,13 @@ def test_scratch_tables_live_in_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_folder(spark).startswith(("file:" + folder, folder))
     assert session.scratch_path(spark, "x").startswith(session.shared_folder(spark) + "/")
+
+
+def test_kept_frames_are_released(spark):
     frame = reuse.compute_once(spark.range(5).groupBy().count())
-    assert frame.collect()[0][0] == 5
+    assert frame.is_cached and frame.collect()[0][0] == 5
+    reuse.release()
+    assert not frame.is_cached and not reuse.KEPT
 
 
 def test_shared_frames_are_released(spark):
