@@ -53,16 +53,17 @@ raw AS (
   SELECT order_id, line_number, strftime(order_date, '%-m/%-d/%Y') AS order_date,
          CASE WHEN order_status = 'P' THEN 'pending'
               ELSE strftime(ship_date, '%-m/%-d/%Y') END AS ship_date,
-         ship_mode, segment, ' ' || region AS region, category || '  ' AS category,
-         sub_category, product_id, sales, quantity, discount, profit
+         ship_mode, customer_id, customer_name, segment, state, ' ' || region AS region,
+         category || '  ' AS category, sub_category, product_id, product_name, sales, quantity,
+         discount, profit
   FROM lines)"""
 
 CLEAN = """
 clean AS (
   SELECT DISTINCT order_id, line_number, order_date,
          CASE WHEN order_status <> 'P' THEN ship_date END AS ship_date,
-         ship_mode, segment, region, category, sub_category, product_id,
-         sales, quantity, discount, profit,
+         ship_mode, customer_id, customer_name, segment, state, region, category, sub_category,
+         product_id, product_name, sales, quantity, discount, profit,
          CASE WHEN order_status <> 'P' THEN delivery_days END AS delivery_days,
          CASE WHEN order_status <> 'P' AND ship_date < order_date
               THEN 'ship_before_order' ELSE 'ok' END AS data_quality_flag,
@@ -502,8 +503,8 @@ SQL["insights"] = text(" UNION ALL ".join((
 # -- quality --------------------------------------------------------------------------------
 
 RAW_ROW = """order_id, CAST(line_number AS BIGINT) AS line_number, order_date, ship_date, ship_mode,
-       segment, region, category, sub_category, product_id, CAST(sales AS DOUBLE) AS sales,
-       CAST(quantity AS BIGINT) AS quantity, CAST(discount AS DOUBLE) AS discount,
+       customer_id, customer_name, segment, state, region, category, sub_category, product_id,
+       product_name, CAST(sales AS DOUBLE) AS sales, CAST(quantity AS BIGINT) AS quantity, CAST(discount AS DOUBLE) AS discount,
        CAST(profit AS DOUBLE) AS profit"""
 CLEAN_ROW = RAW_ROW + ", delivery_days, data_quality_flag, is_loss_line"
 SQL["normalize_columns"] = text(f"SELECT {RAW_ROW} FROM raw", RAW)
@@ -517,9 +518,10 @@ SELECT (SELECT COUNT(*) FROM resent) AS n_rows, k AS n_distinct,
        (SELECT COUNT(*) FROM resent) - k AS n_removed
 FROM (SELECT COUNT(*) AS k FROM (SELECT DISTINCT * FROM resent))""", RAW, RESENT)
 
-CLEAN_COLUMNS = ("order_id", "line_number", "order_date", "ship_date", "ship_mode", "segment",
-                 "region", "category", "sub_category", "product_id", "sales", "quantity",
-                 "discount", "profit", "delivery_days", "data_quality_flag", "is_loss_line")
+CLEAN_COLUMNS = ("order_id", "line_number", "order_date", "ship_date", "ship_mode",
+                 "customer_id", "customer_name", "segment", "state", "region", "category",
+                 "sub_category", "product_id", "product_name", "sales", "quantity", "discount",
+                 "profit", "delivery_days", "data_quality_flag", "is_loss_line")
 SQL["null_profile"] = text(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS n_null FROM clean"
     for c in CLEAN_COLUMNS), CLEAN)
@@ -557,7 +559,7 @@ SQL["cleaning_report"] = text(" UNION ALL ".join(
      check(2, "duplicate rows removed", None,
            "COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM resent))", "resent")]
     + [check(3, "missing values", c, f"COUNT(*) - COUNT({c})", "(SELECT DISTINCT * FROM raw)")
-       for c in CLEAN_COLUMNS[:14]]
+       for c in CLEAN_COLUMNS[:18]]
     + [check(4, "unparseable dates", "order_date", "COUNT(*) - COUNT(order_date)", "clean"),
        check(4, "unparseable dates", "ship_date", "COUNT(*) - COUNT(ship_date)", "clean"),
        check(5, "ship_date before order_date", None,
@@ -664,6 +666,14 @@ SELECT * FROM (
                    CASE WHEN discount < 0 OR discount > 1 THEN 'discount between 0 and 1' END)
            AS broken_rules
   FROM lines) WHERE broken_rules <> ''""")
+SQL["accepted_lines"] = text("""
+SELECT order_id, CAST(line_number AS BIGINT) AS line_number, order_date, ship_date, delivery_days,
+       CAST(sales AS DOUBLE) AS sales, CAST(quantity AS BIGINT) AS quantity,
+       CAST(discount AS DOUBLE) AS discount
+FROM lines
+WHERE NOT (delivery_days < 0 OR ship_date < order_date OR sales < 0 OR quantity <= 0
+           OR discount < 0 OR discount > 1)""")
+SQL["append_stored"] = text("SELECT DISTINCT customer_id, customer_name, segment FROM lines")
 SQL["duplicate_keys"] = text("""
 SELECT COUNT(*) AS n_keys, CAST(COALESCE(SUM(k - 1), 0) AS BIGINT) AS n_repeats
 FROM (SELECT COUNT(*) AS k FROM lines GROUP BY order_id, line_number HAVING COUNT(*) > 1)""")

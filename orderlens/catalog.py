@@ -225,9 +225,10 @@ QUERIES |= {
 # Headings of the raw form of these tables.
 RAW_HEADINGS = {
     "order_id": "Order ID", "line_number": " Line-Number", "order_date": "Order Date",
-    "ship_date": "Ship Date", "ship_mode": "Ship Mode", "segment": "Segment",
+    "ship_date": "Ship Date", "ship_mode": "Ship Mode", "customer_id": "Customer ID",
+    "customer_name": "Customer Name", "segment": "Segment", "state": "State",
     "region": "Region", "category": "Category", "sub_category": "Sub-Category",
-    "product_id": "Product ID", "sales": "Sales", "quantity": "Quantity",
+    "product_id": "Product ID", "product_name": "Product Name", "sales": "Sales", "quantity": "Quantity",
     "discount": "Discount", "profit": "Profit ",
 }
 
@@ -261,6 +262,11 @@ def _clean_lines(w: Warehouse) -> DataFrame:
     return quality.clean(raw_lines(w))
 
 
+def _rule_lines(w: Warehouse) -> DataFrame:
+    return w.lines(*ITEM_KEY, "order_date", "ship_date", "delivery_days", "sales", "quantity",
+                   "discount")
+
+
 def _base_star(w: Warehouse) -> dict[str, DataFrame]:
     """The stored tables, looking nothing up that could hide a row without a parent."""
     nation = w.table("nation").selectExpr(
@@ -326,9 +332,8 @@ QUERIES |= {
     "cleaning_report": lambda w: quality.cleaning_report(resent_lines(w)),
     "clean_lines": _clean_lines,
     "constraint_violations": _constraints,
-    "quarantine_lines": lambda w: quality.quarantine_lines(w.lines(
-        *ITEM_KEY, "order_date", "ship_date", "delivery_days", "sales", "quantity",
-        "discount"))[1],
+    "quarantine_lines": lambda w: quality.quarantine_lines(_rule_lines(w))[1],
+    "accepted_lines": lambda w: quality.quarantine_lines(_rule_lines(w))[0],
     "duplicate_keys": lambda w: quality.duplicate_keys(w.lines(*ITEM_KEY), *ITEM_KEY),
     "order_fd_check": lambda w: quality.order_fd_check(
         w.lines("order_id", "state", "ship_mode", "delivery_days", "line_ship_date"),
@@ -350,6 +355,20 @@ def _new_customers(w: Warehouse) -> DataFrame:
         customers.filter(late).drop("order_date"), existing, ["customer_id"])
 
 
+def _stored_customers(w: Warehouse) -> DataFrame:
+    """The customers of orders before 1999 stored as a table, those since then appended where
+    absent, twice, and the table read back.
+    """
+    customers = w.orders("customer_id", "customer_name", "segment", "order_date")
+    late = F.col("order_date") >= F.lit(date(1999, 1, 1))
+    columns = ["customer_id", "customer_name", "segment"]
+    path = scratch_path(w.spark, "customers")
+    star.dim_customers(customers.filter(~late)).select(*columns).write.parquet(path)
+    for _ in range(2):
+        star.append_new_rows(customers.filter(late).select(*columns), path, ["customer_id"])
+    return w.spark.read.parquet(path)
+
+
 def _loaded_star(w: Warehouse) -> dict[str, DataFrame]:
     """The five tables as a load builds them, each from the narrowest lines that
     hold its columns; order attributes come from the order frame."""
@@ -382,6 +401,7 @@ def _order_headers(w: Warehouse) -> DataFrame:
 RAW_TEST_SCHEMA = T.StructType([
     T.StructField(h, {
         "order_id": T.LongType(), "line_number": T.IntegerType(), "product_id": T.LongType(),
+        "customer_id": T.LongType(),
         "sales": MONEY, "profit": MONEY, "quantity": T.IntegerType(), "discount": RATE,
     }.get(c, T.StringType())) for c, h in RAW_HEADINGS.items()])
 
@@ -410,6 +430,7 @@ QUERIES |= {
     "order_headers": _order_headers,
     "fact_order_items": lambda w: _loaded_star(w)["order_items"],
     "append_new_rows": _new_customers,
+    "append_stored": _stored_customers,
     "load_audit": lambda w: star.load_audit(_loaded_star(w)),
     "scan_star_view": _stored_star,
     "scan_raw_csv": _raw_csv,

@@ -17,7 +17,7 @@ from orderlens.plans import reuse
 from orderlens.sources.warehouse import Warehouse
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITES_FILES = {"scan_star_view", "scan_raw_csv", "write_clean", "scan_clean"}
+WRITES_FILES = {"append_stored", "scan_star_view", "scan_raw_csv", "write_clean", "scan_clean"}
 
 
 @pytest.fixture(scope="module")
