@@ -555,20 +555,22 @@ def check(step: int, name: str, column: str | None, value: str, source: str) ->
 
 
 SQL["cleaning_report"] = text(" UNION ALL ".join(
-    [check(2, "rows read", None, "COUNT(*)", "resent"),
-     check(2, "duplicate rows removed", None,
+    [check(1, "rows read", None, "COUNT(*)", "resent"),
+     check(1, "duplicate rows removed", None,
            "COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM resent))", "resent")]
-    + [check(3, "missing values", c, f"COUNT(*) - COUNT({c})", "(SELECT DISTINCT * FROM raw)")
+    + [check(2, "missing values", c, f"COUNT(*) - COUNT({c})", "(SELECT DISTINCT * FROM raw)")
        for c in CLEAN_COLUMNS[:18]]
-    + [check(4, "unparseable dates", "order_date", "COUNT(*) - COUNT(order_date)", "clean"),
-       check(4, "unparseable dates", "ship_date", "COUNT(*) - COUNT(ship_date)", "clean"),
+    + [check(3, "unparseable dates", "order_date", "COUNT(*) - COUNT(order_date)", "clean"),
+       check(3, "unparseable dates", "ship_date", "COUNT(*) - COUNT(ship_date)", "clean"),
        check(5, "ship_date before order_date", None,
              "COUNT(*) FILTER (WHERE data_quality_flag <> 'ok')", "clean")]
-    + [check(7, name, None, f"COUNT(*) FILTER (WHERE {rule})", "clean")
+    + [check(4, "unparseable numbers", c, f"COUNT({c}) - COUNT(TRY_CAST({c} AS DECIMAL(38,12)))", "clean")
+       for c in ("sales", "quantity", "discount", "profit")]
+    + [check(6, name, None, f"COUNT(*) FILTER (WHERE {rule})", "clean")
        for name, rule in RANGES.items()]
-    + [check(9, "distinct values after trimming", c, f"COUNT(DISTINCT {c})", "clean")
+    + [check(7, "distinct values after trimming", c, f"COUNT(DISTINCT {c})", "clean")
        for c in CATEGORICAL]
-    + [check(10, "loss-making lines", None, "COUNT(*) FILTER (WHERE is_loss_line)", "clean")]
+    + [check(8, "loss-making lines", None, "COUNT(*) FILTER (WHERE is_loss_line)", "clean")]
 ), RAW, RESENT, CLEAN)
 
 HEADERS = """

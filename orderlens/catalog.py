@@ -19,7 +19,7 @@ from orderlens.operators import (
 )
 from orderlens.operators.dashboard import ORDER_FRAME
 from orderlens.plans.reuse import release
-from orderlens.schema import MONEY, NUMERIC, RATE, TEXT_LENGTHS
+from orderlens.schema import NUMERIC, TEXT_LENGTHS
 from orderlens.session import scratch_path, tune
 from orderlens.sources import files, star
 from orderlens.sources.warehouse import LINE_COLUMNS, Warehouse
@@ -398,12 +398,7 @@ def _order_headers(w: Warehouse) -> DataFrame:
     return tables["orders"].join(tables["locations"], "location_id").drop("location_id")
 
 
-RAW_TEST_SCHEMA = T.StructType([
-    T.StructField(h, {
-        "order_id": T.LongType(), "line_number": T.IntegerType(), "product_id": T.LongType(),
-        "customer_id": T.LongType(),
-        "sales": MONEY, "profit": MONEY, "quantity": T.IntegerType(), "discount": RATE,
-    }.get(c, T.StringType())) for c, h in RAW_HEADINGS.items()])
+RAW_TEST_SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h in RAW_HEADINGS.values()])
 
 
 def _raw_csv(w: Warehouse) -> DataFrame:
@@ -411,7 +406,9 @@ def _raw_csv(w: Warehouse) -> DataFrame:
     path = scratch_path(w.spark, "raw-csv")
     raw_lines(w).write.option("header", True).option("encoding", "ISO-8859-1").option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return quality.normalize_columns(files.scan_raw_csv(w.spark, path, RAW_TEST_SCHEMA))
+    scanned = quality.normalize_columns(files.scan_raw_csv(w.spark, path, RAW_TEST_SCHEMA))
+    whole = ("order_id", "line_number", "customer_id", "product_id")
+    return quality.parse_numbers(scanned).withColumns({c: F.col(c).cast("long") for c in whole})
 
 
 def _clean_table(w: Warehouse, fmt: str) -> DataFrame:
@@ -419,7 +416,7 @@ def _clean_table(w: Warehouse, fmt: str) -> DataFrame:
     path = scratch_path(w.spark, f"clean-{fmt}")
     clean = _clean_lines(w)
     files.write_clean(clean, path, fmt)
-    return files.scan_clean(w.spark, path, clean.schema, fmt).select(*clean.columns)
+    return files.scan_clean(w.spark, path, clean.schema, fmt)
 
 
 QUERIES |= {

@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.functions.measures import count_where, is_loss
-from orderlens.schema import CATEGORICAL
+from orderlens.schema import CATEGORICAL, RAW_TYPES
 
 # The raw date format (one or two digits) and the quality flags.
 RAW_DATE_FORMAT = "M/d/yyyy"
@@ -33,6 +34,10 @@ def clean_name(name: str) -> str:
     return name.strip().lower().replace("-", "_").replace(" ", "_")
 
 
+#: The number columns of the raw form, by their clean names.
+NUMBERS = {clean_name(c): kind for c, kind in RAW_TYPES.items()}
+
+
 def normalize_columns(frame: DataFrame) -> DataFrame:
     return frame.toDF(*[clean_name(c) for c in frame.columns])
 
@@ -116,7 +121,21 @@ def order_fd_check(lines: DataFrame, attributes: list[str]) -> DataFrame:
         spans.drop("order_id"), lambda c: F.coalesce(count_where(c), F.lit(0)), "n_orders")
 
 
-# -- dates --------------------------------------------------------------------
+# -- numbers and dates --------------------------------------------------------
+
+def parse_numbers(frame: DataFrame) -> DataFrame:
+    """Text to number for the columns that hold numbers; NULL for what is no number or does
+    not fit its type exactly. Columns that hold numbers already stay as they are.
+    """
+    def exact(column: str, kind: T.DataType) -> Column:
+        wide = F.trim(F.col(column)).try_cast(T.DecimalType(38, 12))
+        narrow = wide.try_cast(kind)
+        return F.when(narrow.cast(T.DecimalType(38, 12)) == wide, narrow)
+
+    texts = {f.name for f in frame.schema if isinstance(f.dataType, T.StringType)}
+    return frame.withColumns({
+        c: exact(c, kind) for c, kind in NUMBERS.items() if c in texts})
+
 
 def parse_dates(frame: DataFrame, *columns: str) -> DataFrame:
     """Text to date; what does not parse becomes NULL."""
@@ -183,7 +202,7 @@ def categorical_profile(frame: DataFrame, columns: list[str] | None = None) -> D
 
 def clean(raw: DataFrame) -> DataFrame:
     """Raw order lines to the clean table, as one lazy plan."""
-    frame = dedup_lines(normalize_columns(raw))
+    frame = parse_numbers(dedup_lines(normalize_columns(raw)))
     frame = parse_dates(frame, "order_date", "ship_date")
     frame = quality_flag(derive_delivery_days(frame))
     return derive_loss_flag(trim_categories(frame))
@@ -198,24 +217,28 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     frame = normalize_columns(raw)
     columns = frame.columns
     kept = frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-    dates = ["order_date", "ship_date"]
-    parsed = parse_dates(kept.withColumns({f"raw_{d}": F.col(d) for d in dates}), *dates)
+    dates, numbers = ["order_date", "ship_date"], [c for c in NUMBERS if c in columns]
+    parsed = parse_numbers(parse_dates(
+        kept.withColumns({f"raw_{c}": F.col(c) for c in dates + numbers}), *dates))
 
     def zero(value: Column) -> Column:
         return F.coalesce(value, F.lit(0)).cast("bigint")
 
-    checks = [(2, "rows read", None, zero(F.sum("copies"))),
-              (2, "duplicate rows removed", None, zero(F.sum(F.col("copies") - 1)))]
+    checks = [(1, "rows read", None, zero(F.sum("copies"))),
+              (1, "duplicate rows removed", None, zero(F.sum(F.col("copies") - 1)))]
     for c in columns:
-        before = F.col(f"raw_{c}") if c in dates else F.col(c)
-        checks.append((3, "missing values", c, zero(count_where(before.isNull()))))
+        before = F.col(f"raw_{c}") if c in dates + numbers else F.col(c)
+        checks.append((2, "missing values", c, zero(count_where(before.isNull()))))
     for c in dates:
-        checks.append((4, "unparseable dates", c, zero(count_where(F.col(c).isNull()))))
+        checks.append((3, "unparseable dates", c, zero(count_where(F.col(c).isNull()))))
+    for c in numbers:
+        lost = F.col(f"raw_{c}").isNotNull() & F.col(c).isNull()
+        checks.append((4, "unparseable numbers", c, zero(count_where(lost))))
     early = F.col("ship_date") < F.col("order_date")
     checks.append((5, "ship_date before order_date", None, zero(count_where(early))))
     for name, rule in _range_rules().items():
-        checks.append((7, name, None, zero(count_where(rule))))
-    checks.append((10, "loss-making lines", None, zero(count_where(is_loss(F.col("profit"))))))
+        checks.append((6, name, None, zero(count_where(rule))))
+    checks.append((8, "loss-making lines", None, zero(count_where(is_loss(F.col("profit"))))))
 
     wide = parsed.agg(*[value.alias(f"m{i}") for i, (_, _, _, value) in enumerate(checks)])
     found = wide.select(F.explode(F.array(*[
@@ -224,7 +247,7 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
         for i, (step, name, column, _) in enumerate(checks)
     ])).alias("cell")).select("cell.*")
     categories = categorical_profile(frame).select(
-        F.lit(9).alias("step"), F.lit("distinct values after trimming").alias("check_name"),
+        F.lit(7).alias("step"), F.lit("distinct values after trimming").alias("check_name"),
         "column_name", F.col("n_distinct").alias("n_rows"))
     return found.unionByName(categories).orderBy("step", "check_name", "column_name")
 

@@ -4,26 +4,25 @@ load, run per micro-batch."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from orderlens.operators.quality import clean
+from orderlens.operators.quality import check_columns, clean
 from orderlens.plans.reuse import shared
-from orderlens.schema import CLEAN_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
+from orderlens.schema import CLEAN_SCHEMA, LOAD_COLUMNS, RAW_COLUMNS
 from orderlens.sources.star import append_new_rows
 
 TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 
 def read_raw_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw CSV files of a folder as a stream, typed like the batch scan."""
-    text = (
-        spark.readStream.schema(TEXT_SCHEMA).option("header", True)
+    """Raw CSV files of a folder as a stream of text columns, like the batch scan. Each
+    file's header must be the declared one: another order or a missing heading fails.
+    """
+    return (
+        spark.readStream.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
         .option("encoding", "ISO-8859-1").option("escape", '"').csv(folder)
     )
-    return text.select(*[
-        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
 
 
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
@@ -37,7 +36,9 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> Str
 
     def load(batch: DataFrame, _: int) -> None:
         # The batch is read for its keys and for its rows.
-        with shared(clean(batch).select(*columns)) as rows:
+        cleaned = clean(batch)
+        check_columns(cleaned, LOAD_COLUMNS)
+        with shared(cleaned.select(*columns)) as rows:
             append_new_rows(rows, table, ["row_id"], small_batch=True)
 
     return (

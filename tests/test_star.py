@@ -2,7 +2,7 @@ from datetime import date
 
 import pytest
 
-from orderlens.operators.quality import clean, normalize_columns
+from orderlens.operators.quality import cleaning_report, clean, normalize_columns
 from orderlens.schema import CLEAN_SCHEMA, RAW_SCHEMA, STAR_TABLES, star_schema
 from orderlens.sources import files, star
 
@@ -83,6 +83,39 @@ def test_raw_csv_in_latin1(spark, tmp_path):
     assert (table.order_date, table.delivery_days) == (date(2016, 11, 8), 3)
 
 
+def test_columns_in_another_order_are_read_by_name(spark, tmp_path):
+    names = [f.name for f in RAW_SCHEMA]
+    city, state = names.index("City"), names.index("State")
+    names[city], names[state] = names[state], names[city]
+    write_csv(tmp_path / "raw.csv", ROW, header=",".join(names))
+    row = files.scan_raw_csv(spark, str(tmp_path / "raw.csv")).collect()[0]
+    assert (row["City"], row["State"]) == ("North", "Town")
+
+
+@pytest.mark.parametrize("change", ["swap", "leave out"])
+def test_a_second_file_with_another_header_fails(spark, tmp_path, change):
+    names = [f.name for f in RAW_SCHEMA]
+    header = ",".join(n for n in names if n != "City")
+    if change == "swap":
+        header = ",".join(names).replace("City,State", "State,City")
+    (tmp_path / "raw").mkdir()
+    write_csv(tmp_path / "raw" / "a.csv", ROW)
+    write_csv(tmp_path / "raw" / "b.csv", ROW, header=header)
+    with pytest.raises(Exception, match="(?i)header|column|heading"):
+        files.scan_raw_csv(spark, str(tmp_path / "raw")).collect()
+
+
+def test_numbers_are_read_exactly_or_counted(spark, tmp_path):
+    bad = ROW.replace("261.96,2,", "1.23456,oops,")
+    write_csv(tmp_path / "raw.csv", ROW, bad)
+    raw = files.scan_raw_csv(spark, str(tmp_path / "raw.csv"))
+    got = {str(r.sales): r.quantity for r in clean(raw).collect()}
+    assert got == {"261.9600": 2, "None": None}
+    found = {(r.check_name, r.column_name): r.n_rows for r in cleaning_report(raw).collect()}
+    assert found["unparseable numbers", "sales"] == found["unparseable numbers", "quantity"] == 1
+    assert found["missing values", "quantity"] == found["unparseable numbers", "profit"] == 0
+
+
 def test_raw_csv_without_a_heading_fails(spark, tmp_path):
     header = ",".join(f.name for f in RAW_SCHEMA).replace("Postal Code", "Zip")
     write_csv(tmp_path / "raw.csv", ROW, header=header)
@@ -108,8 +141,10 @@ def test_date_filter_prunes_year_folders(raw, spark, tmp_path):
     files.write_clean(frame, path)
     assert {p.name for p in (tmp_path / "clean").glob("order_year=*")} == {
         "order_year=2016", "order_year=2017"}
-    plan = files.scan_clean(spark, path).filter("order_year = 2017")
-    assert plan.count() == 1
+    later = files.scan_clean(spark, path, years=(2017, 2017))
+    assert later.count() == 1 and later.columns == CLEAN_SCHEMA.fieldNames()
+    plan = later._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan
 
 
 def test_normalized_raw_frame_keeps_values(raw):
