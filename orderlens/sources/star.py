@@ -13,6 +13,8 @@ from orderlens.schema import STAR_KEYS, STAR_TABLES, star_schema
 # The natural key of a place; the postal code may be missing.
 PLACE = ["city", "state", "postal_code"]
 PLACE_COLUMNS = ["city", "state", "region", "country", "postal_code"]
+# Places are inserted by their natural key; the id is only a hash of it.
+LOAD_KEYS = {"locations": PLACE}
 HEADER_COLUMNS = ["customer_id", "order_date", "ship_date", "ship_mode", "delivery_days"]
 
 
@@ -40,8 +42,8 @@ def _present(lines: DataFrame, columns: list[str]) -> list[str]:
 
 def dim_locations(lines: DataFrame, tie: str | None = None) -> DataFrame:
     """One row per place. The id is a hash of the natural key: the same place gets
-    the same id in every load, and no task has to number all of them. A collision
-    would show up as a broken key in the constraint report.
+    the same id in every load, and no task has to number all of them. A load fails on
+    a collision.
     """
     key = _present(lines, PLACE)
     others = [c for c in _present(lines, PLACE_COLUMNS) if c not in key]
@@ -119,12 +121,17 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: list[str],
     """Rows whose key is not stored yet, one per key: insert, on conflict do nothing."""
     others = [c for c in incoming.columns if c not in key]
     fresh = first_per_key(incoming, key, others, tie) if others else incoming.distinct()
-    return fresh.join(existing.select(*key), key, "left_anti").select(*incoming.columns)
+    stored = existing.select(*[F.col(c).alias(f"stored_{c}") for c in key])
+    # A missing part of a key, such as a postal code, equals a missing part.
+    same = reduce(lambda a, b: a & b, [
+        F.col(c).eqNullSafe(F.col(f"stored_{c}")) for c in key])
+    return fresh.join(stored, same, "left_anti").select(*incoming.columns)
 
 
 def append_new_rows(incoming: DataFrame, path: str, key: list[str],
                     tie: str | None = None, small_batch: bool = False) -> None:
     """Append the new rows to a stored table. Running it again adds nothing.
+    The table is read, then appended to: one writer at a time.
 
     A batch that is small beside the table should say so: the stored keys are then
     first narrowed to those of the batch, a semi join that sends the batch's keys to
@@ -147,7 +154,19 @@ def load_star(star: dict[str, DataFrame], folder: str,
     them. Loading the same lines again changes nothing.
     """
     for name in STAR_TABLES:
-        append_new_rows(star[name], f"{folder}/{name}", keys[name])
+        if name == "locations":
+            check_place_ids(star[name], f"{folder}/{name}")
+        append_new_rows(star[name], f"{folder}/{name}", LOAD_KEYS.get(name, keys[name]))
+
+
+def check_place_ids(places: DataFrame, path: str) -> None:
+    """Fail when two places, stored or new, share a hashed id."""
+    known = places.sparkSession.read.parquet(path)
+    ids = places.select("location_id", *PLACE).unionByName(
+        known.select("location_id", *PLACE)).distinct()
+    clash = ids.groupBy("location_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    if not clash.isEmpty():
+        raise ValueError("two places share a location_id")
 
 
 def load_audit(star: dict[str, DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ from orderlens.plans import reuse
 from orderlens.sources.warehouse import Warehouse
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITES_FILES = {"append_stored", "scan_star_view", "scan_raw_csv", "write_clean", "scan_clean"}
+WRITES_FILES = {"append_stored", "load_audit", "scan_star_view", "scan_raw_csv", "write_clean", "scan_clean"}
 
 
 @pytest.fixture(scope="module")
@@ -140,6 +140,16 @@ def test_facts_are_read_once_per_grain(spark, monkeypatch, name, scans):
     assert len(re.findall(r"FileScan parquet \[l_", plans(spark, monkeypatch, name))) == scans
 
 
+@pytest.mark.parametrize("name, most", [("scan_star_view", 2), ("load_audit", 2)])
+def test_star_reads_the_facts_once_per_grain(spark, monkeypatch, name, most):
+    """Counted where the base table is opened and a job writes what was read."""
+    reads = []
+    table = Warehouse.table
+    monkeypatch.setattr(Warehouse, "table", lambda w, t: reads.append(t) or table(w, t))
+    queries()[name](spark, SF_DIR)
+    assert reads.count("lineitem") <= most
+
+
 @pytest.mark.parametrize("name", sorted(set(queries()) - WRITES_FILES))
 def test_building_a_query_runs_no_job(spark, name):
     spark.sparkContext.setJobGroup("building", name)
