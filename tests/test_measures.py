@@ -1,6 +1,7 @@
 """Rounding, ratios and the integer money arithmetic against Python decimals."""
 
 import random
+from datetime import datetime
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
@@ -46,6 +47,14 @@ def test_money_is_exact(spark, tmp_path):
     save("part", p_partkey=list(range(7)), p_name=["x"] * 7, p_brand=["x"] * 7, p_type=["x"] * 7,
          p_size=pa.array([1] * 7, pa.int32()), p_retailprice=[p / 100 for p in prices])
 
+    save("orders", o_orderkey=list(range(11)), o_custkey=[1] * 11, o_orderstatus=["F"] * 11,
+         o_totalprice=[0.0] * 11, o_orderdate=[datetime(2024, 1, 1)] * 11, o_orderpriority=["x"] * 11)
+    save("customer", c_custkey=[1], c_name=["x"], c_nationkey=pa.array([1], pa.int32()),
+         c_acctbal=[0.0], c_mktsegment=["x"])
+    save("nation", n_nationkey=pa.array([1], pa.int32()), n_name=["x"],
+         n_regionkey=pa.array([1], pa.int32()))
+    save("region", r_regionkey=pa.array([1], pa.int32()), r_name=["x"])
+
     w = Warehouse(spark, str(tmp_path))
     cent = Decimal("0.01")
     expected, per_order = {}, {}
