@@ -67,9 +67,13 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(shared / (F.size(a) + F.size(b) - shared)).cast("double"))
 
 
+def smallest() -> Column:
+    """Stands for a missing doc_id."""
+    return F.lit(-(1 << 63)).cast("long")
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    smallest = F.lit(-(1 << 63)).cast("long")
-    return whole_texts(docs).withColumn("did", F.coalesce("doc_id", smallest)).withColumn(
+    return whole_texts(docs).withColumn("did", F.coalesce("doc_id", smallest())).withColumn(
         "h", F.xxhash64("text"))
 
 
@@ -89,7 +93,8 @@ def edits_table(docs: DataFrame) -> DataFrame:
 
     A document sends the one before it no more than that start and its signatures.
     """
-    texts = identified(docs)
+    # Both sides read the same columns of the texts, so that one shuffle of them serves both.
+    texts = identified(docs).select(*KEY, "text")
     placed = texts.join(stored(neighbours(texts), "neighbours"), KEY)
     one = F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))
     sent = (placed.withColumn("copy", one).where("copy = 1").select(
@@ -97,9 +102,9 @@ def edits_table(docs: DataFrame) -> DataFrame:
         F.substring("text", F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("start"),
         signatures(F.col("text")).alias("next_sigs")))
     kept = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
-    beside = (placed.select(*KEY, "doc_id", "n", "text", signatures(F.col("text")).alias("sigs"))
+    beside = (placed.select(*KEY, "n", "text", signatures(F.col("text")).alias("sigs"))
               .join(sent, KEY)
-              .select("doc_id", F.col("n").cast("long").alias("n_chars"), "sigs", "next_sigs",
+              .select(F.nullif("did", smallest()).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "sigs", "next_sigs",
                       F.concat(kept, "start").alias("edited"))
               .select("doc_id", "n_chars", "sigs", "next_sigs",
                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
