@@ -5,11 +5,11 @@ the start of the text; the chain of the next ``two`` content words after an anch
 signature, and the fingerprint of a text is the set of its signatures. Likeness is the
 Jaccard similarity of two sets.
 
-Near-duplicates at a similarity t can only be sets whose sizes differ by a factor of t at
-most: sets are dealt into size classes of that ratio and meet in their own class and the
-next. Inside, two sets meet if they share one of their first signatures in the corpus-wide
-order from rare to common; a pair is pruned when the sizes, or the signatures left after
-the first shared one, cannot reach t, and is compared in full otherwise.
+Sets of a likeness of t or more differ in size by a factor of t at most. So sets fall into
+length partitions of that ratio, and a pair is pruned if its partitions are neither equal nor
+neighbours, if its sizes cannot reach t, or if it shares no signature; what is left is
+compared in full. Asked for the likeness of all pairs (t = 0), only pairs without a shared
+signature are pruned.
 
 Everything is DataFrame functions: no Python runs on the executors.
 
@@ -22,6 +22,8 @@ and give equal rows; the next document of the last one is the first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +61,21 @@ def fingerprint(sigs: Column) -> Column:
     return F.md5(F.array_join(F.sort_array(sigs).cast("array<string>"), ",").cast("binary"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity; sets of which one is empty need no comparison."""
+def length_partition(sigs: Column, least: float) -> Column:
+    """Number of the length partition: each spans sizes within a factor of ``least``."""
+    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1))) / F.lit(-math.log(least))).cast("int")
+
+
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard similarity, or 0 where that is sure to be below ``least``."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    far = F.lit(False)
+    if least > 0:
+        far = ((F.abs(length_partition(a, least) - length_partition(b, least)) > 1)
+               | (small < F.lit(least) * large))
     shared = F.size(F.array_intersect(a, b))
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-            .when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
+    return (F.when(large == 0, 1.0)
+            .when(far | (small == 0) | ~F.arrays_overlap(a, b), 0.0)
             .otherwise(shared / (F.size(a) + F.size(b) - shared)).cast("double"))
 
 

@@ -131,6 +131,19 @@ def test_fingerprints_match_brute_force(documents):
     assert all(len(x) == 1 for x in same.values()) and len(set().union(*same.values())) == len(same)
 
 
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.8])
+def test_pruning_loses_no_similar_pair(spark, least):
+    rng = random.Random(2)
+    rows = [(rng.sample(range(12), rng.randint(0, 12)), rng.sample(range(12), rng.randint(0, 12)))
+            for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    got = frame.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b"), least).alias("x")).collect()
+    for r in got:
+        a, b = set(r.a), set(r.b)
+        exact = len(a & b) / len(a | b) if a | b else 1.0
+        assert r.x == pytest.approx(exact) or (r.x == 0 and exact < least)
+
+
 def test_long_runs_of_anchors(documents):
     docs = documents([(1, "the " * 200_000), (2, "the " * 100_000 + "end of it now")])
     assert spotsigs.edits_table(docs).count() == 2
