@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import remainder, whole_texts
 
 #: Most positives, and most unlabelled documents, that a fit reads.
-SAMPLE = 6000
+SAMPLE = 4000
 # Classes of bytes: lower, upper, digit, blank, line end, sentence marks, quotes and
 # brackets, other marks, beyond ASCII, control.
 CLASS = np.array([
@@ -64,13 +65,16 @@ def losses(score: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400,
         step: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept with the least non-negative risk, by Adam on the whole sample."""
-    both = np.concatenate((positive, unlabelled)).astype(np.float64)
-    mean, spread = both.mean(axis=0), both.std(axis=0) + 1e-3
-    xp, xu = (positive - mean) / spread, (unlabelled - mean) / spread
-    w = np.zeros(both.shape[1] + 1)
+    n = len(positive) + len(unlabelled)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in (positive, unlabelled)) / n
+    square = sum(np.einsum("nd,nd->d", x, x, dtype=np.float64) for x in (positive, unlabelled)) / n
+    spread = np.sqrt(np.maximum(square - mean ** 2, 0)) + 1e-3
+    xp, xu = ((x - mean.astype(np.float32)) / spread.astype(np.float32) for x in (positive, unlabelled))
+    w = np.zeros(positive.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        gp, gu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        v = w[:-1].astype(np.float32)
+        gp, gu = ((x @ v).astype(np.float64) + w[-1] for x in (xp, xu))
         _, as_positive = losses(gp, 1.0)
         p_negative, p_slope = losses(gp, -1.0)
         u_negative, u_slope = losses(gu, -1.0)
@@ -78,7 +82,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
             dp, du = prior * (as_positive - p_slope), u_slope
         else:
             dp, du = prior * p_slope, -u_slope
-        slope = np.append(xp.T @ dp + xu.T @ du + decay * w[:-1], dp.sum() + du.sum())
+        pull = xp.T @ dp.astype(np.float32) + xu.T @ du.astype(np.float32)
+        slope = np.append(pull + decay * w[:-1], dp.sum() + du.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope ** 2
         w -= step * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
@@ -86,6 +91,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return weights, float(w[-1] - mean @ weights)
 
 
+def vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of packed numbers as a matrix, read where Arrow holds them."""
+    parts = [np.zeros((0, WIDTH), dtype=np.float32)]
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        if len(chunk):
+            parts.append(np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(np.float32).reshape(-1, WIDTH))
+    return np.concatenate(parts)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """docs: (doc_id, text) to learn from; labels: (doc_id, quality) of such documents."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -100,10 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
               .unionAll(unlabelled.select("doc_id", F.lit(False).alias("trusted"))))
     vector = F.pandas_udf(lambda t: pd.Series([features(x).tobytes() for x in t]), "binary")
     rows = (docs.join(picked, "doc_id").dropDuplicates(["doc_id", "trusted"])
-            .select("trusted", vector("text").alias("x")).toPandas())
-    stack = lambda part: (np.stack([np.frombuffer(x, np.float32) for x in part])
-                          if len(part) else np.zeros((0, WIDTH), np.float32))
-    xp, xu = stack(rows["x"][rows["trusted"]]), stack(rows["x"][~rows["trusted"]])
+            .select("trusted", vector("text").alias("x")).toArrow())
+    x, trusted = vectors(rows.column("x")), rows.column("trusted").to_numpy()
+    xp, xu = x[trusted], x[~trusted]
+    del rows, x
     if not len(xp) or not len(xu):
         return np.zeros(WIDTH), float(np.log(prior / (1 - prior)))
     return fit(xp, xu, prior)
