@@ -1,15 +1,15 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-A vector's components are split into ``LISTS`` score lists; a score is the sum of the local
-scores that the lists give. Phase one gathers every list's best entries for each query and
-adds them up in full: the k-th best sum is a safe cutoff. Phase two sends the cutoff to all
-lists; a vector that reaches it must have a local score of at least cutoff / LISTS in some
-list, and all such entries are collected. Phase three resolves the entries that not every
-list has sent, exactly, and keeps those that reach the cutoff.
+A vector's components are split into two score lists; a score is the sum of the local scores
+that the lists give. Phase one gathers every list's best entries for each query and adds them
+up in full: the k-th best sum is a safe cutoff. Phase two sends the cutoff to both lists; a
+vector that reaches it has at least half of it in one of them, and all such entries are
+collected. Phase three resolves each entry in the other list, exactly, and keeps what
+reaches the cutoff.
 
-Queries and vectors meet in blocks, a block pair a task. Equal vectors are one candidate
-that keeps its k + 1 smallest ids, and equal queries are one query, so a vector that holds
-a third of all rows is scored once.
+Queries and vectors meet in blocks: a task holds one list's part of one block of each.
+Equal vectors are one candidate that keeps its k + 1 smallest ids, and equal queries are one
+query, so a vector that holds a third of all rows is scored once.
 
 Defined cases: a vector that is missing, or holds a missing or non-finite component, and a
 row without vec_id take no part; shorter vectors count as padded with zeros; rows repeated
@@ -64,13 +64,16 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in ("i1", "i2", "i4", "i8") if top <= np.iinfo(t).max))
 
 
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point while every sum fits its mantissa."""
-    width = min(q.shape[1], v.shape[1])
-    q, v = q[:, :width], v[:, :width]
+def exact_kind(q: np.ndarray, v: np.ndarray):
+    """Floating point while every inner product fits its mantissa, else longs."""
     most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(
-        np.abs(v.astype(np.float64)).max(initial=0)) * max(width, 1)
-    kind = np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
+        np.abs(v.astype(np.float64)).max(initial=0)) * max(q.shape[1], 1)
+    return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
+
+
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of all queries and vectors."""
+    kind = exact_kind(q, v)
     return (q.astype(kind) @ v.astype(kind).T).astype(np.int64)
 
 
@@ -101,35 +104,83 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 PAIRS = "list int, qid long, cid long, s long"
+BLOCK = "list int, vb long, qb long, role string, cids binary, cut binary, kind string, part binary"
 
 
-def meet(vectors: DataFrame, queries: DataFrame, n_vector_blocks: int, n_query_blocks: int, pick):
-    """Every vector block with every query block of its list, a pair a task; ``pick`` says
-    which entries of the score matrix (queries x vectors) leave it.
+def meet(vectors: DataFrame, queries: DataFrame, n_vb: int, n_qb: int, work, schema: str,
+         entries: DataFrame | None = None) -> DataFrame:
+    """Every vector block with every query block of its list, a pair a task, and what was
+    sent to that pair. work(list, vb, qb, v, q, e) gets the rows, e is None without entries.
     """
     def every(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    left = vectors.withColumn("qb", every(n_query_blocks))
-    right = queries.withColumn("vb", every(n_vector_blocks))
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    both = (vectors.withColumns({"qb": every(n_qb), "role": F.lit("v")}).select(*names)
+            .unionAll(queries.withColumns({"vb": every(n_vb), "role": F.lit("q")}).select(*names)))
+    sent = entries is not None
+    if sent:
+        both = both.unionAll(entries.select(*names))
+
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"list": [], "qid": [], "cid": [], "s": []}, dtype="int64")
-        cids, v = unpack(a.iloc[0])
-        qids, q = unpack(b.iloc[0])
-        cut = np.frombuffer(b["cut"].iloc[0], "<i8")
-        found = []
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        role = {r: part.iloc[0] for r, part in rows.groupby("role")}
+        if "v" not in role or "q" not in role or (sent and "e" not in role):
+            return pd.DataFrame({c: [] for c in columns})
+        first = rows.iloc[0]
+        return work(int(first["list"]), int(first["vb"]), int(first["qb"]),
+                    role["v"], role["q"], role.get("e"))
+
+    return both.groupBy("list", "vb", "qb").applyInPandas(run, schema)
+
+
+def gather(k: int):
+    """Phase one: each query's best local scores in the block."""
+    def work(which, vb, qb, v_row, q_row, _):
+        cids, v = unpack(v_row)
+        qids, q = unpack(q_row)
+        few, found = min(k, len(cids)), []
         for start in range(0, len(qids), 256):
             s = products(q[start:start + 256], v)
-            i, j = pick(s, cut[start:start + 256])
-            found.append((qids[start + i], cids[j], s[i, j]))
+            j = np.argpartition(-s, few - 1, axis=1)[:, :few]
+            i = np.arange(len(s))[:, None]
+            found.append((np.repeat(qids[start:start + 256], few), cids[j.ravel()], s[i, j].ravel()))
         qid, cid, score = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"list": np.full(len(qid), a["list"].iloc[0], "int32"),
-                             "qid": qid, "cid": cid, "s": score})
-
-    key = ["list", "vb", "qb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(work, PAIRS)
+        return pd.DataFrame({"list": np.full(len(qid), which, "int32"), "qid": qid, "cid": cid, "s": score})
+    return work
+
+
+def collect(which, vb, qb, v_row, q_row, _):
+    """Phase two: all entries with half the cutoff or more, packed, bound for the other list."""
+    _, v = unpack(v_row)
+    _, q = unpack(q_row)
+    half = -(-np.frombuffer(q_row["cut"], "<i8") // LISTS)
+    found = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64))]
+    for start in range(0, len(q), 256):
+        s = products(q[start:start + 256], v)
+        i, j = np.nonzero(s >= half[start:start + 256, None])
+        found.append(((i + start).astype("<i4"), j.astype("<i4"), s[i, j]))
+    i, j, s = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame([{
+        "list": LISTS - 1 - which, "vb": vb, "qb": qb, "role": "e", "cids": i.astype("<i4").tobytes(),
+        "cut": j.astype("<i4").tobytes(), "kind": "", "part": s.astype("<i8").tobytes()}])
+
+
+def resolve(which, vb, qb, v_row, q_row, e_row):
+    """Phase three: the rest of each entry's score from this list; what reaches the cutoff."""
+    cids, v = unpack(v_row)
+    qids, q = unpack(q_row)
+    cut = np.frombuffer(q_row["cut"], "<i8")
+    i, j = np.frombuffer(e_row["cids"], "<i4"), np.frombuffer(e_row["cut"], "<i4")
+    score = np.frombuffer(e_row["part"], "<i8").copy()
+    kind = exact_kind(q, v)
+    q, v = q.astype(kind), v.astype(kind)
+    for start in range(0, len(i), 1 << 16):
+        some = slice(start, start + (1 << 16))
+        score[some] += np.einsum("nd,nd->n", q[i[some]], v[j[some]]).astype(np.int64)
+    good = score >= cut[i]
+    return pd.DataFrame({"qid": qids[i[good]], "cid": cids[j[good]], "score": score[good]})
 
 
 def resolved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -167,32 +218,22 @@ def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     spread = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
     by_block = stored(blocks(classes.withColumn("vb", spread(n_vb)), "vb", None, width), "blocks")
     queries = classes.where("asked").withColumn("qb", spread(n_qb))
+    asked_blocks = blocks(queries.withColumn("none", F.lit(0)), "qb", "none", width)
 
-    def best(s, cut):
-        few = min(k + 1, s.shape[1])
-        j = np.argpartition(-s, few - 1, axis=1)[:, :few]
-        return np.repeat(np.arange(len(s)), few), j.ravel()
-
-    heads = meet(by_block, blocks(queries.withColumn("none", F.lit(0)), "qb", "none", width), n_vb, n_qb, best)
+    heads = meet(by_block, asked_blocks, n_vb, n_qb, gather(k + 1), PAIRS)
     place = F.row_number().over(Window.partitionBy("qid", "list").orderBy(F.desc("s"), "cid"))
     gathered = heads.withColumn("n", place).where(F.col("n") <= k + 1).select("qid", "cid").distinct()
     nth_best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
     cutoffs = stored(resolved(gathered, classes).withColumn("n", nth_best)
                      .where(F.col("n") == k + 1).select("qid", F.col("score").alias("cutoff")), "cutoffs")
     # With at most k + 1 candidates in all, everything is collected.
-    safe = stored(queries.join(cutoffs, F.col("cid") == F.col("qid"), "left").select(
-        "cid", "v", "qb", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")), "queries")
-
-    def enough(s, cut):
-        return np.nonzero(s >= -(-cut // LISTS)[:, None])
-
-    sent = meet(by_block, blocks(safe, "qb", "cutoff", width), n_vb, n_qb, enough)
-    summed = stored(sent.groupBy("qid", "cid").agg(F.sum("s").alias("score"),
-                                                   F.count("*").alias("lists")), "entries")
-    whole = summed.where(F.col("lists") == LISTS).select("qid", "cid", "score").unionAll(
-        resolved(summed.where(F.col("lists") < LISTS), classes))
-    reached = (whole.join(safe.select(F.col("cid").alias("qid"), "cutoff"), "qid")
-               .where("score >= cutoff"))
+    safe = stored(blocks(
+        queries.join(cutoffs, F.col("cid") == F.col("qid"), "left").select(
+            "cid", "v", "qb", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")),
+        "qb", "cutoff", width), "queries")
+    sent = stored(meet(by_block, safe, n_vb, n_qb, collect, BLOCK), "entries")
+    # A vector that both lists have sent is resolved by both, with one result.
+    reached = meet(by_block, safe, n_vb, n_qb, resolve, "qid long, cid long, score long", sent).distinct()
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     tops = (reached.join(classes.select("cid", "ids"), "cid")
             .select("qid", "score", F.explode("ids").alias("vec_id"))
