@@ -40,7 +40,9 @@ COMMON = 2047
 CLASSES = 4096
 ROUNDS = 6
 #: Tokens per block of the recursion, and per batch of texts.
-BLOCK = 512
+BLOCK = 256
+#: Steps after which the recursion is scaled; the least emissions stay far from underflow.
+SCALED = 4
 TOKENS = 400_000
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -129,11 +131,12 @@ class Blocks:
         for t in range(BLOCK if len(which) else 0):
             m *= b.T[self.obs[self.begin[which] + t]][:, None, :]
             m = (m.reshape(-1, k) @ a).reshape(-1, k, k)
-            m /= m.sum(axis=(1, 2), keepdims=True)
+            if t % SCALED == SCALED - 1 or t == BLOCK - 1:
+                m /= m.sum(axis=(1, 2), keepdims=True)
         return place, m
 
     def starts(self, start: np.ndarray, place: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """State distribution before each block's first token."""
+        """State distribution before each block's first token (states x blocks)."""
         pred = np.empty((len(self.begin), len(start)))
         now = np.broadcast_to(start, (len(self.per), len(start))).copy()
         for j in range(int(self.per.max(initial=0))):
@@ -144,45 +147,50 @@ class Blocks:
             texts, rows = texts[go], rows[go]
             now[texts] = np.einsum("ni,nij->nj", now[texts], m[place[rows]])
             now[texts] /= now[texts].sum(axis=1, keepdims=True)
-        return pred
-
-    def ends(self, place: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
-        """What follows each block, seen from the state after its last token, scaled."""
-        after = np.ones((len(self.begin), k))
+        return pred.T.copy()
+
+    def ends(self, place: np.ndarray, m: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """What follows each block, seen from the state after its last token (states x blocks).
+        head: of each text's last block, its likelihood from every state before it.
+        """
+        after = np.ones((len(self.begin), len(head)))
+        head = head.T
         for j in range(int(self.per.max(initial=0)) - 2, -1, -1):
             texts = np.flatnonzero(self.per > j + 1)
             rows, following = self.row[self.first[texts] + j], self.row[self.first[texts] + j + 1]
-            # The transfer of the next block, or all ones where the text ends in it.
             last = place[following] < 0
-            after[rows] = np.where(last[:, None], self.head[following], np.einsum(
-                "nij,nj->ni", m[np.maximum(place[following], 0)], after[following]) if len(m) else 1.0)
+            after[rows[last]] = head[following[last]]
+            rows, following = rows[~last], following[~last]
+            after[rows] = np.einsum("nij,nj->ni", m[place[following]], after[following])
             after[rows] /= after[rows].sum(axis=1, keepdims=True)
-        return after
+        return after.T.copy()
 
     def forward(self, pred: np.ndarray, a: np.ndarray, b: np.ndarray, keep: bool):
-        """Log-likelihood of each block, and the state distributions before each token."""
+        """Log-likelihood of each block, and the scaled state weights before each token."""
         logs, now, kept = np.zeros(len(self.begin)), pred.copy(), []
         for t, n in enumerate(self.alive):
-            now = now[:n]
             if keep:
-                kept.append(now)
-            joint = now * b.T[self.at(t)]
-            scale = joint.sum(axis=1)
-            logs[:n] += np.log(scale)
-            now = (joint / scale[:, None]) @ a
-        return logs, kept
-
-    def heads(self, a: np.ndarray, b: np.ndarray) -> None:
+                kept.append(now[:, :n].copy())
+            after = a.T @ (now[:, :n] * np.take(b, self.at(t), axis=1))
+            if t % SCALED == SCALED - 1:
+                scale = after.sum(axis=0)
+                logs[:n] += np.log(scale)
+                after /= scale
+            now[:, :n] = after
+        return logs + np.log(now.sum(axis=0)), kept
+
+    def heads(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of the last block of each longer text: its likelihood from every state before it."""
         which = np.flatnonzero(~self.moves & (self.per[self.text] > 1))
         size, begin = self.size[which], self.begin[which]
-        after = np.ones((len(which), len(a)))
+        after = np.ones((len(a), len(which)))
         for t in range(int(size.max(initial=0)) - 1, -1, -1):
             n = int(np.searchsorted(-size, -t, side="left"))
-            after[:n] = b.T[self.obs[begin[:n] + t]] * (after[:n] @ a.T)
-            after[:n] /= after[:n].sum(axis=1, keepdims=True)
-        self.head = np.ones((len(self.begin), len(a)))
-        self.head[which] = after
+            back = np.take(b, self.obs[begin[:n] + t], axis=1) * (a @ after[:, :n])
+            after[:, :n] = back / back.sum(axis=0) if t % SCALED == 0 else back
+        head = np.ones((len(a), len(self.begin)))
+        head[:, which] = after
+        return head
 
 
 def log_likelihoods(obs: np.ndarray, lengths: np.ndarray, model) -> np.ndarray:
@@ -199,10 +207,8 @@ def expected(obs: np.ndarray, lengths: np.ndarray, model):
     k = len(a)
     blocks = Blocks(obs, lengths)
     place, m = blocks.transfers(a, b)
-    pred = blocks.starts(start, place, m)
-    logs, kept = blocks.forward(pred, a, b, keep=True)
-    blocks.heads(a, b)
-    after = blocks.ends(place, m, k)
+    logs, kept = blocks.forward(blocks.starts(start, place, m), a, b, keep=True)
+    after = blocks.ends(place, m, blocks.heads(a, b))
     firsts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, b.shape[1]))
     begins = np.zeros(len(blocks.begin), dtype=bool)
     begins[blocks.row[blocks.first]] = True
@@ -212,23 +218,24 @@ def expected(obs: np.ndarray, lengths: np.ndarray, model):
     for t in range(len(blocks.alive) - 1, -1, -1):
         n = blocks.alive[t]
         word = blocks.at(t)
-        joint = kept[t] * b.T[word]
-        behind = after[:n]
-        here = joint * (behind @ a.T)
-        total = here.sum(axis=1, keepdims=True)
-        gamma = here / total
+        emission = np.take(b, word, axis=1)
+        joint, behind = kept[t] * emission, after[:, :n]
+        beyond = a @ behind
+        gamma = joint * beyond
+        total = gamma.sum(axis=0)
+        gamma /= total
         # No transition follows a text's last token.
-        goes = ~(final[:n] & (blocks.size[:n] == t + 1))
-        moves += a * ((joint / total)[goes].T @ behind[goes])
+        joint /= np.where(final[:n] & (blocks.size[:n] == t + 1), np.inf, total)
+        moves += a * (joint @ behind.T)
         seen.append(word)
         weights.append(gamma)
         if t == 0:
-            firsts += gamma[begins].sum(axis=0)
-        back = b.T[word] * (behind @ a.T)
-        after[:n] = back / back.sum(axis=1, keepdims=True)
-    word, gamma = np.concatenate(seen), np.concatenate(weights)
+            firsts += gamma[:, begins].sum(axis=1)
+        back = emission * beyond
+        after[:, :n] = back / back.sum(axis=0) if t % SCALED == 0 else back
+    word, gamma = np.concatenate(seen), np.concatenate(weights, axis=1)
     for i in range(k):
-        emits[i] = np.bincount(word, gamma[:, i], b.shape[1])
+        emits[i] = np.bincount(word, gamma[i], b.shape[1])
     return firsts, moves, emits, logs.sum()
 
 
