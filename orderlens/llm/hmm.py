@@ -77,6 +77,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` of the commonest words, commonest first. Words are counted per range
+    of counts (about a thousand ranges) and the ranges that fit are fetched whole, so no task
+    sends more than its share of them.
+    """
+    band = F.floor(F.log2("c") * 16).cast("int")
+    bands = {r.band: r.n for r in counts.groupBy(band.alias("band")).agg(
+        F.count("*").alias("n")).collect()}
+    fits, least = 0, max(bands, default=0) + 1
+    for b in sorted(bands, reverse=True):
+        fits += bands[b]
+        if fits > most:
+            break
+        least = b
+    rows = counts.where(band >= least).collect()
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Words:
     """Class, log10(c + 1) and c > 0 of the commonest words; others get their class by rule."""
 
@@ -308,8 +326,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     counts = stored(word_counts(docs.where("NOT held_out")), "words")
     facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = facts.n or 0, facts.v or 0
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    words = Words([(bytes(r.word), r.c) for r in top])
+    words = Words(commonest(counts, HEAD))
     shared = spark.sparkContext.broadcast(words)
 
     def classify(batch):
