@@ -106,24 +106,32 @@ def segments(texts: list[bytes]):
 # -- the transform ----------------------------------------------------------------------
 
 
+def sorting_order(word: np.ndarray, bits: int) -> np.ndarray:
+    """Order of ``bits``-bit numbers; where number and place fit 64 bits, they are sorted as one."""
+    places = max(int(len(word) - 1).bit_length(), 1)
+    if bits + places > 64:
+        return np.argsort(word, kind="stable")
+    packed = np.sort((word << np.uint64(places)) | np.arange(len(word), dtype=np.uint64))
+    return (packed & np.uint64((1 << places) - 1)).astype(np.int64)
+
+
 def suffix_order(data: np.ndarray) -> np.ndarray:
     """Start positions in the order of at least LENGTH following symbols."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    n = len(data)
-    word = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
+    n, depth = len(data), 5
+    padded = np.concatenate((data, np.zeros(depth, np.uint8))).astype(np.uint64)
+    word, bits = np.zeros(n, dtype=np.uint64), 8 * depth
+    for k in range(depth):
         word = (word << np.uint64(8)) | padded[k:k + n]
-    depth = 8
     while True:
-        order = np.argsort(word, kind="stable")
+        order = sorting_order(word, bits)
         ranked = word[order]
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1]))).astype(np.uint64)
         if depth >= LENGTH or int(rank[order[-1]]) == n - 1:
             return order
-        later = np.zeros(n, dtype=np.uint64)
-        later[:-depth] = rank[depth:] + np.uint64(1)
-        word = rank * np.uint64(n + 1) + later
+        half = int(n).bit_length()
+        word, bits = rank << np.uint64(half), 2 * half
+        word[:-depth] |= rank[depth:] + np.uint64(1)
         depth *= 2
 
 
@@ -156,7 +164,7 @@ def class_starts(data: np.ndarray, order: np.ndarray, least: int = LENGTH) -> np
             break
         group = of * 256 + symbol
         if (size > 1).any():
-            sort = np.argsort(group, kind="stable")
+            sort = sorting_order(group.astype(np.uint64), int(group.max()).bit_length())
             group, to = group[sort], to[sort]
         head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         tail = np.append(head[1:], len(group)) - 1
