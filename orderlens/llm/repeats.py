@@ -224,9 +224,16 @@ def keyed_segments(docs: DataFrame) -> DataFrame:
         did, h = batch.column("did").to_numpy(), batch.column("h").to_numpy()
         for a, b in pieces(texts):
             of, start, windows, key, within = segments(texts[a:b])
+            _, first, which, times = np.unique(
+                key, return_index=True, return_inverse=True, return_counts=True)
+            # Of a key that repeats here one segment tells the others; the rest of them is
+            # known to stay and dealt anywhere, so a crowded key is no crowd in one task.
+            deal = key ^ (np.arange(len(key), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            deal[first] = key[first]
             yield pa.RecordBatch.from_pydict({
-                "key": key.view(np.int64), "did": did[a:b][of], "h": h[a:b][of],
-                "start": start.astype(np.int32), "windows": windows.astype(np.int32), "within": within})
+                "deal": deal.view(np.int64), "key": key.view(np.int64),
+                "did": did[a:b][of], "h": h[a:b][of], "start": start.astype(np.int32),
+                "windows": windows.astype(np.int32), "within": within | (times[which] > 1)})
 
     def work(batches):
         for batch in batches:
@@ -250,10 +257,10 @@ def keyed_segments(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield held.filter(held.column("within"))
 
-    schema = "key long, did long, h long, start int, windows int, within boolean"
+    schema = "deal long, key long, did long, h long, start int, windows int, within boolean"
     return (docs.select(*KEY, "text").mapInArrow(work, schema)
-            .repartition("key").sortWithinPartitions("key")
-            .mapInArrow(shared, schema).drop("within"))
+            .repartition("deal").sortWithinPartitions("deal")
+            .mapInArrow(shared, schema).drop("deal", "within"))
 
 
 PLACED = "kind int, key long, part binary, did long, h long, start int, stop int"
