@@ -76,11 +76,13 @@ def pack(docs: DataFrame, max_len: int = 2048, budget: int = 16384, buckets: int
     bounds = bucket_lengths(counts, buckets)
     if not bounds:
         bounds = [max_len]
-    bucket = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("n_tokens")), 1)
-    cells = {k: -(-n // cell_rows) for k, n in counts.items()} or {1: 1}
-    of = F.create_map(*[F.lit(x) for pair in sorted(cells.items()) for x in pair])
-    dealt = (rows.withColumn("bucket", bucket)
-             .withColumn("cell", F.pmod(F.xxhash64("doc_id", "part"), of[F.col("n_tokens")])))
+    # Looked up by length, at most max_len numbers each.
+    lengths = range(1, max(bounds) + 1)
+    bucket = F.array(*[F.lit(min(b for b in bounds if b >= k)) for k in lengths])
+    cells = F.array(*[F.lit(-(-counts.get(k, 1) // cell_rows)) for k in lengths])
+    dealt = (rows.withColumn("bucket", F.element_at(bucket, F.col("n_tokens")))
+             .withColumn("cell", F.pmod(F.xxhash64("doc_id", "part"),
+                                        F.element_at(cells, F.col("n_tokens")))))
     key = ["bucket", "n_tokens", "cell"]
     sums = dealt.groupBy(*key).agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("n_tokens", "cell")
