@@ -102,16 +102,25 @@ def vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def sampled(rows: DataFrame, seed: str, most: int) -> DataFrame:
+    """The ``most`` ids with the smallest hashes. A share of the ids that holds about twice
+    as many is picked first, so the tasks have no more than that to merge.
+    """
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL").withColumn(
+        "place", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    share = min(1.0, 2.0 * most / max(rows.count(), 1))
+    return (ids.where(F.col("place") <= int(share * 2 ** 64) - 2 ** 63 - 1)
+            .orderBy("place", "doc_id").limit(most).select("doc_id"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """docs: (doc_id, text) to learn from; labels: (doc_id, quality) of such documents."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("low"), F.max("quality").alias("high"))
     row = known.agg(F.avg(F.col("low").cast("double")).alias("prior")).first()
     prior = 0.5 if row.prior is None else min(max(row.prior, 0.01), 0.99)
-    mixed = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    positive = known.where("low = 1 AND high = 1").select("doc_id").orderBy(mixed, "doc_id").limit(sample)
-    unlabelled = docs.select("doc_id").orderBy(
-        F.xxhash64(F.col("doc_id"), F.lit("web")), "doc_id").limit(sample)
+    positive = sampled(known.where("low = 1 AND high = 1"), "quality", sample)
+    unlabelled = sampled(docs, "web", sample)
     picked = (positive.select("doc_id", F.lit(True).alias("trusted"))
               .unionAll(unlabelled.select("doc_id", F.lit(False).alias("trusted"))))
     vector = F.pandas_udf(lambda t: pd.Series([features(x).tobytes() for x in t]), "binary")
