@@ -22,7 +22,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import in_arrow, stored, whole_texts
@@ -53,12 +53,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(rows)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, *more: str) -> DataFrame:
+    """doc_id, fp and other string columns if asked for."""
     def work(batch):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
-        return {"doc_id": batch.column(0), "fp": [fingerprint(t, size) for t in texts]}
+        return {"doc_id": batch.column(0), "fp": [fingerprint(t, size) for t in texts],
+                **{name: batch.column(name) for name in more}}
 
-    return in_arrow(whole_texts(docs), work, "doc_id long, fp long")
+    return in_arrow(whole_texts(docs, *more), work,
+                    ", ".join(["doc_id long, fp long", *[f"{name} string" for name in more]]))
 
 
 def ball_masks(radius: int) -> list[tuple[int, np.ndarray]]:
@@ -148,16 +151,23 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return met.distinct()
 
 
+def rooted(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """fp, root and the least ``first`` of every distinct fingerprint; root is one
+    fingerprint of its component.
+    """
+    classes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    # One class's own rows need no link: only different fingerprints are linked.
+    roots = components(links(classes, radius))
+    return (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint and component_id of every document: the smallest doc_id that a
     chain of links reaches, itself included.
     """
     prints = stored(fingerprints(docs, size), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    # One class's own rows need no link: only different fingerprints are linked.
-    roots = components(links(classes, radius))
-    named = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-             .withColumn("root", F.coalesce("root", "fp")))
+    named = rooted(prints, F.col("doc_id"), radius)
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     known = stored(named.join(names, "root").select("fp", "component_id"), "components")
     return (prints.join(known, "fp")
@@ -166,11 +176,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 
 
 def first_of_each(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The documents that name their component, all columns kept; of rows that share a
-    doc_id one stays.
+    """One document of each component, all columns kept: the one with the smallest doc_id (a
+    missing one is the last), of several texts under that id the one of least hash; of rows
+    that agree in doc_id and text one stays.
     """
-    kept = (near_duplicates(docs.select("doc_id", "text"), size, radius)
-            .where("doc_id <=> component_id").select(F.col("doc_id").alias("keeps")).distinct())
-    row = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    return (row.join(kept, F.expr("doc_id <=> keeps")).groupBy("doc_id")
-            .agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*"))
+    # Neither doc_id nor text alone: ids may be missing or shared, and texts have many copies.
+    one = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                             F.coalesce("text", F.lit(""))).cast("binary"), 256)
+    prints = stored(fingerprints(docs.select("doc_id", "text", one.alias("one")), size, "one"), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "one")
+    kept = (rooted(prints, first, radius).groupBy("root").agg(F.min("first").alias("first"))
+            .select("first.one"))
+    row = docs.select(one.alias("one"), F.struct(*docs.columns).alias("row"))
+    return (row.join(kept, "one").groupBy("one")
+            .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*"))

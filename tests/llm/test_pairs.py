@@ -60,6 +60,23 @@ def test_components_match_brute_force(documents):
     assert got == expected
 
 
+def test_every_group_keeps_one_row(odd, documents):
+    more = documents([(None, prose(200 + k, 60)) for k in range(4)] + [(1, prose(300, 60)), (None, prose(1, 41)),
+                     (30, prose(200, 60)), (None, prose(201, 60))], size=1, score="x", row=2.0, h=3, key="k", rank=4,
+                     fp=5, part="p", n_tokens=6, copies=7, spans="s", did=8, cell=9, label=True)
+    docs = odd.unionByName(more)
+    rows = docs.select("doc_id", "text").collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    group = reachable(prints, list(range(len(rows))))
+    of_text = {p: group[k] for k, p in enumerate(prints)}
+    got = simhash.first_of_each(docs).collect()
+    assert sorted(of_text[plain_fingerprint(r.text)] for r in got) == sorted(set(group.values()))
+    least = {}
+    for k, r in enumerate(rows):
+        least[group[k]] = min(least.get(group[k], (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert {of_text[plain_fingerprint(r.text)]: (r.doc_id is None, r.doc_id or 0) for r in got} == least
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
 def test_no_link_is_lost(spark, radius):
     rng = random.Random(radius)
