@@ -1,10 +1,12 @@
 """License scans with a positional index of rare words.
 
-Templates are phrases and notices with the phrases they must contain. A file's rarest
-template words (highest inverse document frequency over the whole corpus) are looked up in
-the templates' postings; a word at file position p and template position t votes for the
-template starting at p - t, alignments with enough votes are candidates, and a candidate
-counts if its mandatory phrases stand word for word near where the template has them.
+Templates are phrases and notices with the phrases they must contain. Each template's rarest
+words (highest inverse document frequency over the whole corpus), and the rarest of its first
+mandatory phrase, are looked up in the templates' postings; a word at file position p and
+template position t votes for the template starting at p - t, alignments with two votes are
+candidates, and a candidate counts if its mandatory phrases stand word for word near where the
+template has them and enough of its words are there. What else a file holds takes no
+template's votes away.
 
 For a phrase that is a template on its own, every place is found: each occurrence of its
 rarest word proposes an alignment, and the whole phrase is verified there.
@@ -114,18 +116,25 @@ class Index:
 
     def __init__(self, known: list[Template], n_docs: int, frequency: dict[bytes, int],
                  rare: int = 8, least: float = 0.6, slack: int = 3):
-        self.known, self.rare, self.least, self.slack = known, rare, least, slack
+        self.known, self.least, self.slack = known, least, slack
         every = {w for t in known for w in t.words}
         self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in every}
         self.order = {w: i for i, w in enumerate(sorted(every, key=lambda w: (-self.idf[w], w)))}
+        # The rarest words of each template: all a scan has to look up first. Two of a notice's
+        # are in its first mandatory phrase, so that wherever this stands it gets two votes.
+        self.keys = {k: self.rarest(t.words, 1 if t.base else rare) for k, t in enumerate(known)}
+        for k, t in enumerate(known):
+            if not t.base:
+                self.keys[k] |= self.rarest(t.mandatory[0][1], 2)
+        self.lookup = frozenset().union(*self.keys.values())
         self.postings = defaultdict(list)
         for k, t in enumerate(known):
             for i, w in enumerate(t.words):
-                self.postings[w].append((k, i))
-        # The rarest words of each template: all a scan has to look up first.
-        self.keys = {k: set(sorted(set(t.words), key=self.order.get)[:1 if t.base else rare])
-                     for k, t in enumerate(known)}
-        self.lookup = frozenset().union(*self.keys.values())
+                if w in self.keys[k]:
+                    self.postings[w].append((k, i))
+
+    def rarest(self, words: tuple[bytes, ...], n: int) -> set[bytes]:
+        return set(sorted(set(words), key=self.order.get)[:n])
 
     def stands(self, words: list[bytes], at: int, part: tuple[bytes, ...]) -> bool:
         return at >= 0 and tuple(words[at:at + len(part)]) == part
@@ -139,17 +148,11 @@ class Index:
         present = self.lookup.intersection(words)
         if not present:
             return [], []
-        rarest = set(sorted(present, key=self.order.get)[:self.rare])
         votes, places = Counter(), []
         for p, w in enumerate(words):
             if w in present:
                 for k, t in self.postings[w]:
-                    if w not in self.keys[k]:
-                        continue
-                    if self.known[k].base:
-                        votes[k, p - t] += 1
-                    elif w in rarest:
-                        votes[k, p - t] += 1
+                    votes[k, p - t] += 1
         found = []
         for (k, start), n in votes.items():
             t = self.known[k]
@@ -159,8 +162,7 @@ class Index:
                 continue
             # Words put in or left out shift later words: neighbours vote together.
             near = sum(votes.get((k, start + s), 0) for s in range(-self.slack, self.slack + 1))
-            expected = len(self.keys[k] & rarest)
-            if near >= max(2, math.ceil(self.least * expected)) and all(
+            if near >= min(2, len(set(t.mandatory[0][1]))) and all(
                     self.near(words, start + at, part) for at, part in t.mandatory):
                 share = sum(any(self.stands(words, start + i + s, (w,))
                                 for s in range(-self.slack, self.slack + 1))

@@ -192,3 +192,31 @@ def test_notices_are_found_with_small_edits(documents):
     got = [r.labels for r in sorted(licenses.scan_licenses(
         documents(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)]
     assert got == ["mit", "gpl", "", "", ""]
+
+
+def test_all_notices_of_one_file_are_found(documents):
+    notices = [text for _, text, _ in licenses.NOTICES]
+    mit = notices[0].replace("obtaining a copy", "obtaining the copy")
+    words = sorted({w for text in notices for w in text.split()})
+    texts = [" ".join(notices), " and then ".join(reversed(notices)),
+             prose(5, 20) + " " + notices[3] + " " + " ".join(words),
+             " ".join(words) + " " + prose(6, 20) + " " + mit, " ".join(words)]
+    got = [r.labels for r in sorted(licenses.scan_licenses(
+        documents(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)]
+    every = ",".join(sorted(label for label, *_ in licenses.NOTICES))
+    assert got == [every, every, "gpl", "mit", ""]
+
+
+def test_a_notice_counts_in_any_surroundings():
+    index = licenses.Index(licenses.templates(), 0, {})
+    every = sorted({w for t in index.known for w in t.words})
+    for k, t in enumerate(index.known):
+        if not t.base:
+            # Only the mandatory phrases and what makes up the least share: other words replaced.
+            kept = {p for at, part in t.mandatory for p in range(at, at + len(part))}
+            for p in range(len(t.words)):
+                if len(kept) < index.least * len(t.words):
+                    kept.add(p)
+            words = [w if p in kept else b"other" for p, w in enumerate(t.words)]
+            for around in ([], every):
+                assert k in {f[0] for f in index.scan(words + [b"other"] * 9 + around)[1]}, t.label
