@@ -2,8 +2,10 @@
 
 A text's words are lower-cased runs of letters and digits. Common words are anchors, as is
 the start of the text; the chain of the next ``two`` content words after an anchor is a
-signature, and the fingerprint of a text is the set of its signatures. Likeness is the
-Jaccard similarity of two sets.
+signature, and the fingerprint of a text is the set of its signatures. Where no common word
+after the start gives a chain, the start alone would stand for a text of any length; there
+every content word starts a chain, so that the signatures cover the whole text, if it has
+more than five content words. Likeness is the Jaccard similarity of two sets.
 
 Sets of a likeness of t or more differ in size by a factor of t at most. So sets fall into
 length partitions of that ratio, and a pair is pruned if its partitions are neither equal nor
@@ -13,11 +15,11 @@ signature are pruned.
 
 Everything is DataFrame functions: no Python runs on the executors.
 
-Defined cases: a missing text is empty; a text of one content word, or none after its
-anchors, has the whole sequence as its only signature; a text without words has no
-signature, and two such texts have likeness 1; equal texts have equal fingerprints; a
-missing doc_id counts as the smallest; rows that agree in doc_id and text are one document
-and give equal rows; the next document of the last one is the first.
+Defined cases: a missing text is empty; a text of at most one content word has the whole
+sequence as its only signature; a text without words has no signature, and two such texts
+have likeness 1; equal texts have equal fingerprints; a missing doc_id counts as the
+smallest; rows that agree in doc_id and text are one document and give equal rows; the next
+document of the last one is the first.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ ANCHORS = (
 #: Marks in a normalised text: an anchor, and a content word that follows one.
 ANCHOR, FOLLOWS = "\u0001", "\u0002"
 KEY = ["did", "h"]
+#: The start's chain alone stands for a text without other chains up to as many content words.
+SHORT = 5
 
 
 def signatures(text: Column) -> Column:
@@ -47,11 +51,18 @@ def signatures(text: Column) -> Column:
     common = "|".join(sorted(set(ANCHORS)))
     marked = F.regexp_replace(words, f"(?<= )(?:{common})(?= )", ANCHOR)
     content = F.regexp_replace(marked, f"[ {ANCHOR}]*{ANCHOR}[ {ANCHOR}]*", f" {FOLLOWS}")
-    chains = F.regexp_extract_all(content, F.lit(f"{FOLLOWS}(?=([^ {FOLLOWS}]+ {FOLLOWS}?[^ {FOLLOWS}]+))"), 1)
-    hashed = F.array_distinct(F.transform(chains, lambda c: F.xxhash64(
-        F.translate(c, FOLLOWS, ""))))
+    chain = f"(?=([^ {FOLLOWS}]+ {FOLLOWS}?[^ {FOLLOWS}]+))"
+    chains = F.regexp_extract_all(content, F.lit(f"{FOLLOWS}{chain}"), 1)
+    every = F.regexp_extract_all(content, F.lit(f"(?<=[ {FOLLOWS}])(?=[^ {FOLLOWS}]){chain}"), 1)
+
+    def hashed(found: Column) -> Column:
+        return F.array_distinct(F.transform(found, lambda c: F.xxhash64(F.translate(c, FOLLOWS, ""))))
+
     only = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return (F.when(F.size(chains) > 0, hashed)
+    # The first chain is that of the start.
+    return (F.when(F.size(chains) > 1, hashed(chains))
+            .when(F.size(every) >= SHORT, hashed(every))
+            .when(F.size(chains) > 0, hashed(chains))
             .when(only != "", F.array(F.xxhash64(only)))
             .otherwise(F.array().cast("array<bigint>")))
 

@@ -131,6 +131,19 @@ def test_fingerprints_match_brute_force(documents):
     assert all(len(x) == 1 for x in same.values()) and len(set().union(*same.values())) == len(same)
 
 
+def test_texts_without_anchors_are_covered_whole(documents):
+    def listed(k, n):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    texts = ["same start " + listed(1, 80), "same start " + listed(2, 80), "The same start " + listed(3, 80),
+             listed(4, 20) + " the", "one two", "three the", "one two q r s t", "one two u v w x"]
+    got = [r for r in sorted(spotsigs.edits_table(documents(list(enumerate(texts)))).collect(),
+                             key=lambda r: r.doc_id)]
+    assert len({r.fingerprint for r in got}) == len(texts)
+    assert got[0].near_next == pytest.approx(1 / 161) and got[1].near_next == pytest.approx(1 / 161)
+    assert all(0.4 < r.near_edited < 1 and r.fingerprint != r.edited_fingerprint for r in got[:3])
+
+
 @pytest.mark.parametrize("least", [0.0, 0.5, 0.8])
 def test_pruning_loses_no_similar_pair(spark, least):
     rng = random.Random(2)
