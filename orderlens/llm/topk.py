@@ -13,8 +13,8 @@ query, so a vector that holds a third of all rows is scored once.
 
 Defined cases: a vector that is missing, or holds a missing or non-finite component, and a
 row without vec_id take no part; shorter vectors count as padded with zeros; rows repeated
-whole are one row; rows that share the query's vec_id are its own; scores are exact while
-they fit a long; an empty table gives no rows.
+whole are one row; rows that share the query's vec_id are its own, and its different vectors
+are ranked together; scores are exact while they fit a long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -201,7 +201,7 @@ def resolved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k best other rows by inner product,
+    """query_id, rank, vec_id, score: each query id's k best other rows by inner product,
     ties to the smaller vec_id. is_query: condition on vec_id.
     """
     vectors = stored(quantised(rows).distinct(), "vectors")
@@ -220,13 +220,15 @@ def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     queries = classes.where("asked").withColumn("qb", spread(n_qb))
     asked_blocks = blocks(queries.withColumn("none", F.lit(0)), "qb", "none", width)
 
-    heads = meet(by_block, asked_blocks, n_vb, n_qb, gather(k + 1), PAIRS)
+    # As many of the best as may be the query's own leave again: all vectors under its id.
+    most = (vectors.where(is_query).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0) + k
+    heads = meet(by_block, asked_blocks, n_vb, n_qb, gather(most), PAIRS)
     place = F.row_number().over(Window.partitionBy("qid", "list").orderBy(F.desc("s"), "cid"))
-    gathered = heads.withColumn("n", place).where(F.col("n") <= k + 1).select("qid", "cid").distinct()
+    gathered = heads.withColumn("n", place).where(F.col("n") <= most).select("qid", "cid").distinct()
     nth_best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
     cutoffs = stored(resolved(gathered, classes).withColumn("n", nth_best)
-                     .where(F.col("n") == k + 1).select("qid", F.col("score").alias("cutoff")), "cutoffs")
-    # With at most k + 1 candidates in all, everything is collected.
+                     .where(F.col("n") == most).select("qid", F.col("score").alias("cutoff")), "cutoffs")
+    # With fewer candidates than that in all, everything is collected.
     safe = stored(blocks(
         queries.join(cutoffs, F.col("cid") == F.col("qid"), "left").select(
             "cid", "v", "qb", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")),
@@ -237,13 +239,16 @@ def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     tops = (reached.join(classes.select("cid", "ids"), "cid")
             .select("qid", "score", F.explode("ids").alias("vec_id"))
-            .withColumn("n", order).where(F.col("n") <= k + 1).groupBy("qid")
+            .withColumn("n", order).where(F.col("n") <= most).groupBy("qid")
             .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best")))
     own = (vectors.where(is_query).join(classes.select("v", F.col("cid").alias("qid")), "v")
            .select(F.col("vec_id").alias("query_id"), "qid"))
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (own.join(tops, "qid").select("query_id", F.posexplode(others).alias("at", "one"))
-            .select("query_id", (F.col("at") + 1).alias("rank"), "one.vec_id", "one.score"))
+    # Different vectors under one query id are one query: its best over all of them.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return (own.join(tops, "qid").select("query_id", F.explode(others).alias("one"))
+            .select("query_id", "one.vec_id", "one.score").withColumn("rank", rank)
+            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def search_table(rows: DataFrame) -> DataFrame:

@@ -202,6 +202,21 @@ def test_top_k_matches_brute_force(spark, kind, monkeypatch):
     assert got == plain_top(vectors)
 
 
+def test_vectors_under_one_id_leave_no_gap(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(20 * (k % 2) if k < 60 else k + 1000, row.tolist())
+               for k, row in enumerate(rng.normal(size=(200, 6)) * (1 + 9 * (np.arange(200) < 60))[:, None])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    whole = [(i, np.floor(64 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in vectors]
+    got, want = [], []
+    for r in topk.search_table(frame).collect():
+        got.append((r.query_id, r.rank, r.vec_id, r.score))
+    for i in sorted({i for i, _ in whole if i % 20 == 0}):
+        best = sorted((-int(q @ v), j) for own, q in whole if own == i for j, v in whole if j != i)[:20]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
 def test_products_are_exact_for_large_values():
     q, v = np.array([[1 << 40, -3]]), np.array([[1 << 20, 1 << 30]])
     assert topk.products(q, v).tolist() == [[(1 << 60) - 3 * (1 << 30)]]
