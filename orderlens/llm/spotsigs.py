@@ -10,8 +10,9 @@ more than five content words. Likeness is the Jaccard similarity of two sets.
 Sets of a likeness of t or more differ in size by a factor of t at most. So sets fall into
 length partitions of that ratio, and a pair is pruned if its partitions are neither equal nor
 neighbours, if its sizes cannot reach t, or if it shares no signature; what is left is
-compared in full. Asked for the likeness of all pairs (t = 0), only pairs without a shared
-signature are pruned.
+compared in full. ``near_pairs`` finds all pairs of a corpus that way. ``edits_table`` is asked
+for the likeness of given pairs, however low (t = 0): it has no partitions, and only pairs
+without a shared signature are pruned.
 
 Everything is DataFrame functions: no Python runs on the executors.
 
@@ -74,7 +75,7 @@ def fingerprint(sigs: Column) -> Column:
 
 def length_partition(sigs: Column, least: float) -> Column:
     """Number of the length partition: each spans sizes within a factor of ``least``."""
-    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1))) / F.lit(-math.log(least))).cast("int")
+    return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1))) / F.lit(-math.log(least)) + 1e-9).cast("int")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -90,6 +91,38 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
             .otherwise(shared / (F.size(a) + F.size(b) - shared)).cast("double"))
 
 
+def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """fingerprint_a, fingerprint_b, near: every pair of different signature sets with a
+    likeness of ``least`` or more (between 0 and 1), the smaller set first.
+
+    Equal sets are one. Each posts its rarest signatures only: a set of n shares at least
+    least * n of them with a like one, so among the n - least * n + 1 rarest is a shared one.
+    Postings meet by signature inside equal and neighbouring length partitions.
+    """
+    sets = stored(
+        whole_texts(docs).select(signatures(F.col("text")).alias("sigs")).where(F.size("sigs") > 0)
+        .select(fingerprint(F.col("sigs")).alias("fp"), F.sort_array("sigs").alias("sigs"))
+        .dropDuplicates(["fp"]), "sets")
+    posted = sets.select("fp", F.size("sigs").alias("n"), length_partition(F.col("sigs"), least).alias("part"),
+                         F.explode("sigs").alias("sig"))
+    rarest = F.row_number().over(Window.partitionBy("fp").orderBy("often", "sig"))
+    often = posted.groupBy("sig").agg(F.count("*").alias("often"))
+    postings = stored(posted.join(often, "sig").withColumn("place", rarest)
+                      .where(F.expr("place <= n") & (F.col("place") <= F.col("n") + 1 - F.ceil(
+                          F.lit(least) * F.col("n") - 1e-9))).select("fp", "n", "part", "sig"), "postings")
+    small = postings.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), "sig",
+                            F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    large = postings.withColumnsRenamed({"fp": "b", "n": "n_b"})
+    met = (small.join(large, ["sig", "part"])
+           .where("n_a < n_b OR n_a = n_b AND a < b")
+           .where(F.col("n_a") >= F.lit(least) * F.col("n_b") - 1e-9).select("a", "b").distinct())
+    return (met.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("sigs_a")), "a")
+            .join(sets.select(F.col("fp").alias("b"), F.col("sigs").alias("sigs_b")), "b")
+            .select(F.col("a").alias("fingerprint_a"), F.col("b").alias("fingerprint_b"),
+                    likeness(F.col("sigs_a"), F.col("sigs_b")).alias("near"))
+            .where(F.col("near") >= least))
+
+
 def smallest() -> Column:
     """Stands for a missing doc_id."""
     return F.lit(-(1 << 63)).cast("long")

@@ -157,6 +157,26 @@ def test_pruning_loses_no_similar_pair(spark, least):
         assert r.x == pytest.approx(exact) or (r.x == 0 and exact < least)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_near_pairs_match_brute_force(documents, least):
+    rng, texts = random.Random(3), [None, "", "one two", "the", prose(1, 60), prose(1, 60)]
+    for base in range(8):
+        for _ in range(6):
+            words = prose(base, 120).split()
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words[:rng.randint(90, 120)]))
+    docs = documents([(k * 50, t) for k, t in enumerate(texts)])
+    prints = {r.doc_id: r.fingerprint for r in spotsigs.edits_table(docs).collect()}
+    sets = {prints[k * 50]: plain_signatures(t or "") for k, t in enumerate(texts)}
+    want = {frozenset((a, b)): len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            for a in sets for b in sets if a < b and sets[a] | sets[b]}
+    want = {pair: x for pair, x in want.items() if x >= least}
+    got = spotsigs.near_pairs(docs, least).collect()
+    assert len(got) == len(want) > 20
+    assert {frozenset((r.fingerprint_a, r.fingerprint_b)): r.near for r in got} == pytest.approx(want)
+
+
 def test_long_runs_of_anchors(documents):
     docs = documents([(1, "the " * 200_000), (2, "the " * 100_000 + "end of it now")])
     assert spotsigs.edits_table(docs).count() == 2
