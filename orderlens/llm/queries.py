@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm import (
-    hmm, languages, licenses, mixing, packing, quality, repeats, simhash, spotsigs, topk,
+    hmm, languages, licenses, minhash, mixing, packing, quality, repeats, simhash, spotsigs, topk,
 )
 from orderlens.llm.common import small_batches, table
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": bound(quality.quality_table, "documents", "labels"),
     "op9_licenses": bound(licenses.scan_licenses, "documents"),
     "op10_languages": bound(languages.language_table, "documents"),
+    "op11_superminhash": bound(minhash.near_duplicates, "documents"),
 }
 
 SQL = {"op3_topk": topk.SQL, "op7_mixing": mixing.SQL}
