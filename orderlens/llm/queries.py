@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm import (
-    hmm, languages, licenses, minhash, mixing, negatives, packing, quality, repeats, simhash, spotsigs,
-    topk,
+    hmm, languages, licenses, minhash, mixing, negatives, packing, prefixes, quality, repeats,
+    simhash, spotsigs, topk,
 )
 from orderlens.llm.common import small_batches, table
 
@@ -33,7 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": bound(licenses.scan_licenses, "documents"),
     "op10_languages": bound(languages.language_table, "documents"),
     "op11_superminhash": bound(minhash.near_duplicates, "documents"),
+    "op12_prefix_trie": bound(prefixes.trie_table, "conversations"),
     "op13_hard_negatives": bound(negatives.mine_table, "embeddings"),
 }
 
-SQL = {"op3_topk": topk.SQL, "op7_mixing": mixing.SQL, "op13_hard_negatives": negatives.SQL}
+SQL = {"op3_topk": topk.SQL, "op7_mixing": mixing.SQL, "op12_prefix_trie": prefixes.SQL,
+       "op13_hard_negatives": negatives.SQL}
