@@ -15,13 +15,16 @@ from pyspark.sql import types as T
 
 from orderlens.functions.measures import present
 from orderlens.operators import (
-    calendar, commerce, delivery, filters, findings, kpi, profile, quadrant, quality, rollup,
+    calendar, commerce, cube, delivery, filters, findings, kpi, moments, profile, quadrant, quality,
+    rollup, sketches,
 )
 from orderlens.operators.dashboard import ORDER_FRAME
+from orderlens.plans import order_frame
 from orderlens.plans.reuse import release
-from orderlens.schema import NUMERIC, TEXT_LENGTHS
+from orderlens.schema import NUMERIC, STAR_KEYS, TEXT_LENGTHS
 from orderlens.session import scratch_path, tune
 from orderlens.sources import files, star
+from orderlens.sources.gate import gate_report
 from orderlens.sources.warehouse import LINE_COLUMNS, Warehouse
 
 BANDS = ("0.04", "0.08")
@@ -42,8 +45,7 @@ def bind(build: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
         # What earlier questions kept is not needed by this one.
         release()
-        warehouse = Warehouse(tune(spark), path)
-        return present(build(warehouse))
+        return present(build(Warehouse.gated(tune(spark), path)))
     return run
 
 
@@ -115,6 +117,13 @@ def _by_discount(w: Warehouse, *keys: str) -> DataFrame:
     return w.orders(*keys, "n_lines", "n_loss_lines", "sum_profit", by=("discount",))
 
 
+def _rollups(w: Warehouse) -> DataFrame:
+    return cube.rollups(w.orders("order_id", *cube.ORDER_KEYS, *cube.MEASURES,
+                                 by=(*cube.PRODUCT_KEYS, "discount")), BANDS)
+
+
+QUERIES |= {"rollups_in_one_pass": _rollups}
+
 # -- discounts ------------------------------------------------------------------------
 
 QUERIES |= {
@@ -212,14 +221,70 @@ QUERIES |= {
     "value_counts": lambda w: profile.value_counts(
         w.orders("region", "ship_mode", "segment", "n_lines", by=("category", "sub_category")),
         weight="n_lines"),
-    "sample_lines": lambda w: profile.sample_lines(w.lines(
-        *ITEM_KEY, "product_id", "quantity", "discount", "sales", "category", "profit")),
-    "correlation_matrix": lambda w: profile.correlation_matrix(w.lines(*NUMERIC)),
+    # Drawn from the columns of the items; only what is drawn meets its product.
+    "sample_lines": lambda w: w.priced(profile.sample_lines(w.lines(
+        *ITEM_KEY, "product_id", "quantity", "discount", "sales"))).drop("product_name", "sub_category"),
+    "correlation_matrix": lambda w: moments.correlations(w.order_moments(), NUMERIC),
     "head_lines": lambda w: profile.head(
         w.lines(*ITEM_KEY, "product_id", "quantity", "sales"), 10,
         *ITEM_KEY, "product_id", "quantity", "sales"),
 }
 
+# -- sketches and the stored order frame ----------------------------------------------
+
+
+def _distinct_by_year(w: Warehouse) -> DataFrame:
+    """Exact counts by year, and whether the merged states of the days are within four
+    standard errors of them.
+    """
+    columns = ["customer_id", "order_id"]
+    orders = w.orders("order_date", *columns)
+    year = F.year("day").alias("order_year")
+    states = sketches.daily_distinct(orders, "order_date", columns)
+    exact = orders.groupBy(F.year("order_date").alias("order_year")).agg(
+        *[F.count_distinct(c).alias(c) for c in columns]).unpivot(["order_year"], columns, "column_name", "n_distinct")
+    error = F.abs(F.col("estimate") - F.col("n_distinct"))
+    bound = F.col("n_distinct") * F.lit(4 * 1.04 / 2 ** (sketches.LG_K / 2)) + 1
+    return exact.join(sketches.distinct_of(states, year), ["order_year", "column_name"]).select(
+        "order_year", "column_name", "n_distinct", (error <= bound).alias("within_bound"))
+
+
+def _quantiles_by_year(w: Warehouse) -> DataFrame:
+    """Whether the quartiles of the merged states of a year's days are within two percent of
+    their rank among all lines of the year.
+    """
+    lines = w.lines("order_date", "sales")
+    found = sketches.quantiles_of(sketches.daily_quantiles(lines, "order_date", "sales"), [0.25, 0.5, 0.75],
+                                  F.year("day").alias("order_year"))
+    value = F.col("sales").cast("double")
+    ranked = lines.withColumn("order_year", F.year("order_date")).join(found, "order_year").groupBy(
+        "order_year", "share").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.avg((value < F.col("value")).cast("double")).alias("below"),
+            F.avg((value <= F.col("value")).cast("double")).alias("upto"))
+    slack = F.lit(0.02) + F.lit(1.0) / F.col("n_rows")
+    return ranked.select("order_year", "share", "n_rows", (
+        (F.col("below") <= F.col("share") + slack) & (F.col("upto") >= F.col("share") - slack)).alias("within_bound"))
+
+
+def _refreshed_orders(w: Warehouse) -> DataFrame:
+    """The stored order frame after two batches, the second with late lines of orders that the
+    first one holds, and a replay.
+    """
+    path = scratch_path(w.spark, "orders")
+    lines = w.lines("order_id", *order_frame.ATTRIBUTES, "line_ship_date", "line_number", "sales", "profit",
+                    "discount").withColumnRenamed("line_ship_date", "ship_date")
+    early = (F.col("order_date") < F.lit(date(1998, 1, 1))) & (F.col("line_number") <= 3)
+    for name, batch in (("a", lines.filter(early)), ("b", lines.filter(~early)), ("a", lines.filter(early))):
+        order_frame.refresh(batch, path, name)
+    return order_frame.scan(w.spark, path)
+
+
+QUERIES |= {
+    "distinct_by_year": _distinct_by_year,
+    "sales_quantiles_by_year": _quantiles_by_year,
+    "refreshed_orders": _refreshed_orders,
+}
+
 # -- quality ----------------------------------------------------------------------------
 
 # Headings of the raw form of these tables.
@@ -268,14 +333,18 @@ def _rule_lines(w: Warehouse) -> DataFrame:
 
 
 def _base_star(w: Warehouse) -> dict[str, DataFrame]:
-    """The stored tables, looking nothing up that could hide a row without a parent."""
+    """The stored tables, looking nothing up that could hide a row without a parent. Headers know
+    whether their customer and its place were found.
+    """
     nation = w.table("nation").selectExpr(
         "n_nationkey AS location_id", "n_name AS state", "n_regionkey AS region_id")
     items = w.table("lineitem")
     shipped = items.groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.max("l_shipdate").cast("date").alias("ship_date"))
-    headers = w.base_headers().join(shipped, "order_id").join(
-        w.customers().select("customer_id", "location_id"), "customer_id", "left")
+    places = nation.select("location_id", F.lit(True).alias("place_found")).distinct()
+    customers = w.customers().select("customer_id", "location_id", F.lit(True).alias("customer_found"))
+    headers = w.base_headers().join(shipped, "order_id").join(customers, "customer_id", "left").join(
+        places, "location_id", "left")
     return {
         "locations": nation.join(w.regions(), "region_id", "left"),
         "customers": w.customers(),
@@ -286,8 +355,9 @@ def _base_star(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def _constraints(w: Warehouse) -> DataFrame:
+    tables = _base_star(w)
     return quality.constraint_violations(
-        _base_star(w),
+        tables,
         keys={"locations": ["location_id"], "customers": ["customer_id"],
               "products": ["product_id"], "orders": ["order_id"], "order_items": ITEM_KEY},
         not_null={
@@ -311,6 +381,10 @@ def _constraints(w: Warehouse) -> DataFrame:
                     ("order_items", "order_id", "orders"), ("order_items", "product_id", "products")],
         # Every stored order is a parent, also one that has no lines.
         parents={"regions": w.regions(), "orders": w.base_headers()},
+        found={("orders", "customer_id"): "customer_found", ("orders", "location_id"): "place_found"},
+        # The lines' keys without a parent that counts hold those without any.
+        counted={("order_items", "order_id"): w.gate.keys("line_order"),
+                 ("order_items", "product_id"): w.gate.keys("line_product")},
     )
 
 
@@ -332,6 +406,7 @@ QUERIES |= {
     "cleaning_report": lambda w: quality.cleaning_report(resent_lines(w)),
     "clean_lines": _clean_lines,
     "constraint_violations": _constraints,
+    "gate_report": lambda w: gate_report(w.gate),
     "quarantine_lines": lambda w: quality.quarantine_lines(_rule_lines(w))[1],
     "accepted_lines": lambda w: quality.quarantine_lines(_rule_lines(w))[0],
     "duplicate_keys": lambda w: quality.duplicate_keys(w.lines(*ITEM_KEY), *ITEM_KEY),
@@ -385,27 +460,61 @@ def _loaded_star(w: Warehouse) -> dict[str, DataFrame]:
     }
 
 
-def _stored_star(w: Warehouse) -> dict[str, DataFrame]:
-    """The five tables written and read back. The facts are read twice, once per grain: the
-    order frame and the items are written first, and places, customers, headers and products
-    follow from what was written.
+def _stored_star(w: Warehouse) -> str:
+    """The five tables stored. The facts are read twice, once per grain: the order frame
+    and the items are written first, and all tables follow from what was written.
     """
     folder = scratch_path(w.spark, "star")
-    orders = w.orders("order_id", "state", "region", "customer_name", "segment",
-                      *star.HEADER_COLUMNS)
-    orders.write.parquet(f"{folder}/order_frame")
-    star.write_star({"order_items": star.fact_order_items(w.lines(
-        *ITEM_KEY, "product_id", "sales", "quantity", "discount", "profit"), ITEM_KEY)}, folder)
-    orders = w.spark.read.schema(orders.schema).parquet(f"{folder}/order_frame")
-    sold = w.spark.read.parquet(f"{folder}/order_items").select("product_id")
+    star.write_star(_star_of(w, *_two_grains(w, ITEM_KEY)), folder, STAR_KEYS | {"order_items": ITEM_KEY}, stage=False)
+    return folder
+
+
+def _two_grains(w: Warehouse, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The order frame and the items, written and read back."""
+    path = scratch_path(w.spark, "grains")
+    frames = {
+        "orders": w.orders("order_id", "state", "region", "customer_name", "segment", *star.HEADER_COLUMNS),
+        "items": w.lines(*dict.fromkeys([*key, "product_id", "sales", "quantity", "discount", "profit"]))}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{path}/{name}")
+    return tuple(w.spark.read.schema(f.schema).parquet(f"{path}/{name}") for name, f in frames.items())
+
+
+def _star_of(w: Warehouse, orders: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """The tables of some orders and their lines; a product is stored with its first sale."""
     locations = star.dim_locations(orders)
-    star.write_star({
+    sold = lines.select("product_id")
+    return {
         "locations": locations,
         "customers": star.dim_customers(orders),
         "products": star.dim_products(w.products().join(sold, "product_id", "left_semi")),
         "orders": star.order_headers(orders, locations),
-    }, folder)
-    return star.scan_star(w.spark, folder)
+        "order_items": star.fact_order_items(lines, ITEM_KEY),
+    }
+
+
+#: Lines have no key of their own in these tables; whole items are told apart.
+WHOLE_ITEM = [*ITEM_KEY, "product_id", "sales", "quantity", "discount", "profit"]
+
+
+def _loaded_batches(w: Warehouse) -> str:
+    """The star loaded in two batches: the orders before 1998 of states before K, then the
+    others and, once more, all of 1997; after that the first batch is replayed.
+    """
+    folder = scratch_path(w.spark, "batches")
+    orders, lines = _two_grains(w, WHOLE_ITEM)
+    keys = STAR_KEYS | {"order_items": WHOLE_ITEM}
+    early = (F.col("order_date") < F.lit(date(1998, 1, 1))) & (F.col("state") < "K")
+    late = ~early | (F.col("order_date") >= F.lit(date(1997, 1, 1)))
+
+    def part(batch: int) -> None:
+        some = orders.filter(early if batch == 0 else late)
+        own = lines.join(some.select("order_id"), "order_id", "left_semi")
+        star.load_star(_star_of(w, some, own), folder, keys, batch)
+
+    for batch in (0, 1, 0):
+        part(batch)
+    return folder
 
 
 def _order_headers(w: Warehouse) -> DataFrame:
@@ -444,9 +553,17 @@ QUERIES |= {
     "fact_order_items": lambda w: _loaded_star(w)["order_items"],
     "append_new_rows": _new_customers,
     "append_stored": _stored_customers,
-    "load_audit": lambda w: star.load_audit(_stored_star(w)),
-    "scan_star_view": lambda w: star.star_view(_stored_star(w)).select(*LINE_COLUMNS),
+    "load_audit": lambda w: star.load_audit(star.scan_star(w.spark, _stored_star(w))),
+    "scan_star_view": lambda w: star.star_view(
+        star.scan_star(w.spark, _stored_star(w), with_year=True)).select(*LINE_COLUMNS),
+    "scan_star_filtered": lambda w: star.scan_lines(w.spark, _stored_star(w), SELECTION).select(*LINE_COLUMNS),
+    "load_batches": lambda w: star.star_view(
+        star.scan_star(w.spark, _loaded_batches(w), with_year=True)).select(*LINE_COLUMNS),
+    "batch_audit": lambda w: star.batch_audit(w.spark, _loaded_batches(w)),
+    "place_ids": lambda w: star.scan_star(w.spark, _loaded_batches(w))["locations"],
     "scan_raw_csv": _raw_csv,
+    "clean_and_report": lambda w: files.clean_and_report(
+        resent_lines(w), scratch_path(w.spark, "clean-reported")),
     "write_clean": lambda w: _clean_table(w, "parquet"),
     "scan_clean": lambda w: _clean_table(w, "csv"),
 }

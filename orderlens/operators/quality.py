@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,11 +208,13 @@ def clean(raw: DataFrame) -> DataFrame:
     return derive_loss_flag(trim_categories(frame))
 
 
-def cleaning_report(raw: DataFrame) -> DataFrame:
-    """What the cleaning found: (step, check_name, column_name, n_rows).
+#: A check of one row: its step, name, column and what it finds in the row.
+Check = tuple[int, str, str | None, Column]
+
 
-    Two passes: one groups the rows to drop duplicates and counts everything on
-    what remains, the other counts the values of the categorical columns.
+def _kept_rows(raw: DataFrame) -> tuple[DataFrame, list[Check]]:
+    """The rows that remain without duplicates, cleaned, beside the number of their ``copies`` and
+    their raw dates and numbers; and the checks of a row.
     """
     frame = normalize_columns(raw)
     columns = frame.columns
@@ -220,36 +222,107 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     dates, numbers = ["order_date", "ship_date"], [c for c in NUMBERS if c in columns]
     parsed = parse_numbers(parse_dates(
         kept.withColumns({f"raw_{c}": F.col(c) for c in dates + numbers}), *dates))
+    cleaned = derive_loss_flag(trim_categories(quality_flag(derive_delivery_days(parsed))))
 
-    def zero(value: Column) -> Column:
-        return F.coalesce(value, F.lit(0)).cast("bigint")
-
-    checks = [(1, "rows read", None, zero(F.sum("copies"))),
-              (1, "duplicate rows removed", None, zero(F.sum(F.col("copies") - 1)))]
+    checks: list[Check] = []
     for c in columns:
         before = F.col(f"raw_{c}") if c in dates + numbers else F.col(c)
-        checks.append((2, "missing values", c, zero(count_where(before.isNull()))))
-    for c in dates:
-        checks.append((3, "unparseable dates", c, zero(count_where(F.col(c).isNull()))))
-    for c in numbers:
-        lost = F.col(f"raw_{c}").isNotNull() & F.col(c).isNull()
-        checks.append((4, "unparseable numbers", c, zero(count_where(lost))))
-    early = F.col("ship_date") < F.col("order_date")
-    checks.append((5, "ship_date before order_date", None, zero(count_where(early))))
-    for name, rule in _range_rules().items():
-        checks.append((6, name, None, zero(count_where(rule))))
-    checks.append((8, "loss-making lines", None, zero(count_where(is_loss(F.col("profit"))))))
+        checks.append((2, "missing values", c, before.isNull()))
+    checks += [(3, "unparseable dates", c, F.col(c).isNull()) for c in dates]
+    checks += [(4, "unparseable numbers", c, F.col(f"raw_{c}").isNotNull() & F.col(c).isNull())
+               for c in numbers]
+    checks.append((5, "ship_date before order_date", None, F.col("ship_date") < F.col("order_date")))
+    checks += [(6, name, None, rule) for name, rule in _range_rules().items()]
+    checks.append((8, "loss-making lines", None, is_loss(F.col("profit"))))
+    return cleaned, checks
+
 
-    wide = parsed.agg(*[value.alias(f"m{i}") for i, (_, _, _, value) in enumerate(checks)])
-    found = wide.select(F.explode(F.array(*[
+ROWS_READ = (1, "rows read", None)
+ROWS_REMOVED = (1, "duplicate rows removed", None)
+VALUES = (7, "distinct values after trimming")
+REPORT_COLUMNS = "step INT, check_name STRING, column_name STRING, n_rows BIGINT"
+
+
+def _zero(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0)).cast("bigint")
+
+
+def cleaning_report(raw: DataFrame) -> DataFrame:
+    """What the cleaning finds: (step, check_name, column_name, n_rows).
+
+    One pass: the rows are grouped to drop duplicates, and the findings are counted on what
+    remains, per combination of categories first. So the distinct values are taken from one row per
+    combination.
+    """
+    kept, checks = _kept_rows(raw)
+    counts = {"read": F.sum("copies"), "removed": F.sum(F.col("copies") - 1)}
+    counts |= {f"c{i}": count_where(rule) for i, (*_, rule) in enumerate(checks)}
+    combined = kept.groupBy(*CATEGORICAL).agg(*[value.alias(name) for name, value in counts.items()])
+    about = [ROWS_READ, ROWS_REMOVED, *[tuple(a) for *a, _ in checks]]
+    found = [(*a, _zero(F.sum(name))) for a, name in zip(about, counts)]
+    found += [(*VALUES, c, F.count_distinct(c)) for c in CATEGORICAL]
+    wide = combined.agg(*[value.alias(f"m{i}") for i, (*_, value) in enumerate(found)])
+    return wide.select(F.explode(F.array(*[
         F.struct(F.lit(step).alias("step"), F.lit(name).alias("check_name"),
                  F.lit(column).cast("string").alias("column_name"), F.col(f"m{i}").alias("n_rows"))
-        for i, (step, name, column, _) in enumerate(checks)
-    ])).alias("cell")).select("cell.*")
-    categories = categorical_profile(frame).select(
-        F.lit(7).alias("step"), F.lit("distinct values after trimming").alias("check_name"),
-        "column_name", F.col("n_distinct").alias("n_rows"))
-    return found.unionByName(categories).orderBy("step", "check_name", "column_name")
+        for i, (step, name, column, _) in enumerate(found)
+    ])).alias("cell")).select("cell.*").orderBy("step", "check_name", "column_name")
+
+
+class ObservedCleaning:
+    """The clean table and what the cleaning found, from one job over one scan of the raw lines.
+
+    ``write(sink)`` hands the clean rows to the sink, which writes them in one action; the figures
+    of ``cleaning_report`` are counted as the rows pass. They are counted in the tasks that write
+    (``passing``), behind the last shuffle: a task that is run again replaces its figures there, while
+    those of an earlier stage could count twice. Up to that shuffle a row carries its findings as the
+    bits of whole numbers.
+
+    The distinct values of a column are counted by a sketch of bounded size, which is exact up to
+    ``most_values`` values; a column with more of them is counted from the written table.
+    """
+
+    #: Findings in one whole number.
+    BITS = 60
+
+    def __init__(self, raw: DataFrame, most_values: int = 2000):
+        kept, self.checks = _kept_rows(raw)
+        self.spark, self.most_values = raw.sparkSession, most_values
+        self.columns = [c for c in kept.columns if c != "copies" and not c.startswith("raw_")]
+        groups = [self.checks[i:i + self.BITS] for i in range(0, len(self.checks), self.BITS)]
+        self.marks = [f"found_{i}" for i in range(len(groups))]
+        bits = [reduce(Column.__add__, [F.when(rule, F.lit(1 << k)).otherwise(0).cast("bigint")
+                                        for k, (*_, rule) in enumerate(group)]) for group in groups]
+        self.rows = kept.select(*self.columns, "copies", *[b.alias(m) for b, m in zip(bits, self.marks)])
+        self.observation = Observation()
+
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """The rows as they are written, counted as they pass; the findings end here."""
+        values = {"read": F.sum("copies"), "removed": F.sum(F.col("copies") - 1)}
+        for i in range(len(self.checks)):
+            mark, bit = self.marks[i // self.BITS], 1 << (i % self.BITS)
+            values[f"c{i}"] = count_where(F.col(mark).bitwiseAND(F.lit(bit)) != 0)
+        for c in CATEGORICAL:
+            top = f"approx_top_k({c}, {self.most_values + 2}, {4 * self.most_values + 8})"
+            values[f"v_{c}"] = F.expr(f"size(filter({top}, x -> x.item IS NOT NULL))")
+        return rows.observe(self.observation, *[v.alias(k) for k, v in values.items()]).drop(
+            "copies", *self.marks)
+
+    def report(self, written: DataFrame) -> DataFrame:
+        """The report, once the rows have been written; ``written`` is the table read back."""
+        found = self.observation.get
+        rows = [(*ROWS_READ, found["read"] or 0), (*ROWS_REMOVED, found["removed"] or 0)]
+        rows += [(*about, found[f"c{i}"] or 0) for i, (*about, _) in enumerate(self.checks)]
+        values = {c: max(found[f"v_{c}"] or 0, 0) for c in CATEGORICAL}
+        many = [c for c, n in values.items() if n > self.most_values]
+        rows += [(*VALUES, c, n) for c, n in values.items() if c not in many]
+        table = self.spark.createDataFrame(rows, REPORT_COLUMNS)
+        if many:
+            counted = categorical_profile(written, many).select(
+                F.lit(VALUES[0]).alias("step"), F.lit(VALUES[1]).alias("check_name"), "column_name",
+                F.col("n_distinct").alias("n_rows"))
+            table = table.unionByName(counted)
+        return table.orderBy("step", "check_name", "column_name")
 
 
 # -- constraints ----------------------------------------------------------------
@@ -295,7 +368,9 @@ def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, list[str
                           not_null: dict[str, list[str]], checks: dict[str, list[str]],
                           lengths: dict[str, dict[str, int]],
                           references: list[tuple[str, str, str]],
-                          parents: dict[str, DataFrame] | None = None) -> DataFrame:
+                          parents: dict[str, DataFrame] | None = None,
+                          found: dict[tuple[str, str], str] | None = None,
+                          counted: dict[tuple[str, str], DataFrame] | None = None) -> DataFrame:
     """Violations per rule: (rule, n_violations).
 
     A key is broken by every row beyond the first, a reference by every row whose
@@ -303,16 +378,28 @@ def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, list[str
     not one of the tables. All rules of one table but its references share a pass:
     flags are summed per key, which the uniqueness check groups by anyway. For a
     reference the rows are counted per value first, so a hot value meets the parents once.
+
+    Two kinds of references need no pass of their own: where the table has met its parents already
+    and a column is true where there was one (``found``), and where (key, n_rows) of the values that
+    may have none are known (``counted``).
     """
     parents = tables | (parents or {})
+    found, counted = found or {}, counted or {}
     parts = []
     for table, key in keys.items():
+        known = {f"{table}.{column} references {parent}": F.col(column).isNotNull() & F.col(found[child, column]).isNull()
+                 for child, column, parent in references if child == table and (child, column) in found}
         parts.append(_table_violations(
             tables[table], table, key, not_null.get(table, []), checks.get(table, []),
-            lengths.get(table, {})))
+            lengths.get(table, {}), known))
     for child, column, parent in references:
-        per_value = tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(
-            F.count(F.lit(1)).alias("k"))
+        if (child, column) in found:
+            continue
+        if (child, column) in counted:
+            per_value = counted[child, column].select(F.col("key").alias(column), F.col("n_rows").alias("k"))
+        else:
+            per_value = tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(
+                F.count(F.lit(1)).alias("k"))
         orphans = per_value.join(parents[parent].select(column), column, "left_anti")
         parts.append(orphans.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_violations")).select(
             F.lit(f"{child}.{column} references {parent}").alias("rule"), "n_violations"))
@@ -320,12 +407,13 @@ def constraint_violations(tables: dict[str, DataFrame], keys: dict[str, list[str
 
 
 def _table_violations(frame: DataFrame, table: str, key: list[str], not_null: list[str],
-                      checks: list[str], lengths: dict[str, int]) -> DataFrame:
+                      checks: list[str], lengths: dict[str, int], references: dict[str, Column]) -> DataFrame:
     rules = stored_rules()
     flags = {f"{table}.{c} not null": F.col(c).isNull() for c in not_null}
     flags |= {f"{table}: {name}": _broken(rules[name]) for name in checks}
     flags |= {f"{table}.{c} at most {n} characters": _broken(F.length(c) <= n)
               for c, n in lengths.items()}
+    flags |= references
     per_key = frame.groupBy(*key).agg(
         (F.count(F.lit(1)) - 1).alias("repeats"),
         *[count_where(flag).alias(f"f{i}") for i, flag in enumerate(flags.values())])

@@ -61,7 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     there goes when the session ends.
     """
     path = f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"
+    where, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path as Hadoop's file systems take it, and the file system it lies in."""
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())

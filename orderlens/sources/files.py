@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from orderlens.operators.quality import check_columns
+from orderlens.operators.quality import ObservedCleaning, check_columns
 from orderlens.schema import CLEAN_SCHEMA, RAW_SCHEMA
 
 
@@ -46,14 +46,23 @@ def scan_clean(spark: SparkSession, path: str, schema: StructType = CLEAN_SCHEMA
     return table.filter(F.year("order_date").between(*years)) if years else table
 
 
-def write_clean(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_clean(clean: DataFrame, path: str, fmt: str = "parquet", passing=None) -> None:
     """Overwrite the clean table. Parquet is split by order year, so that a date
     filter skips whole folders; rebalancing keeps files even when one year holds
-    most rows, where a plain repartition would write that year in one task.
+    most rows, where a plain repartition would write that year in one task. ``passing``
+    changes the rows on their way from that shuffle to the files.
     """
     if fmt == "parquet":
-        frame = clean.withColumn("order_year", F.year("order_date"))
-        frame.hint("rebalance", F.col("order_year")).write.mode("overwrite").partitionBy(
-            "order_year").parquet(path)
+        frame = clean.withColumn("order_year", F.year("order_date")).hint("rebalance", F.col("order_year"))
+        (passing(frame) if passing else frame).write.mode("overwrite").partitionBy("order_year").parquet(path)
     else:
-        clean.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        frame = clean.hint("rebalance") if passing else clean
+        (passing(frame) if passing else frame).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def clean_and_report(raw: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Write the clean table of raw lines and return its report, from one job."""
+    cleaning = ObservedCleaning(raw)
+    write_clean(cleaning.rows, path, fmt, cleaning.passing)
+    schema = cleaning.rows.select(*cleaning.columns).schema
+    return cleaning.report(scan_clean(raw.sparkSession, path, schema, fmt))

@@ -5,9 +5,10 @@ headers, ``customer``/``nation``/``region`` the buyer and place, ``part`` the
 product. Every frame is built from the columns a question asks for.
 
 All questions share one population: the lines whose product, order, customer, nation
-and region exist. A table that serves columns is joined; one that only decides the
-population is asked for its keys, as a semi join. ``quality.constraint_violations``
-counts what falls outside.
+and region exist. A table that serves columns is joined. One that only decides the
+population is not read: the gate of the folder (``sources/gate.py``) knows the few keys
+without a parent, and these are left out. A warehouse without a gate asks such a table for
+its keys, as a semi join. ``quality.constraint_violations`` counts what falls outside.
 
 Money is computed in whole ten-thousandths and turned into a decimal once, which
 is exact and avoids decimal arithmetic per row. Schemas are declared, so opening a
@@ -19,13 +20,15 @@ threshold and sort-merges otherwise, with hot keys split by adaptive execution.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from orderlens.functions.measures import count_where
+from orderlens.operators import moments
 from orderlens.operators.filters import NO_FILTERS, Filters, keep
 from orderlens.schema import MONEY, RATE
+from orderlens.sources.gate import CHECKED, Gate, open_gate
 
 ITEM = ["order_id", "line_number", "product_id", "sales", "quantity", "discount",
         "line_ship_date"]
@@ -79,9 +82,18 @@ MEASURES = ["n_lines", "sum_sales", "sum_profit", "n_loss_lines", "sum_discount"
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, gate: Gate | None = None):
         self.spark = spark
         self.path = path
+        self.gate = gate
+
+    @classmethod
+    def gated(cls, spark: SparkSession, path: str) -> Warehouse:
+        """A warehouse that leaves out the keys its gate knows. The gate is made when the
+        tables are first opened in this state, which takes one pass over their key columns.
+        """
+        plain = cls(spark, path)
+        return cls(spark, path, open_gate(spark, path, {t: plain.table(t) for t in CHECKED}))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}.parquet")
@@ -138,16 +150,19 @@ class Warehouse:
         orders whose customer has a known place.
         """
         place = any(c in LOCATION for c in columns)
-        places = self.locations()
+        headers, customers = self.base_headers(), self.customers()
         if place:
-            customers = self.customers().join(places, "location_id")
+            customers = customers.join(self.locations(), "location_id")
+        elif self.gate:
+            headers = self.gate.keep(headers, "order_customer", "customer_id")
         else:
-            customers = self.customers().join(places.select("location_id"), "location_id", "left_semi")
+            customers = customers.join(self.locations().select("location_id"), "location_id", "left_semi")
         if place or any(c in CUSTOMER for c in columns):
-            frame = self.base_headers().join(customers, "customer_id")
+            frame = headers.join(customers, "customer_id")
+        elif self.gate:
+            frame = headers
         else:
-            frame = self.base_headers().join(
-                customers.select("customer_id"), "customer_id", "left_semi")
+            frame = headers.join(customers.select("customer_id"), "customer_id", "left_semi")
         return frame.select("order_id", *[c for c in columns if c != "order_id"])
 
     # -- line grain ----------------------------------------------------------
@@ -170,11 +185,18 @@ class Warehouse:
             if filters.order_columns():
                 shipped = shipped.join(orders.select("order_id"), "order_id", "left_semi")
             orders = orders.join(_shipping(shipped), "order_id").withColumns(_shipping_columns())
-        frame = frame.join(orders, "order_id", "inner" if columns_needed else "left_semi")
-        return frame.select(*wanted)
+        return self.of_known_orders(frame, orders, bool(columns_needed)).select(*wanted)
+
+    def of_known_orders(self, frame: DataFrame, orders: DataFrame, with_columns: bool) -> DataFrame:
+        """Lines or order totals of existing orders, joined to them or only checked."""
+        if not with_columns and self.gate:
+            return self.gate.keep(frame, "line_order", "order_id")
+        return frame.join(orders, "order_id", "inner" if with_columns else "left_semi")
 
     def known_items(self, with_products: bool) -> DataFrame:
         """Items of existing products, joined to them or only checked against them."""
+        if not with_products and self.gate:
+            return self.gate.keep(self.items(), "line_product", "product_id")
         if not with_products:
             known = self.table("part").selectExpr("p_partkey AS product_id")
             return self.items().join(known, "product_id", "left_semi")
@@ -221,12 +243,37 @@ class Warehouse:
             else:
                 items = keep(items, filters.line_conditions())
         totals = _order_totals(items, by, measures, ships, kept)
-        totals = totals.join(headers, "order_id", "inner" if needed else "left_semi")
+        totals = self.of_known_orders(totals, headers, bool(needed))
         if ships:
             totals = totals.withColumns(_shipping_columns())
         return totals.select(*wanted, *by)
 
 
+    def order_moments(self) -> DataFrame:
+        """Sums and products of sales, quantity, discount, profit and delivery days per order, in
+        whole units, from one pass over the lines: see ``operators/moments.py``.
+        """
+        line_columns = ["sales", "quantity", "discount", "profit"]
+        items = self.known_items(True).selectExpr(
+            "order_id", "sales_units AS sales", "quantity", "discount_units AS discount",
+            "profit_units AS profit", "line_ship_date")
+        sums = moments.line_sums(items, ["order_id"], line_columns, [F.max("line_ship_date").alias("shipped")])
+        # An order has a row per pattern of missing values, so one as a rule.
+        whole = Window.partitionBy("order_id")
+        sums = sums.withColumn("ship_date", F.max("shipped").over(whole))
+        headers = self.headers(["order_date"])
+        placed = sums.join(headers, "order_id").withColumns(_shipping_columns())
+        return moments.with_order_column(placed, line_columns, "delivery_days")
+
+    def priced(self, lines: DataFrame) -> DataFrame:
+        """Lines that hold product_id, sales and quantity, joined to their product and with
+        the profit.
+        """
+        units = "(cast(sales * 10000 as bigint) - cost_units * quantity)"
+        return lines.join(self.products(), "product_id").selectExpr(
+            *lines.columns, *PRODUCT, f"{_decimal(units, MONEY)} AS profit")
+
+
 def _shipping(items: DataFrame) -> DataFrame:
     """Day the last line of each order shipped. Aggregated before it is joined,
     so that an order with very many lines never has to fit one task's window.

@@ -39,7 +39,7 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> Str
         cleaned = clean(batch)
         check_columns(cleaned, LOAD_COLUMNS)
         with shared(cleaned.select(*columns)) as rows:
-            append_new_rows(rows, table, ["row_id"], small_batch=True)
+            append_new_rows(rows, table, ["row_id"])
 
     return (
         read_raw_stream(spark, folder).writeStream.foreachBatch(load)

@@ -10,7 +10,7 @@ from orderlens.catalog import all_queries
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "part", "orders", "lineitem", "supplier"]
 # Reading back a folder costs as much as the rest of a question; one of them is enough.
-SLOW = {"append_stored", "scan_clean", "write_clean"}
+SLOW = {"append_stored", "batch_audit", "place_ids", "scan_clean", "scan_star_filtered", "write_clean"}
 
 
 @pytest.fixture(scope="module")
