@@ -383,8 +383,8 @@ def _constraints(w: Warehouse) -> DataFrame:
         parents={"regions": w.regions(), "orders": w.base_headers()},
         found={("orders", "customer_id"): "customer_found", ("orders", "location_id"): "place_found"},
         # The lines' keys without a parent that counts hold those without any.
-        counted={("order_items", "order_id"): w.gate.keys("line_order"),
-                 ("order_items", "product_id"): w.gate.keys("line_product")},
+        counted=w.gate and {("order_items", "order_id"): w.gate.keys("line_order"),
+                            ("order_items", "product_id"): w.gate.keys("line_product")},
     )
 
 

@@ -50,12 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as set through the context or as
     ``spark.checkpoint.dir`` of the session. There is no default.
     """
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = set_folder(spark)
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder
 
 
+def set_folder(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table written by this run; what is written
     there goes when the session ends.

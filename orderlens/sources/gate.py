@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -108,13 +109,15 @@ def missing_parents(tables: dict[str, DataFrame]) -> DataFrame:
     return counted.join(reduce(DataFrame.unionAll, known), ["name", "key"], "left_anti")
 
 
-def open_gate(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> Gate:
-    """The gate of the tables as they are now: found, or made and kept for later questions."""
+def open_gate(spark: SparkSession, path: str, table: Callable[[str], DataFrame]) -> Gate:
+    """The gate of the tables as they are now: found, or made and kept for later questions. Only
+    then are the tables opened.
+    """
     folder = gate_folder(spark, path)
     marker, fs = hadoop_path(spark, f"{folder}/marker.json")
     if not fs.exists(marker):
         keys = f"{folder}/keys-{os.urandom(6).hex()}"
-        missing_parents(tables).write.parquet(keys)
+        missing_parents({t: table(t) for t in CHECKED}).write.parquet(keys)
         schema = "name STRING, key BIGINT, n_rows BIGINT"
         counts = spark.read.schema(schema).parquet(keys).groupBy("name").agg(
             F.count("key").alias("n_keys"), F.sum(F.when(F.col("key").isNull(), F.col("n_rows"))).alias("n_missing"))

@@ -28,7 +28,8 @@ from orderlens.functions.measures import count_where
 from orderlens.operators import moments
 from orderlens.operators.filters import NO_FILTERS, Filters, keep
 from orderlens.schema import MONEY, RATE
-from orderlens.sources.gate import CHECKED, Gate, open_gate
+from orderlens.session import set_folder
+from orderlens.sources.gate import Gate, open_gate
 
 ITEM = ["order_id", "line_number", "product_id", "sales", "quantity", "discount",
         "line_ship_date"]
@@ -90,10 +91,12 @@ class Warehouse:
     @classmethod
     def gated(cls, spark: SparkSession, path: str) -> Warehouse:
         """A warehouse that leaves out the keys its gate knows. The gate is made when the
-        tables are first opened in this state, which takes one pass over their key columns.
+        tables are first opened in this state, which takes one pass over their key columns. A
+        session that names no shared folder can keep none: there the tables are joined.
         """
-        plain = cls(spark, path)
-        return cls(spark, path, open_gate(spark, path, {t: plain.table(t) for t in CHECKED}))
+        if not set_folder(spark):
+            return cls(spark, path)
+        return cls(spark, path, open_gate(spark, path, cls(spark, path).table))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}.parquet")

@@ -68,6 +68,17 @@ def test_population_with_orphans(spark, folder, one):
         assert [r.order_id for r in w.orders("order_id", "ship_date").collect()] == [1]
 
 
+def test_without_a_shared_folder_the_tables_are_joined(spark, folder, monkeypatch, one):
+    from orderlens import catalog
+    from orderlens.sources import warehouse
+    want = {r.rule: r.n_violations for r in catalog.all_queries()["constraint_violations"](spark, folder).collect()}
+    monkeypatch.setattr(warehouse, "set_folder", lambda _: None)
+    w = opened(spark, folder)
+    assert w.gate is None and float(one(kpi.total_revenue(w.lines("sales")))["total_revenue"]) == 100.0
+    found = {r.rule: r.n_violations for r in catalog.all_queries()["constraint_violations"](spark, folder).collect()}
+    assert found == want and want["order_items.product_id references products"] == 2
+
+
 def test_a_second_question_finds_the_gate(spark, folder, monkeypatch):
     first = opened(spark, folder).gate
     monkeypatch.setattr(gate, "missing_parents", None)  # would fail if it was made again
