@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderlens.llm import (
-    hmm, languages, licenses, mixing, packing, quality, repeats, simhash, spotsigs, topk,
+    hmm, languages, licenses, minhash, mixing, packing, quality, repeats, simhash, spotsigs, topk,
 )
 
 
@@ -25,6 +25,7 @@ OPERATORS = {
     "quality": lambda docs: quality.quality_table(docs, labels_of(docs)),
     "licenses": licenses.scan_licenses,
     "languages": languages.language_table,
+    "minhash": minhash.near_duplicates,
 }
 
 
