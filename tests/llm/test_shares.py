@@ -91,6 +91,118 @@ def test_mix_repeats_rows(documents):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def plain_mix(rows, divide=True, seed="mix"):
+    """Copies per row and inclusion per row, by definition: (source, size, key) rows."""
+    def md5(text):
+        return hashlib.md5(text.encode()).hexdigest()
+
+    words = [len(regex.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    sources = sorted({r[3] for r in rows}, key=lambda x: (x is None, x))
+    held = {x: sum(w for w, r in zip(words, rows) if r[3] == x) for x in sources}
+    weight = {x: (5.0, 2.0, 1.0)[k % 3] for k, x in enumerate(sources)}
+    target, left = {}, min(1.5 * sum(held.values()), 2.0 * sum(held.values()))
+    while True:
+        level = left / sum(w for x, w in weight.items() if x not in target)
+        over = [x for x in sources if x not in target and weight[x] * level >= 2 * held[x]]
+        if not over:
+            break
+        for x in over:
+            target[x], left = 2.0 * held[x], left - 2.0 * held[x]
+        if len(target) == len(sources):
+            break
+    target |= {x: weight[x] * level for x in sources if x not in target}
+    copies, inclusion, seen = [0] * len(rows), [0.0] * len(rows), Counter()
+    us = []
+    for r in rows:
+        key = md5(f"{seed}:{'' if r[0] is None else r[0]}:{md5(r[1] or '')}")
+        us.append((int(md5(f"{key}:{seen[r[3], key]}")[:12], 16) + 0.5) / 16 ** 12)
+        seen[r[3], key] += 1
+    for x in sources:
+        members = [k for k, r in enumerate(rows) if r[3] == x and words[k]]
+        if not members:
+            continue
+        whole = int(target[x] // held[x])
+        rest, open_ = target[x] - whole * held[x], list(members)
+        while True:
+            rate = rest / sum(words[k] ** 1.5 for k in open_)
+            certain = [k for k in open_ if rate * words[k] ** 0.5 >= 1]
+            if not certain:
+                break
+            # The largest leave first, since they are certain at every later rate.
+            big = max(words[k] for k in certain)
+            certain = [k for k in certain if words[k] == big]
+            rest -= sum(words[k] for k in certain)
+            open_ = [k for k in open_ if words[k] != big]
+        for k in members:
+            copies[k] = whole + (k not in open_)
+            inclusion[k] = 1.0 if k not in open_ else rate * words[k] ** 0.5
+
+        def rank(k):
+            odds = us[k] / (1 - us[k])
+            return odds / (inclusion[k] / (1 - inclusion[k])) if divide and rest > 1e-9 else odds
+
+        total = 0
+        for k in sorted(open_, key=rank):
+            total += words[k]
+            copies[k] += rest > 1e-9 and total - rest <= words[k] / 2
+    return copies, inclusion
+
+
+def mixture(rng, n=900):
+    """Documents of uneven sizes, a third of them from one source."""
+    return [(k, prose(k, rng.choice([1, 2, 3, 5, 8, 40, 300] if k % 9 == 0 else [1, 2, 3, 5, 8])), None,
+             rng.choice(["a", "b", "c", "d", None, "a"])) for k in range(n)]
+
+
+def test_mix_matches_brute_force(documents):
+    rows = mixture(random.Random(4)) + [(900, None, None, "a"), (901, "", None, "b")]
+    want, inclusion = plain_mix(rows)
+    got = {r.doc_id: r for r in mixing.with_copies(documents(rows)).collect()}
+    assert [got[r[0]].copies for r in rows] == want
+    for r, pi in zip(rows, inclusion):
+        if pi:
+            assert got[r[0]].inclusion == pytest.approx(pi)
+
+
+def test_inclusions_differ_and_decide(documents):
+    rows = mixture(random.Random(5))
+    want, inclusion = plain_mix(rows)
+    assert any(len({round(pi, 9) for pi, r in zip(inclusion, rows) if r[3] == x and 0 < pi < 1}) > 2 for x in "abcd")
+    assert any(pi == 1.0 for pi in inclusion)
+    # Ranking by the random odds alone draws other documents.
+    assert plain_mix(rows, divide=False)[0] != want
+
+
+def test_documents_are_drawn_at_their_inclusions(documents):
+    rng = random.Random(6)
+    rows = [(k, prose(k, rng.choice([1, 4, 9, 16])), None, "a" if k % 10 else "b") for k in range(6000)]
+    drawn, wanted, many = Counter(), {}, Counter()
+    for r in mixing.with_copies(documents(rows), weights=(1.0, 9.0), share=0.5).collect():
+        drawn[r.source, r["size"]] += r.copies
+        many[r.source, r["size"]] += 1
+        wanted[r.source, r["size"]] = r.inclusion
+    groups = [g for g in many if g[0] == "a"]
+    assert len({round(wanted[g], 6) for g in groups}) == 4
+    for g in groups:
+        error = (wanted[g] * (1 - wanted[g]) / many[g]) ** 0.5
+        assert abs(drawn[g] / many[g] - wanted[g]) < 4 * error
+
+
+def test_repeated_rows_are_told_apart(documents):
+    text = "one two three four five"
+    rows = ([(7, text, None, "a")] * 1000 + [(None, text, None, "b")] * 700
+            + [(None, prose(k, 5), None, "b") for k in range(300)]
+            + [(k, prose(k, 5), None, "c") for k in range(1000, 2000)])
+    taken, target = Counter(), {}
+    for r in mixing.with_copies(documents(rows), share=0.8).collect():
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+    for source, wanted in target.items():
+        assert abs(taken[source] - wanted) <= 5
+    copies = Counter(r.source for r in mixing.mix(documents(rows), share=0.8).collect())
+    assert {s: 5 * n for s, n in copies.items()} == dict(taken)
+
+
 # -- fingerprints -----------------------------------------------------------------------
 
 
@@ -198,7 +310,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op6_spotsigs", "op7_mixing"])
