@@ -3,16 +3,18 @@
 Latent states emit word classes: each of the commonest words is a class of its own, all
 others share classes by their last letters. Given its class a word has probability
 (c + 1) / (S + n + 1), with c its count, S and n the tokens and distinct words of its class
-in training; the 1 over is left for words never seen. So the states and emissions stay at
-STATES x CLASSES numbers whatever the vocabulary, while word counts cover all of it.
+in training; the 1 over is left for words never seen. The number of classes grows with the
+square root of the vocabulary, from CLASSES on, and word counts cover all of it.
 
 Baum-Welch runs over every training text: each task adds up the expected transitions and
 emissions of its texts, the sums are added across tasks, and the driver turns them into the
 next model. The likelihood of a text is exact: the forward recursion, scaled at each token,
 with long texts cut into blocks whose transfer matrices are multiplied up.
 
-Word counts meet the texts in two ways: the commonest HEAD words travel as a table of that
-fixed size, all others are joined by word in a shuffle.
+Word counts meet the texts in two ways: at most HEAD of the commonest words of at most
+HEAD_BYTES bytes each travel as a table, all others are joined by word in a shuffle. The
+end's count is fetched on its own, so no result depends on which words travel, but for which
+of them are classes of their own.
 
 Defined cases: a missing or empty text is the end token alone; without training texts every
 word is unknown and the classes are uniform; equal rows get equal scores (they are counted
@@ -34,9 +36,12 @@ from orderlens.llm.common import in_arrow, remainder, stored, whole_texts
 
 #: Word lookup travels to the tasks for this many of the commonest words.
 HEAD = 1 << 18
+HEAD_BYTES = 64
+#: Cells of a band of counts that does not travel whole.
+CELLS = 1024
 STATES = 4
-#: The end token, the commonest words, and cells of last letters.
-COMMON = 2047
+#: Fewest classes: the end token and the commonest words have one half, cells of last
+#: letters the other.
 CLASSES = 4096
 ROUNDS = 6
 #: Tokens per block of the recursion, and per batch of texts.
@@ -52,8 +57,14 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    return COMMON + 1 + zlib.crc32(word[-3:]) % (CLASSES - COMMON - 1)
+def classes_for(distinct: int) -> int:
+    """The least power of two that is at least 4 * sqrt(distinct words), CLASSES or more."""
+    return max(CLASSES, 1 << math.ceil(math.log2(4 * math.sqrt(max(distinct, 1)))))
+
+
+def class_type(classes: int) -> str:
+    """Stored classes take two bytes a token while they fit."""
+    return "<u2" if classes <= 1 << 16 else "<u4"
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -78,35 +89,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` of the commonest words, commonest first. Words are counted per range
-    of counts (about a thousand ranges) and the ranges that fit are fetched whole, so no task
-    sends more than its share of them.
+    """At most ``most`` of the commonest words of up to HEAD_BYTES bytes, commonest first,
+    without the end. Words are counted per band of counts (about a thousand bands) and the
+    bands that fit are fetched whole; of the first one that does not fit, the words in the
+    lowest cells of their digest. So no task sends more than its share of them.
     """
+    counts = counts.where("octet_length(word) BETWEEN 1 AND " + str(HEAD_BYTES))
     band = F.floor(F.log2("c") * 16).cast("int")
     bands = {r.band: r.n for r in counts.groupBy(band.alias("band")).agg(
         F.count("*").alias("n")).collect()}
-    fits, least = 0, max(bands, default=0) + 1
+    wanted, left = F.lit(False), most
     for b in sorted(bands, reverse=True):
-        fits += bands[b]
-        if fits > most:
+        if bands[b] > left:
+            cell = F.pmod(F.xxhash64("word"), F.lit(CELLS))
+            cells = {r.cell: r.n for r in counts.where(band == b).groupBy(cell.alias("cell")).agg(
+                F.count("*").alias("n")).collect()}
+            below = 0
+            while below < CELLS and cells.get(below, 0) <= left:
+                left -= cells.get(below, 0)
+                below += 1
+            wanted = (band > b) | ((band == b) & (cell < below))
             break
-        least = b
-    rows = counts.where(band >= least).collect()
+        left -= bands[b]
+        wanted = band >= b
+    rows = counts.where(wanted).collect()
     return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 class Words:
-    """Class, log10(c + 1) and c > 0 of the commonest words; others get their class by rule."""
+    """Class, log10(c + 1) and c > 0 of the commonest words and the end, which stands ``end``
+    times; others get their class by rule."""
 
-    def __init__(self, head: list[tuple[bytes, int]]):
-        common = [w for w, _ in head if w != END][:COMMON]
+    def __init__(self, head: list[tuple[bytes, int]], end: int = 0, classes: int = CLASSES):
+        self.classes, self.own = classes, classes // 2 - 1
+        common = [w for w, _ in head if w != END][:self.own]
         self.common = {w: k + 1 for k, w in enumerate(common)} | {END: 0}
         self.known = {w: (self.class_of(w), math.log10(c + 1), 1) for w, c in head}
-        self.known.setdefault(END, (0, 0.0, 0))
+        self.known[END] = (0, math.log10(end + 1), int(end > 0))
+
+    def tail_class(self, word: bytes) -> int:
+        return self.own + 1 + zlib.crc32(word[-3:]) % (self.classes - self.own - 1)
 
     def class_of(self, word: bytes) -> int:
         found = self.common.get(word)
-        return tail_class(word) if found is None else found
+        return self.tail_class(word) if found is None else found
 
 
 # -- the recursion -------------------------------------------------------------------
@@ -260,10 +286,10 @@ def expected(obs: np.ndarray, lengths: np.ndarray, model):
 # -- training and scoring on Spark ------------------------------------------------------
 
 
-def batches_of(batches, column: str):
+def batches_of(batches, column: str, kind: str):
     """Groups of rows with at most TOKENS tokens together (or one text)."""
     for batch in batches:
-        sizes = [len(x) // 2 for x in batch.column(column).to_pylist()]
+        sizes = [len(x) // np.dtype(kind).itemsize for x in batch.column(column).to_pylist()]
         start = held = 0
         for k, size in enumerate(sizes):
             if held and held + size > TOKENS:
@@ -274,8 +300,8 @@ def batches_of(batches, column: str):
             yield batch.slice(start)
 
 
-def observations(batch, column: str = "classes") -> tuple[np.ndarray, np.ndarray]:
-    texts = [np.frombuffer(x, "<u2") for x in batch.column(column).to_pylist()]
+def observations(batch, kind: str, column: str = "classes") -> tuple[np.ndarray, np.ndarray]:
+    texts = [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
     return np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts])
 
 
@@ -297,15 +323,17 @@ def baum_welch(texts: DataFrame, class_counts: np.ndarray, states: int = STATES,
     model = first_model(class_counts, states)
     base = (class_counts + 1) / (class_counts.sum() + len(class_counts))
     size = states * (1 + states + len(class_counts))
+    kind = class_type(len(class_counts))
     for _ in range(rounds):
         now = model
 
         def work(batches, now=now):
             sums = np.zeros(size)
-            for batch in batches_of(batches, "classes"):
-                firsts, moves, emits, _ = expected(*observations(batch), now)
+            for batch in batches_of(batches, "classes", kind):
+                firsts, moves, emits, _ = expected(*observations(batch, kind), now)
                 sums += np.concatenate((firsts, moves.ravel(), emits.ravel()))
-            yield pa.RecordBatch.from_pydict({"at": np.arange(size, dtype=np.int32), "x": sums})
+            met = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({"at": met.astype(np.int32), "x": sums[met]})
 
         rows = (texts.select("classes").mapInArrow(work, "at int, x double")
                 .groupBy("at").agg(F.sum("x").alias("x")).toPandas())
@@ -324,9 +352,12 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     """
     spark = docs.sparkSession
     counts = stored(word_counts(docs.where("NOT held_out")), "words")
-    facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    facts = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"),
+                       F.max(F.when(F.octet_length("word") == 0, F.col("c"))).alias("ends")).first()
     n_all, distinct = facts.n or 0, facts.v or 0
-    words = Words(commonest(counts, HEAD))
+    classes = classes_for(distinct)
+    kind = class_type(classes)
+    words = Words(commonest(counts, HEAD), facts.ends or 0, classes)
     shared = spark.sparkContext.broadcast(words)
 
     def classify(batch):
@@ -335,14 +366,14 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
 
     by_class = (in_arrow(counts, classify, "word binary, c long, class int", 4096)
                 .groupBy("class").agg(F.sum("c").alias("s"), F.count("*").alias("n")).collect())
-    tokens_in, words_in = np.zeros(CLASSES), np.zeros(CLASSES)
+    tokens_in, words_in = np.zeros(classes), np.zeros(classes)
     for r in by_class:
         tokens_in[r["class"]], words_in[r["class"]] = r.s, r.n
     class_logs = np.log10(tokens_in + words_in + 1)
 
     def read(batch):
         """Classes of the tokens; the sums over the commonest words; the other words."""
-        known = shared.value.known
+        known, tail_class = shared.value.known, shared.value.tail_class
         out = {name: [] for name in ("n_tokens", "n_known", "log_counts", "class_logs", "classes", "rare", "times")}
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             line = tokens(text)
@@ -357,7 +388,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
                     logs += times * hit[1]
                     n_known += times * hit[2]
             # One class for each token, in the order of the text.
-            line = np.array([at[w] for w in line], dtype="<u2")
+            line = np.array([at[w] for w in line], dtype=kind)
             out["n_tokens"].append(len(line))
             out["n_known"].append(n_known)
             out["log_counts"].append(logs)
@@ -381,8 +412,8 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
                                 F.sum("times").alias("rare_known")))
 
     def likelihood(batches):
-        for batch in batches_of(batches, "classes"):
-            logs = log_likelihoods(*observations(batch), model) / np.log(10)
+        for batch in batches_of(batches, "classes", kind):
+            logs = log_likelihoods(*observations(batch, kind), model) / np.log(10)
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_known",
                                                 "log_counts", "class_logs")}, "path": logs})

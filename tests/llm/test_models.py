@@ -70,22 +70,70 @@ def test_baum_welch_raises_the_likelihood(spark):
     assert few[0] < few[1] < few[2]
 
 
-def test_scores_of_a_table(spark, monkeypatch):
-    monkeypatch.setattr(hmm, "HEAD", 50)  # most words go through the join
-    rows = {r.doc_id: r for r in hmm.score_table(table(spark, SF, "documents")).collect()}
-    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+@pytest.mark.parametrize("head", [0, 2, 50])
+def test_scores_of_a_table(spark, documents, monkeypatch, head):
+    """Every column beside the definition, however few words travel: also the score, with the
+    trained states and emissions but everything else counted here."""
+    monkeypatch.setattr(hmm, "HEAD", head)  # most words go through the join
+    trained, travelled = [], []
+    learn, fetch = hmm.baum_welch, hmm.commonest
+    monkeypatch.setattr(hmm, "baum_welch", lambda *x: trained.append(learn(*x)) or trained[-1])
+    monkeypatch.setattr(hmm, "commonest", lambda *x: travelled.append(fetch(*x)) or travelled[-1])
+    # Three words stand more often than texts end, one of them too long to travel.
+    few = ["alpha beta gamma " * 3 + "y" * 70 + f" w{k} x{k % 7}" for k in range(60)]
+    made = documents([(10_000 + k, t) for k, t in enumerate(few + [None, ""])])
+    given = table(spark, SF, "documents").limit(60).select(made.columns)
+    docs = made if head == 2 else made.unionByName(given)
+    rows = {r.doc_id: r for r in hmm.score_table(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
     counts = Counter(w for i, t in tokens.items() if not out[i] for w in t)
     n, v = sum(counts.values()), len(counts)
+    assert len(travelled[0]) <= head and all(counts[w] == c and 0 < len(w) <= 64 for w, c in travelled[0])
+    own = {b"": 0} | {w: k + 1 for k, (w, _) in enumerate(travelled[0])}
+
+    def class_of(word):
+        return own.get(word, 2048 + zlib.crc32(word[-3:]) % 2048)
+
+    held, distinct = Counter(), Counter(map(class_of, counts))
+    for w, c in counts.items():
+        held[class_of(w)] += c
     for i, words in tokens.items():
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.train_tokens) == (out[i], len(words), n)
         assert r.n_known == sum(counts[w] > 0 for w in words)
         base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words)
         assert r.base_score == pytest.approx(base, abs=1e-6)
-    held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+        start, a, b = trained[0]
+        state, logs = None, 0.0
+        for w in words:
+            k = class_of(w)
+            state = (start if state is None else state @ a) * b[:, k]
+            logs += np.log10(state.sum()) + np.log10((counts[w] + 1) / (held[k] + distinct[k] + 1))
+            state = state / state.sum()
+        assert r.score == pytest.approx(logs, abs=1e-6)
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    held = hmm.score_table(table(spark, SF, "documents")).where("held_out").agg(
+        F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert held.score > held.base
+
+
+def test_a_band_that_does_not_fit_is_cut(spark):
+    """Equally frequent words travel as far as there is room."""
+    flat = spark.createDataFrame([(bytearray(f"w{k}".encode()), 3) for k in range(3000)]
+                                 + [(bytearray(b"top"), 90), (bytearray(b""), 500)], "word binary, c long")
+    got = hmm.commonest(flat, 1000)
+    assert got[0] == (b"top", 90) and 950 <= len(got) <= 1000
+    assert len(hmm.commonest(flat, 5000)) == 3001 and hmm.commonest(flat, 0) == []
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert hmm.classes_for(0) == hmm.classes_for(10 ** 6) == 4096
+    assert hmm.classes_for(10 ** 8) == 65536 and hmm.class_type(65536) == "<u2"
+    assert hmm.classes_for(10 ** 9) == 131072 and hmm.class_type(131072) == "<u4"
 
 
 def test_model_is_a_distribution_over_words():
