@@ -1,6 +1,7 @@
 """Hot keys, plan shapes and the settings that keep jobs within bounds."""
 
 import re
+from hashlib import md5
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -283,3 +284,13 @@ def test_shared_frames_are_released(spark):
     with reuse.shared(frame) as cached:
         assert cached.is_cached and cached.count() == 10
     assert not frame.is_cached
+
+
+def test_the_sample_is_drawn_by_whole_lines(spark, skewed):
+    """The digest is one of all columns returned, also those of the product."""
+    columns = ["order_id", "line_number", "product_id", "quantity", "discount", "sales", "category", "profit"]
+    rows = [tuple(r) for r in Warehouse.gated(spark, skewed).lines(*columns).collect()]
+    digest = lambda row: md5("|".join(map(str, ("1", *row))).encode()).hexdigest()
+    want = [tuple(map(float, (row[:6] + row[7:]))) for row in sorted(rows, key=lambda row: (digest(row), row))[:2000]]
+    got = [tuple(map(float, (*r[:6], *r[7:]))) for r in queries()["sample_lines"](spark, skewed).select(*columns).collect()]
+    assert sorted(got) == sorted(want)
