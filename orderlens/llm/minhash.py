@@ -16,8 +16,11 @@ of buckets that still hold several groups are dealt anew, by their rare shingles
 the many that are similar without reaching the limit (``rare_buckets``); there they are compared
 with more heads each round, but only across the groups that the links found so far leave apart. A
 pair is left out only once a chain of links joins it, or it was compared, or its rare shingles
-rule it out. Comparisons are exact, on the full shingle sets made anew from the texts; the sets of
-one head and of one other class are in memory at a time, and a crowded head is dealt to many tasks.
+or parity bits rule it out: every class keeps the parity of its shingles per hashed slot, and two
+sets differ in at least as many shingles as these bits differ. So of a large group of copies that
+are alike without reaching the limit, few pairs remain to be compared. Comparisons are exact, on the
+full shingle sets made anew from the texts; the sets of one head and of one other class are in
+memory at a time, and a crowded head is dealt to many tasks.
 
 Defined cases: a missing text, an empty one or one of white space has an empty set, no link and
 itself as component; equal rows share everything; a document without doc_id takes part, but
@@ -39,6 +42,10 @@ from orderlens.llm.common import in_arrow, stored, whole_texts
 from orderlens.llm.graph import components
 
 SLOTS, BAND = 128, 4
+#: 64-bit words of parity bits a class keeps.
+PARITY = 16
+#: Heads a crowded bucket is compared with in the first round, and how many times more in each next one.
+HEADS, MORE = 32, 64
 #: Comparisons with one head that a task makes before the head is dealt to one more.
 DEALT = 256
 #: Bytes of a text, and elements of sets, that are worked on at once.
@@ -174,16 +181,23 @@ def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots whether an odd number of elements falls into it."""
+    counts = np.bincount((elements % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def prints(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, text_key, n (set size), key (of the set), bands of every document."""
+    """doc_id, text_key, n (set size), key (of the set), bands, parity bits of every document."""
     per_row = SLOTS // BAND
 
     def work(batch):
-        sizes, keys, sets, bands, held = [], [], [], [], 0
+        sizes, keys, sets, bands, bits, held = [], [], [], [], [], 0
         for text in batch.column(1).cast(pa.binary()):
             one = shingle_set(text.as_py(), size)
             sizes.append(len(one))
             keys.append(xxhash.xxh128_digest(one.tobytes()))
+            bits.append(parity(one))
             if len(one):
                 sets.append(one)
                 held += len(one)
@@ -195,9 +209,11 @@ def prints(docs: DataFrame, size: int = 5) -> DataFrame:
         ends = np.cumsum([0] + [per_row * (n > 0) for n in sizes])
         flat = np.concatenate(bands).ravel() if bands else np.empty(0, np.int64)
         return {"doc_id": batch.column(0), "text_key": batch.column(2), "n": sizes, "key": keys,
-                "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))}
+                "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                "bits": bits}
 
-    return in_arrow(keyed(docs), work, "doc_id long, text_key long, n long, key binary, bands array<long>")
+    return in_arrow(keyed(docs), work,
+                    "doc_id long, text_key long, n long, key binary, bands array<long>, bits array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -242,8 +258,16 @@ def fitting(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def near_enough(n: str, other_n: str, bits: str, other_bits: str, percent: int):
+    """The parity bits leave it open that the sets are that similar: they share enough only if they
+    differ in few shingles, and they differ in at least as many as their bits do.
+    """
+    differing = sum(F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(other_bits)[k])) for k in range(PARITY))
+    return differing * (100 + percent) <= (F.col(n) + F.col(other_n)) * (100 - percent)
+
+
 def grouped(classes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
-    """(cid, root) of the classes (cid, n, bands) that any link reaches; texts_of gives (cid,
+    """(cid, root) of the classes (cid, n, bands, bits) that any link reaches; texts_of gives (cid,
     text) of a table of cids.
     """
     keys = classes.select("cid", "n", F.explode("bands").alias("bucket"))
@@ -253,22 +277,28 @@ def grouped(classes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
     named = members.select("cid").unionAll(members.select("head.cid")).distinct()
     texts = stored(texts_of(named), "texts")
 
-    tested = stored(members.where(fitting("n", "head.n", percent))
-                    .select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    met = members.where(fitting("n", "head.n", percent)).select(
+        F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    kept = [classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+            for c in ("a", "b")]
+    tested = stored(met.join(kept[0], "a").join(kept[1], "b")
+                    .where(near_enough("n_a", "n_b", "bits_a", "bits_b", percent)).select("a", "b"), "pairs")
     roots = components(stored(confirmed(tested, texts, size, percent), "links"))
     left = apart(members.select("bucket", "cid", "n"), roots)
     if left.isEmpty():
         return roots.select(F.col("node").alias("cid"), "root")
-    left, heads_now = apart(rare_buckets(left, texts, size, percent), roots), 16
+    left, heads_now = apart(rare_buckets(left, texts, size, percent), roots), HEADS
+    left = stored(left.join(classes.select("cid", "bits"), "cid"), "crowded")
     while not left.isEmpty():
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("cid"))
         first = stored(left.withColumn("nth", place).where(F.col("nth") <= heads_now).drop("nth"), "heads")
-        heads = first.select("bucket", *[F.col(c).alias(f"head_{c}") for c in ("cid", "n", "place", "root")])
+        heads = first.select("bucket", *[F.col(c).alias(f"head_{c}") for c in ("cid", "n", "place", "root", "bits")])
         # Of the shingles two sets share, the first in order has all the others behind it.
         most = F.least(F.col("n") - F.col("place"), F.col("head_n") - F.col("head_place")) + 1
         enough = most * (100 + percent) >= (F.col("n") + F.col("head_n")) * percent
         pairs = (left.join(heads, "bucket")
-                 .where((F.col("cid") > F.col("head_cid")) & (F.col("root") != F.col("head_root")) & enough)
+                 .where((F.col("cid") > F.col("head_cid")) & (F.col("root") != F.col("head_root")) & enough
+                        & near_enough("n", "head_n", "bits", "head_bits", percent))
                  .select(F.col("head_cid").alias("a"), F.col("cid").alias("b")).distinct())
         new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stored(confirmed(new, texts, size, percent), "links")
@@ -277,7 +307,7 @@ def grouped(classes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
             roots = regrouped(roots, links)
         last = first.groupBy("bucket").agg(F.max("cid").alias("last"))
         left = apart(left.join(last, "bucket").where("cid > last").drop("last", "root"), roots)
-        heads_now *= 16
+        heads_now *= MORE
     return roots.select(F.col("node").alias("cid"), "root")
 
 
@@ -335,7 +365,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     classes = stored(
         rows.where("n > 0").groupBy("key").agg(
             F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"),
-            F.first("n").alias("n"), F.first("bands").alias("bands"))
+            F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def texts_of(cids: DataFrame) -> DataFrame:
@@ -343,7 +373,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         whole = keyed(docs).groupBy("text_key").agg(F.first("text").alias("text"))
         return whole.join(classes.select("cid", "text_key").join(cids, "cid"), "text_key").select("cid", "text")
 
-    roots = grouped(classes.select("cid", "n", "bands"), texts_of, size, percent)
+    roots = grouped(classes.select("cid", "n", "bands", "bits"), texts_of, size, percent)
     rooted = classes.select("key", "cid", "doc_id").join(roots, "cid", "left").withColumn(
         "root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

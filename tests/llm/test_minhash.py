@@ -150,6 +150,32 @@ def test_rare_shingles_lose_no_pair():
         assert first[0] & first[1]
 
 
+def test_parity_bits_rule_out_no_pair():
+    """They differ in as many places as the sets at most, and in nearly as many for short sets."""
+    rng = np.random.default_rng(9)
+    for n in (1, 30, 150, 3000):
+        x = rng.integers(0, 2 ** 63, 3 * n, dtype=np.uint64)
+        a, b = x[:2 * n], x[n:]
+        bits = np.unpackbits((minhash.parity(a) ^ minhash.parity(b)).view(np.uint8)).sum()
+        assert bits <= 2 * n and (n > 150 or bits > 1.2 * n)
+
+
+def test_a_group_alike_below_the_limit_is_not_compared_in_pairs(documents, monkeypatch):
+    """Copies of one text with own edits: nearly all pairs share rare shingles, few are compared."""
+    rng, words = random.Random(6), prose(500, 140).split()
+    rows = []
+    for k in range(300):
+        own = list(words)
+        for at in rng.sample(range(140), rng.choice([1, 3, 4, 5])):
+            own[at] = f"other{rng.randrange(20)}"
+        rows.append((k, " ".join(own)))
+    compared, confirm = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *more: compared.append(pairs.count()) or confirm(pairs, *more))
+    found = got(minhash.near_duplicates(documents(rows)))
+    assert found == brute(rows)
+    assert sum(compared) < 6 * len(rows), compared
+
+
 def test_kept_is_the_documents_that_name_a_component(near):
     _, docs = near
     for r in minhash.near_duplicates(docs).collect():
