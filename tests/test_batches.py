@@ -180,3 +180,21 @@ def test_an_append_reads_the_ranges_of_its_keys(raw, spark, tmp_path):
         star.append_new_rows(batch, path, ["k"])
     rows = {r.k: r.v for r in spark.read.parquet(path).collect()}
     assert len(rows) == 1010 and rows[995] == 1990 and rows[1005] == -1005
+
+
+def test_rows_that_are_all_key_meet_stored_ones_in_one_shuffle(spark):
+    incoming = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "b"), (None, None), (2, "c")], "x INT, y STRING")
+    existing = spark.createDataFrame([(1, None, 0), (None, "b", 0), (None, "b", 1), (3, "d", 0)], "x INT, y STRING, z INT")
+    fresh = star.new_rows(incoming, existing, ["x", "y"])
+    assert "Join" not in plan_of(fresh) and plan_of(fresh).count("Exchange hashpartitioning") == 1
+    assert sorted(map(repr, map(tuple, fresh.collect()))) == ["(1, 'a')", "(2, 'c')", "(None, None)"]
+
+
+def test_items_of_a_stored_table_are_not_staged(raw, spark, tmp_path, monkeypatch):
+    staged, seen = star.staged, []
+    monkeypatch.setattr(star, "staged", lambda tables, *more: seen.append(sorted(tables)) or staged(tables, *more))
+    for number, stage in ((0, False), (1, True)):
+        star.load_star(star.build_star(orders_of(raw, range(10 * number, 10 * number + 15))), str(tmp_path), stage=stage)
+    assert seen == [["customers", "locations", "orders", "products"],
+                    ["customers", "locations", "order_items", "orders", "products"]]
+    assert star.scan_star(spark, str(tmp_path))["order_items"].count() == 50
