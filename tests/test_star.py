@@ -149,3 +149,32 @@ def test_date_filter_prunes_year_folders(raw, spark, tmp_path):
 
 def test_normalized_raw_frame_keeps_values(raw):
     assert normalize_columns(raw({})).collect()[0].sub_category == "Paper"
+
+
+def test_only_sold_products_are_stored(raw, spark, tmp_path):
+    """Products follow the stored items; of the items, one row per product and task is moved."""
+    frame = clean(raw({}, {"Order ID": "O-2", "Product ID": "P-2"}, {"Order ID": "O-3", "Product ID": "P-3"}))
+    tables = star.build_star(frame)
+    tables["order_items"] = tables["order_items"].filter("product_id <> 'P-3'")
+    star.write_star(tables, str(tmp_path), only_sold=True)
+    stored = star.scan_star(spark, str(tmp_path))
+    sold = {r.product_id for r in tables["order_items"].collect()}
+    assert len(sold) == 2 and {r.product_id for r in stored["products"].collect()} == sold
+    plan = star.sold_products(tables["products"], stored["order_items"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [product_id" in plan.split("LeftSemi")[1]
+
+
+def test_the_load_writes_items_once_and_moves_no_name_by_order(spark, monkeypatch):
+    """Items go to their table as they are read; the order frame meets customers last."""
+    from orderlens import catalog
+    from orderlens.sources.warehouse import Warehouse
+
+    written = []
+    again = catalog._again
+    monkeypatch.setattr(catalog, "_again", lambda w, path, frame: written.append((path, frame)) or again(w, path, frame))
+    w = Warehouse.gated(spark, "/root/testdata/sf0.001")
+    stored = star.scan_star(spark, catalog._stored_star(w))
+    assert [path.rsplit("/", 1)[1] for path, _ in written] == ["orders"]
+    plan = written[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (customer_id") < plan.index("Join Inner, (order_id")
+    assert stored["order_items"].count() == w.lines("order_id").count()
