@@ -131,3 +131,13 @@ def test_hot_keys_meet_their_parents_as_one_row(spark, folder):
     finally:
         spark.conf.set(setting, before)
     assert plan.index("LeftAnti") < plan.index("Aggregate")
+
+
+def test_lines_are_counted_without_being_multiplied(spark, folder):
+    """Each key column is counted on its own; a line is not turned into a row per set."""
+    tables = {t: Warehouse(spark, folder).table(t) for t in gate.CHECKED}
+    plan = gate.missing_parents(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("l_partkey") and plan.count("l_orderkey")
+    found = {(r.name, r.key): r.n_rows for r in gate.missing_parents(tables).collect()}
+    assert found == {("line_product", 8): 2, ("line_product", None): 1, ("line_order", 2): 1, ("line_order", 9): 1,
+                     ("order_customer", 2): 1, ("order_customer", None): 1}

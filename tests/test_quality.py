@@ -131,3 +131,13 @@ def test_constraints(raw, spark):
         "order_items unique (row_id)": 1, "locations unique (location_id)": 0,
         "order_items.product_id references products": 1,
         "order_items.order_id references orders": 0}
+
+
+def test_texts_without_a_slash_are_not_tried_as_dates(spark):
+    """A failed attempt to read a date costs many times what a date does."""
+    texts = ["1/2/1997", "01/02/1997", "12/31/1998", "13/1/1997", "2/30/1997", "pending", "", "1/2", " 1/2/1997", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "day STRING")
+    found = quality.parse_dates(frame, "day")
+    assert [r.day for r in found.collect()] == [date(1997, 1, 2), date(1997, 1, 2), date(1998, 12, 31)] + [None] * 7
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
