@@ -284,7 +284,7 @@ def grouped(classes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
     tested = stored(met.join(kept[0], "a").join(kept[1], "b")
                     .where(near_enough("n_a", "n_b", "bits_a", "bits_b", percent)).select("a", "b"), "pairs")
     roots = components(stored(confirmed(tested, texts, size, percent), "links"))
-    left = apart(members.select("bucket", "cid", "n"), roots)
+    left = stored(apart(members.select("bucket", "cid", "n"), roots), "apart")
     if left.isEmpty():
         return roots.select(F.col("node").alias("cid"), "root")
     left, heads_now = apart(rare_buckets(left, texts, size, percent), roots), HEADS
@@ -306,7 +306,7 @@ def grouped(classes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         if not links.isEmpty():
             roots = regrouped(roots, links)
         last = first.groupBy("bucket").agg(F.max("cid").alias("last"))
-        left = apart(left.join(last, "bucket").where("cid > last").drop("last", "root"), roots)
+        left = stored(apart(left.join(last, "bucket").where("cid > last").drop("last", "root"), roots), "apart")
         heads_now *= MORE
     return roots.select(F.col("node").alias("cid"), "root")
 
@@ -317,7 +317,7 @@ def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "cid"))
     several = (held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                .where("lo <> hi").select("bucket"))
-    return stored(held.join(several, "bucket"), "apart")
+    return held.join(several, "bucket")
 
 
 def rare_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -333,7 +333,7 @@ def rare_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int)
                 "bucket": np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)}
 
     wanted = texts.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
-    shingles = in_arrow(wanted, spread, "cid long, n long, bucket long", rows=64)
+    shingles = stored(in_arrow(wanted, spread, "cid long, n long, bucket long", rows=64), "shingles")
     held = shingles.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
     one = Window.partitionBy("cid")
     place = F.row_number().over(one.orderBy("held", "bucket")) + F.col("n") - F.count("*").over(one)
@@ -344,14 +344,11 @@ def rare_buckets(members: DataFrame, texts: DataFrame, size: int, percent: int)
 
 def regrouped(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The (node, root) rows once more links are known: whole groups are linked."""
-    def root_of(column):
-        return (links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-                .join(roots.withColumnRenamed("node", column), column, "left")
-                .select("x", "y", F.coalesce("root", column).alias(f"root_{column}")))
-
-    ends = root_of("x").join(root_of("y"), ["x", "y"]).select(
-        F.col("root_x").alias("a"), F.col("root_y").alias("b"))
-    moved = components(ends)
+    def lifted(ends, column):
+        return (ends.join(roots.withColumnRenamed("node", column), column, "left")
+                .withColumn(column, F.coalesce("root", column)).drop("root"))
+
+    moved = components(lifted(lifted(links, "a"), "b"))
     old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
     old = old.select("node", F.coalesce("to", "root").alias("root"))
     return stored(old.unionAll(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")

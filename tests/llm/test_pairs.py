@@ -110,6 +110,48 @@ def test_components_of_a_chain_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_few_tasks_hold_take_few_rounds(spark, monkeypatch):
+    """Tasks contract what they read: a long chain is not halved round by round."""
+    links = [(k, k + 1) for k in range(3000)] + [(10_000, 10_001 + k) for k in range(3000)]
+    written, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda frame, name: written.append(name) or store(frame, name))
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long").coalesce(3)).collect()}
+    assert len({got[k] for k in range(3001)}) == 1 and len({got[10_000 + k] for k in range(3001)}) == 1
+    assert got[0] != got[10_000] and len(got) == 6002
+    assert written.count("moves") <= 3, written
+
+
+def test_contracted_links_join_the_same_nodes(spark, monkeypatch):
+    """Also chunk by chunk, with loops, repeats and missing ends; fewer links are left."""
+    monkeypatch.setattr(graph, "CHUNK", 128)
+    monkeypatch.setattr(graph, "stored", lambda frame, name, store=graph.stored: store(frame.repartition(3), name))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    rng = random.Random(4)
+    links = [(k + rng.randrange(10), k + rng.randrange(10)) for k in rng.choices(range(0, 120, 10), k=260)]
+    links += links[:40] + [(7, 7), (None, 3), (3, None), (-(2 ** 62), 2 ** 62), (2 ** 62, 5)]
+    frame = spark.createDataFrame(links, "a long, b long").coalesce(1)
+
+    def groups(pairs):
+        root = {x: x for pair in pairs for x in pair}
+        for a, b in pairs:
+            root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+        found = {}
+        for x, r in root.items():
+            found.setdefault(r, set()).add(x)
+        return sorted(map(sorted, found.values()))
+
+    real = [(a, b) for a, b in links if None not in (a, b) and a != b]
+    spark.conf.set(rows, "32")
+    try:
+        left = [tuple(r) for r in graph.contracted(frame, 0).collect()]
+        rooted = [(r.node, r.root) for r in graph.components(frame).collect()]
+    finally:
+        spark.conf.set(rows, before)
+    assert groups(left) == groups(real) and len(left) < len(real) and all(a != b for a, b in left)
+    assert groups(rooted) == groups(real) and len(rooted) == len({x for pair in real for x in pair})
+
+
 # -- repeats ----------------------------------------------------------------------------
 
 
